@@ -16,6 +16,34 @@ def round_even(c: Column, digits: int = 0) -> Column:
     return F.rint(c * F.lit(scale)) / F.lit(scale)
 
 
+_SPLIT = 134217729.0  # 2**27 + 1, Veltkamp split constant
+
+
+def round_py(c: Column, digits: int) -> Column:
+    """Python's ``round(x, digits)`` on the exact binary value of ``x``.
+
+    ``p = fl(x * 10**d)`` is exact except near a .5 tie; the product's
+    rounding error is recovered exactly with Dekker's split (plain double
+    arithmetic), and decides ties: above -> up, below -> down, exact -> even.
+    (Java's ``%.1f`` rounds the shortest decimal string half-up instead.)"""
+    s = F.lit(float(10 ** digits))
+    x = c.cast("double")
+    p = x * s
+    big = x * F.lit(_SPLIT)
+    hi = big - (big - x)
+    lo = x - hi
+    err = (hi * s - p) + lo * s
+    f = F.floor(p).cast("double")
+    at_tie = (p - f) == F.lit(0.5)
+    tie_value = F.when(err > 0, f + 1.0).when(err < 0, f).otherwise(F.rint(p))
+    return F.when(at_tie, tie_value).otherwise(F.rint(p)) / s
+
+
+def fmt_py(c: Column, digits: int) -> Column:
+    """Python's ``f"{x:.{digits}f}"``."""
+    return F.format_string(f"%.{digits}f", round_py(c, digits))
+
+
 def safe_double(c: Column, dtype: str | None = None) -> Column:
     """``coalesce(try_cast(c AS double), 0)`` with NaN -> 0.
 
@@ -45,10 +73,3 @@ def format_int(c: Column) -> Column:
     return F.replace(F.format_number(F.rint(c.cast("double")), 0), F.lit(","), F.lit(" "))
 
 
-def fmt1(c: Column) -> Column:
-    """'%.1f' text of a double."""
-    return F.format_string("%.1f", c.cast("double"))
-
-
-def fmt2(c: Column) -> Column:
-    return F.format_string("%.2f", c.cast("double"))

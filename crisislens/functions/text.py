@@ -64,6 +64,35 @@ def alternation(patterns: list[str] | tuple[str, ...], ignore_case: bool = True)
     return ("(?i)" if ignore_case else "") + body
 
 
+_REGEX_META = set(".^$*+?{}[]\\|()")
+
+
+def is_literal(pattern: str) -> bool:
+    return not any(ch in _REGEX_META for ch in pattern)
+
+
+def matches_any(text: Column, patterns: list[str] | tuple[str, ...], text_is_lower: bool = False) -> Column:
+    """Case-insensitive search for any of ``patterns`` in ``text``.
+
+    Same truth value as ``text.rlike(alternation(patterns))`` but faster:
+    on lower-cased text, plain-literal patterns become byte-level
+    ``contains`` scans (Java's case-insensitive alternation crawls on long
+    texts) and only real regexes go to one ``rlike``."""
+    lowered = text if text_is_lower else F.lower(text)
+    literals = list(dict.fromkeys(p.lower() for p in patterns if is_literal(p) and p.isascii()))
+    regexes = [p for p in patterns if not (is_literal(p) and p.isascii())]
+    # Under OR, a literal that contains another literal adds nothing.
+    literals = [a for a in literals if not any(b != a and b in a for b in literals)]
+    out = None
+    for lit in literals:
+        term = F.contains(lowered, F.lit(lit))
+        out = term if out is None else (out | term)
+    if regexes:
+        term = lowered.rlike(alternation(regexes))
+        out = term if out is None else (out | term)
+    return out if out is not None else F.lit(False)
+
+
 # --------------------------------------------------------------------------
 # Accent folding (NFKD, then drop combining characters)
 # --------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.numbers import round_even, safe_double
-from ..functions.text import alternation, extract_tokens, fold_lower, trim_ws
+from ..functions.text import extract_tokens, fold_lower, matches_any, trim_ws
 from ..sources.mapping import Mapping, norm_name, resolve_mapping, select_mapped
 
 # Formats tried in order for string dates (None = ISO-8601 cast rules).
@@ -69,8 +69,10 @@ def time_buckets(dt: Column) -> dict[str, Column]:
 
 
 def narrative_columns(text_norm: Column, lexicon: Sequence[C.Narrative]) -> list[Column]:
-    """One boolean per narrative: any of its patterns found in the text."""
-    return [text_norm.rlike(alternation(n.patterns)).alias(narrative_flag_name(n.label)) for n in lexicon]
+    """One boolean per narrative: any of its patterns found in the
+    (lower-cased, accent-folded) text."""
+    return [matches_any(text_norm, n.patterns, text_is_lower=True).alias(narrative_flag_name(n.label))
+            for n in lexicon]
 
 
 def narratives_array(lexicon: Sequence[C.Narrative], default: str = C.DEFAULT_NARRATIVE) -> Column:
@@ -184,4 +186,6 @@ def explode_narratives(df: DataFrame, cols: Sequence[str] | None = None) -> Data
     """One row per (post, narrative).  Select the needed columns first: the
     explode multiplies rows by at most the lexicon size."""
     keep = [c for c in (cols or df.columns) if c != "narratives"]
-    return df.select(*keep, F.explode("narratives").alias("narrative"))
+    # narratives is never empty, so the outer form yields the same rows and
+    # keeps the optimizer from pushing a size() filter into the text pipeline
+    return df.select(*keep, F.explode_outer("narratives").alias("narrative"))
