@@ -20,9 +20,26 @@ from pyspark.sql import types as T
 # Python's ``\w`` for str patterns: letters, all numerics and underscore.
 WORD = r"[\p{L}\p{N}_]"
 NON_WORD = r"[^\p{L}\p{N}_]"
-# Python's ``\s`` (str.isspace): ASCII controls, the bidi separators
-# U+001C..U+001F and U+0085, and every Unicode space separator.
-_WS_BODY = r"\t\n\x0B\f\r\x1C-\x1F \x85\p{Z}"
+
+
+def _isspace_ranges() -> str:
+    """Python's ``\\s`` (``str.isspace``) as explicit code-point ranges.
+
+    Built by rule from the running Python, so it is exact by construction,
+    and explicit ranges test faster in Java than a Unicode category."""
+    cps = [cp for cp in range(0x110000) if chr(cp).isspace()]
+    parts, i = [], 0
+    while i < len(cps):
+        j = i
+        while j + 1 < len(cps) and cps[j + 1] == cps[j] + 1:
+            j += 1
+        lo, hi = cps[i], cps[j]
+        parts.append(f"\\x{{{lo:X}}}" if lo == hi else f"\\x{{{lo:X}}}-\\x{{{hi:X}}}")
+        i = j + 1
+    return "".join(parts)
+
+
+_WS_BODY = _isspace_ranges()
 SPACE = f"[{_WS_BODY}]"
 NON_SPACE = f"[^{_WS_BODY}]"
 
@@ -175,8 +192,9 @@ def copy_fingerprint(text: Column, max_chars: int = 220) -> Column:
     t = F.regexp_replace(t, f"@{WORD}+", " @user ")
     t = F.regexp_replace(t, f"#{WORD}+", " #tag ")
     t = F.regexp_replace(t, f"{SPACE}+", " ")
-    t = trim_ws(t)
-    return F.substring(t, 1, max_chars)
+    # every whitespace run is now one U+0020, so Spark's space-only ``trim``
+    # is exact here (and references the expression once: no re-evaluation)
+    return F.substring(F.trim(t), 1, max_chars)
 
 
 def shorten(text: Column, limit: int, suffix: str = "\n\n...[contenu tronqué pour rester compact]") -> Column:

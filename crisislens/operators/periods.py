@@ -37,7 +37,7 @@ def assign_periods(E: DataFrame, periods: DataFrame, broadcast_limit: int = BROA
     """E rows tagged with every period that contains them (inclusive bounds).
 
     Each period is expanded to the days it touches (open bounds clamp to the
-    corpus span), then joined to posts on ``day`` with the exact bounds as a
+    corpus span), then joined to posts on ``date`` with the exact bounds as a
     residual condition: an equi-join, so thousands of periods cost one hash
     probe per post-day instead of a nested loop.  The expanded side is
     broadcast only when its counted size is under ``broadcast_limit``;
@@ -53,12 +53,14 @@ def assign_periods(E: DataFrame, periods: DataFrame, broadcast_limit: int = BROA
         .where(F.col("p_start") <= F.col("p_end"))
     days = p.select(
         "period_id", "p_start", "p_end",
-        F.explode(F.sequence(F.to_date("p_start"), F.to_date("p_end"), F.expr("INTERVAL 1 DAY"))).alias("p_day"),
-    ).withColumn("p_day", F.col("p_day").cast("timestamp_ntz"))
+        F.explode(F.sequence(F.to_date("p_start"), F.to_date("p_end"), F.expr("INTERVAL 1 DAY"))).alias("p_date"),
+    )
     n = days.count()
     side = F.broadcast(days) if n <= broadcast_limit else days
-    joined = E.join(side, (E["day"] == side["p_day"]) & (E["dt"] >= side["p_start"]) & (E["dt"] <= side["p_end"]))
-    return joined.drop("p_day", "p_start", "p_end")
+    # Keyed on ``date``, the partition column of a materialized corpus, so a
+    # broadcast side also prunes the corpus files (dynamic partition pruning).
+    joined = E.join(side, (E["date"] == side["p_date"]) & (E["dt"] >= side["p_start"]) & (E["dt"] <= side["p_end"]))
+    return joined.drop("p_date", "p_start", "p_end")
 
 
 def peak_day_periods(E: DataFrame, top: int = 5, prefix: str = "peak_day_") -> DataFrame:

@@ -80,18 +80,24 @@ def copy_patterns(E: DataFrame, min_count: int = C.COPY_MIN_COUNT, top: int | No
     All aggregates combine map-side (a hot template is reduced before the
     shuffle); the example is the text of the earliest post (lowest post_id)."""
     fp = E.select(*by, copy_fingerprint(F.col("text_raw"), C.COPY_FINGERPRINT_CHARS).alias("fingerprint"),
-                  "author", "dt", "reach", "post_id", "text_raw")
+                  "author", "dt", "reach", "post_id")
     g = fp.groupBy(*by, "fingerprint").agg(
         F.count(F.lit(1)).alias("count"),
         F.countDistinct("author").alias("authors"),
         F.min("dt").alias("first_seen"),
         F.max("dt").alias("last_seen"),
         F.sum("reach").alias("reach"),
-        F.min_by("text_raw", "post_id").alias("_example"),
+        F.min("post_id").alias("_first_post"),
     ).where((F.col("count") >= min_count) & (F.length("fingerprint") > C.COPY_MIN_FINGERPRINT_LEN))
-    g = g.withColumn("example", F.substring("_example", 1, C.COPY_EXAMPLE_CHARS)).drop("_example")
     order = [F.desc("count"), F.desc("authors"), F.desc("reach"), F.asc("fingerprint")]
-    return top_k(g, order, top, by)
+    ranked = top_k(g, order, top, by)
+    # The example text is fetched for the surviving groups only, so whole
+    # texts never ride through the aggregation buffers or the shuffle.  With
+    # a top-k cut the survivors are at most ``top`` per group: broadcast.
+    texts = E.select(F.col("post_id").alias("_first_post"),
+                     F.substring("text_raw", 1, C.COPY_EXAMPLE_CHARS).alias("example"))
+    keys = ranked if (top is None or by) else F.broadcast(ranked)
+    return keys.join(texts, "_first_post", "left").drop("_first_post")
 
 
 # FIXED VALUES — coordination labels, prudence note and operational reading.

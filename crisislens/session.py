@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine relies on.  Time buckets are built tz-free, but the
@@ -22,11 +23,14 @@ ENGINE_CONF: dict[str, str] = {
 
 
 def get_spark(app: str = "crisislens", master: str | None = None,
-              shuffle_partitions: int | None = None, extra: dict[str, str] | None = None) -> SparkSession:
+              shuffle_partitions: int | None = None, extra: dict[str, str] | None = None,
+              local_checkpoint_dir: str | None = None) -> SparkSession:
     """Build (or reuse) a session with the engine settings.
 
     On a cluster, leave ``master`` unset so spark-submit decides, and let the
-    cluster provide ``spark.checkpoint.dir`` on shared storage.
+    cluster provide ``spark.checkpoint.dir`` on shared storage.  Tests and
+    single-machine runs pass ``local_checkpoint_dir``; it is used only when
+    the setting is not already given.
     """
     b = SparkSession.builder.appName(app)
     if master:
@@ -37,6 +41,9 @@ def get_spark(app: str = "crisislens", master: str | None = None,
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
         b = b.config(k, v)
+    submitted = SparkConf().get("spark.checkpoint.dir", None)     # e.g. from spark-submit --conf
+    if local_checkpoint_dir and not submitted and "spark.checkpoint.dir" not in (extra or {}):
+        b = b.config("spark.checkpoint.dir", local_checkpoint_dir)
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
@@ -49,13 +56,12 @@ def checkpoint_root(spark: SparkSession, allow_local: bool = False) -> str:
     when ``allow_local`` is set (tests, single-machine runs) and the setting is
     unset do we create a fresh folder under the system temp dir and register it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
         if not allow_local:
             raise RuntimeError("spark.checkpoint.dir is not set; point it at shared storage")
         root = tempfile.mkdtemp(prefix="crisislens-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    spark.sparkContext.setCheckpointDir(root)
+        spark.sparkContext.setCheckpointDir(root)
     return root
 
 

@@ -56,6 +56,13 @@ def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = (ev.crossJoin(F.broadcast(n_docs))
          .withColumn("doc_key", F.col("event_id") % F.col("n_docs"))
          .withColumn("tpl", ((F.col("event_id") + F.col("user_id")) % 10).cast("int")))
+    # Hash-partition the (narrow) event rows on the join key with an explicit
+    # count: a shuffled join reuses this partitioning as is, and when the
+    # documents side is small enough to broadcast, the text-heavy work after
+    # the join still spreads over all partitions instead of the few splits
+    # of the events files.  An explicit count is not coalesced away by AQE.
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    e = e.repartition(n_parts, "doc_key")
     j = e.join(F.broadcast(templates), "tpl").join(labelled, F.col("doc_key") == F.col("doc_id"))
     eid, uid = F.col("event_id"), F.col("user_id")
     mention = F.concat(F.lit(" @u"), uid.cast("string"), F.lit(" https://t.co/"), eid.cast("string"))
