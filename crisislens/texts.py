@@ -66,3 +66,83 @@ CHANNEL_TEMPLATES: tuple[tuple[str, str], ...] = (
      "Une clarification factuelle est en préparation afin de répondre aux principales interrogations. "
      "Notre priorité est de fournir des informations précises, vérifiables et respectueuses du débat public."),
 )
+
+# FIXED VALUES — crisis brief (period diagnosis) lines, in order.
+BRIEF_TITLE = "## Brief Agent 1 — Analyste de crise"
+BRIEF_STRATEGY = (
+    "- Le sujet doit être traité comme une **dynamique virale**, pas comme une simple vérification de fake news.",
+    "- Le point à surveiller est la mutation du débat : personne impliquée → institution → argent public / "
+    "légitimité du fonds.",
+    "- La cellule de crise doit répondre sur les règles, la transparence et les faits, sans entrer dans un "
+    "affrontement politique.",
+)
+BRIEF_NEGATIVE = ("- Le climat dominant étant négatif, la réponse doit éviter toute formulation défensive ou "
+                  "agressive.")
+NOT_IDENTIFIED = "non identifié"
+
+# FIXED VALUES — strategy constants (objective, targets, axes, plan, avoid,
+# risks, escalation triggers), in order.
+DEFAULT_OBJECTIVE = "Rétablir la confiance et clarifier les faits"
+DEFAULT_TARGETS = ("Grand public", "Médias", "Créateurs concernés")
+DEFAULT_RISK_TOLERANCE = "Prudente"
+DEFAULT_RESPONSE_WINDOW = "Prochaines 24 heures"
+MESSAGE_AXES = (
+    ("Clarification factuelle",
+     "Recentrer la discussion sur les faits vérifiables et le périmètre exact de la décision.",
+     "Rappeler le calendrier, la décision prise et les règles applicables sans commenter les personnes."),
+    ("Transparence des règles",
+     "Répondre au narratif argent public/copinerie sans agressivité.",
+     "Expliquer les critères d'attribution, les procédures de sélection et les garde-fous existants."),
+    ("Apaisement",
+     "Réduire la polarisation et éviter de nourrir la polémique.",
+     "Reconnaître les interrogations du public et s'engager à fournir des informations claires."),
+    ("Human-in-the-loop",
+     "Montrer que l'IA assiste mais ne décide pas.",
+     "Tout message proposé doit être validé par la cellule communication avant publication."),
+)
+ACTION_PLAN = (
+    ("0–1 h", "Stabiliser le diagnostic",
+     "Valider le pic, les narratifs dominants, les comptes moteurs et les publications les plus engageantes."),
+    ("1–3 h", "Préparer les éléments de langage",
+     "Rédiger une clarification courte + une FAQ interne sur critères, gouvernance et calendrier."),
+    ("3–6 h", "Choisir le canal de réponse",
+     "Publier seulement si le narratif continue de monter ou si des médias/influenceurs structurants relaient."),
+    ("6–24 h", "Suivre la mutation narrative",
+     "Surveiller si la crise passe d'Ultia vers argent public, censure, sécurité ou défiance institutionnelle."),
+)
+AVOID = (
+    "Ne pas attaquer les internautes, journalistes, créateurs ou camps politiques.",
+    "Ne pas minimiser la colère : préférer reconnaître les interrogations.",
+    "Ne pas employer de termes accusatoires non prouvés comme 'bots' ou 'manipulation organisée'.",
+    "Ne pas publier un message long et défensif sur X en premier réflexe.",
+    "Ne pas promettre une enquête, une sanction ou une réforme si ce n'est pas validé en interne.",
+)
+RISKS_IF_SILENT = (
+    "Le vide de communication peut laisser le narratif dominant s'installer.",
+    "Les comptes moteurs peuvent imposer leur cadrage sans contradiction factuelle.",
+    "Le débat peut muter vers une critique plus large de l'institution et des aides publiques.",
+)
+RISKS_IF_OVERREACTING = (
+    "Une réponse trop défensive peut relancer le pic et générer de nouveaux quote tweets.",
+    "Une réponse politique peut confirmer le narratif de partialité/censure.",
+    "Une réponse trop juridique peut paraître froide ou opaque.",
+)
+ESCALATION_TRIGGERS = (
+    "Nouveau pic horaire supérieur au pic précédent ou reprise par un média national.",
+    "Hausse du narratif 'argent public/copinerie' sur plusieurs heures.",
+    "Apparition de menaces, doxxing, appels ciblés ou risque de sécurité.",
+    "Interpellation directe d'un décideur, ministère, partenaire ou média majeur.",
+)
+PACK_FINAL_RULE = ("**Règle finale :** aucun message n'est publié automatiquement. La cellule communication garde la "
+                   "décision finale.")
+
+# FIXED VALUES — answer sections of the question router.
+ANSWER_EMPTY = "Pose une question sur le diagnostic, les narratifs, la propagation, la stratégie ou les messages."
+ANSWER_SOURCES_PREFIX = "\n\n---\n**Sources utilisées en priorité :** "
+SOURCE_PRIORITY = (
+    "Agent 1 — diagnostic chiffré",
+    "Agent 2 — narratifs / acteurs",
+    "Agent 3 — propagation / coordination prudente",
+    "Agent 4 — stratégie de riposte",
+    "Agent 5 — messages / garde-fou",
+)
