@@ -33,7 +33,6 @@ DEFAULT_DATE_FORMATS: tuple[str | None, ...] = (
     "dd/MM/yyyy HH:mm",
     "dd/MM/yyyy",
     "dd-MM-yyyy HH:mm",
-    "EEE MMM dd HH:mm:ss Z yyyy",
 )
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
@@ -84,11 +83,14 @@ def narratives_array(lexicon: Sequence[C.Narrative], default: str = C.DEFAULT_NA
 
 def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,
            date_formats: Sequence[str | None] = DEFAULT_DATE_FORMATS, exact_accents: bool = False,
-           approx_p95: bool = False) -> DataFrame:
+           approx_p95: bool = False, streaming: bool = False, reach_p95: float | None = None) -> DataFrame:
     """Raw posts -> enriched corpus (schema in FIXTURES.md §2).
 
     Rows whose date does not parse are dropped.  ``approx_p95`` switches the
     corpus-wide reach quantile to ``percentile_approx`` for very large data.
+    On a stream (``streaming=True``) the corpus quantile cannot be computed
+    per row; ``reach_p95`` (e.g. from the batch corpus) is used instead, and
+    without it the reach term of the risk level is left out.
     """
     m = resolve_mapping(raw, mapping)
     src = select_mapped(raw, m)
@@ -158,6 +160,9 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
         "mentions_list",
         narratives_array(lexicon).alias("narratives"),
     ).withColumn("main_narrative", F.col("narratives")[0])
+    if streaming or reach_p95 is not None:
+        p95 = stage3.sparkSession.createDataFrame([(reach_p95,)], "reach_p95 double")
+        return with_risk_level(stage3, lexicon, p95=p95)
     return with_risk_level(stage3, lexicon, approx_p95=approx_p95)
 
 
@@ -168,10 +173,11 @@ def reach_quantile(df: DataFrame, q: float = C.REACH_QUANTILE, approx: bool = Fa
 
 
 def with_risk_level(df: DataFrame, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,
-                    approx_p95: bool = False) -> DataFrame:
+                    approx_p95: bool = False, p95: DataFrame | None = None) -> DataFrame:
     """risk = 1 + #sensitive narratives + 1 if negative + 0.5 if retweet
     + 1 if reach >= corpus p95 (p95 > 0); half-even rounded, clamped 1..5."""
-    p95 = reach_quantile(df, approx=approx_p95)
+    if p95 is None:
+        p95 = reach_quantile(df, approx=approx_p95)
     sensitive = [F.col(narrative_flag_name(n.label)).cast("int") for n in lexicon if n.sensitive]
     score = (F.lit(1.0) + sum(sensitive, F.lit(0))
              + F.when(F.col("sentiment").isin(*C.NEGATIVE_SENTIMENTS), 1.0).otherwise(0.0)
