@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -167,9 +167,64 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
 
 
 def reach_quantile(df: DataFrame, q: float = C.REACH_QUANTILE, approx: bool = False) -> DataFrame:
-    """One-row DataFrame with the corpus reach quantile (linear interpolation)."""
-    agg = F.percentile_approx("reach", q, 100000) if approx else F.percentile("reach", q)
-    return df.agg(agg.cast("double").alias("reach_p95"))
+    """One-row DataFrame with the corpus reach quantile (linear interpolation).
+
+    Exact by default, without funnelling every distinct value through one
+    task (what Spark's ``percentile`` does in its final merge): see
+    :func:`exact_quantile`.  ``approx`` uses ``percentile_approx``."""
+    if approx:
+        return df.agg(F.percentile_approx("reach", q, 100000).cast("double").alias("reach_p95"))
+    value = exact_quantile(df, "reach", q)
+    return df.sparkSession.createDataFrame([(value,)], "reach_p95 double")
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int | None = None) -> float | None:
+    """Exact ``q`` quantile (numpy 'linear') by distributed selection.
+
+    1. approximate quantiles give ``buckets - 1`` boundaries (driver: P numbers);
+    2. rows per bucket (<= P rows to the driver) locate the two order
+       statistics the interpolation needs;
+    3. only those buckets' distinct values (with counts) are ranked.
+    Each step is a small aggregate; no task ever holds all values."""
+    spark = df.sparkSession
+    n_buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    bounds = sorted(set(vals.approxQuantile("v", probs, 1.0 / (4 * n_buckets))))
+    bucket = F.lit(0)
+    if bounds:
+        # index of the first boundary above v = number of boundaries <= v
+        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("v")))
+    tagged = vals.withColumn("bkt", bucket)
+    counts = sorted((r["bkt"], r["c"]) for r in tagged.groupBy("bkt").agg(F.count(F.lit(1)).alias("c")).collect())
+    n = sum(c for _, c in counts)
+    if n == 0:
+        return None
+    pos = q * (n - 1)
+    lo_rank = int(pos)
+    hi_rank = min(lo_rank + 1, n - 1)
+    t = pos - lo_rank
+
+    def locate(rank: int) -> tuple[int, int]:
+        before = 0
+        for b, c in counts:
+            if rank < before + c:
+                return b, rank - before
+            before += c
+        raise AssertionError("rank outside the data")
+
+    wanted = {locate(lo_rank), locate(hi_rank)}
+    picked = {}
+    for b in {b for b, _ in wanted}:
+        dist = tagged.where(F.col("bkt") == b).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+        ranked = dist.withColumn("cum", F.sum("c").over(w))
+        for bb, local in wanted:
+            if bb == b:
+                picked[(bb, local)] = ranked.where(F.col("cum") > local).orderBy("v").first()["v"]
+    a, b_ = picked[locate(lo_rank)], picked[locate(hi_rank)]
+    diff = b_ - a
+    return b_ - diff * (1 - t) if t >= 0.5 else a + diff * t
 
 
 def with_risk_level(df: DataFrame, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,
