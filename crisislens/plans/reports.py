@@ -28,6 +28,7 @@ from ..operators.periods import crisis_velocity
 
 BY = ("period_id",)
 NL = "\n"
+MAX_BROADCAST_CONTEXTS = 2000      # report rows are a few KB each
 
 
 def ts_str(c: Column) -> Column:
@@ -295,7 +296,11 @@ def answers(questions: DataFrame, Ep: DataFrame, E: DataFrame, text_col: str = "
     a4 = strategy_report(Ep, E).select(*BY, "priority", "posture", F.col("markdown").alias("a4_md"))
     a5 = pack_report(Ep, E).select(*BY, F.col("markdown").alias("a5_md"))
     ctx = _join_all(brief, kp, a2, a3, prop_json, a4, a5)
-    x = questions.join(ctx, list(BY), "left")
+    # One context row per period.  Many questions may concern one period (a
+    # hot key for a shuffled join), so the context side is broadcast when its
+    # counted size allows, which is the usual case (tens of periods).
+    n_ctx = ctx.count()
+    x = questions.join(F.broadcast(ctx) if n_ctx <= MAX_BROADCAST_CONTEXTS else ctx, list(BY), "left")
     route = RU.route_question(F.col(text_col))
     has = lambda src: F.array_contains(route, src)
     srcs = [r[0] for r in RU.ROUTES]
