@@ -21,7 +21,7 @@ from crisislens.operators import periods as P
 from crisislens.operators import propagation as PR
 from crisislens.operators import strategy as ST
 from crisislens.operators import timeline as TL
-from crisislens.operators.enrich import enrich
+from crisislens.operators.enrich import enrich, with_risk_level
 from crisislens.session import get_spark, materialize
 from crisislens.sources.fixtures import POSTS_MAPPING, raw_posts
 
@@ -42,8 +42,11 @@ def main() -> None:
         times[name] = round(time.perf_counter() - t, 3)
         return out
 
-    E = timed("enrich", lambda: materialize(enrich(raw_posts(spark, sf_dir), POSTS_MAPPING), "enriched",
-                                            partition_by=["date"]))
+    # the text work is materialized once; the risk level (needs the corpus
+    # reach quantile) is a cheap projection over the stored columns
+    pre = timed("enrich", lambda: materialize(enrich(raw_posts(spark, sf_dir), POSTS_MAPPING, with_risk=False),
+                                              "enriched", partition_by=["date"]))
+    E = timed("risk_level", lambda: with_risk_level(pre))
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
     timed("kpis", lambda: M.kpis(E).collect())
@@ -69,9 +72,9 @@ def main() -> None:
     timed("narrative_samples", lambda: N.sample_posts(E, 3).collect())
     timed("propagation", lambda: PR.propagation_metrics(E).collect())
     timed("concentration", lambda: PR.concentration_metrics(E).collect())
-    timed("copy_patterns", lambda: PR.copy_patterns(E).collect())
+    copies = timed("copy_patterns", lambda: PR.copy_patterns(E).checkpoint(eager=True))
     timed("coordination", lambda: PR.coordination(PR.propagation_metrics(E), PR.concentration_metrics(E),
-                                                  PR.copy_patterns(E), TL.bursts(E)).collect())
+                                                  copies, TL.bursts(E)).collect())
     timed("message_pack", lambda: ST.message_pack(ST.strategy_rows(Ep, E)).collect())
     timed("guardrail", lambda: conv.select(*[c.alias(k) for k, c in RU.guardrail(F.col("text")).items()])
           .groupBy("statut").count().collect())

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from .. import config as C
 from ..functions.numbers import round_even, safe_double
-from ..functions.text import extract_tokens, fold_lower, matches_any, trim_ws
+from ..functions.text import copy_fingerprint, extract_tokens, fold_lower, matches_any, trim_ws
 from ..sources.mapping import Mapping, norm_name, resolve_mapping, select_mapped
 
 # Formats tried in order for string dates (None = ISO-8601 cast rules).
@@ -83,7 +83,8 @@ def narratives_array(lexicon: Sequence[C.Narrative], default: str = C.DEFAULT_NA
 
 def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,
            date_formats: Sequence[str | None] = DEFAULT_DATE_FORMATS, exact_accents: bool = False,
-           approx_p95: bool = False, streaming: bool = False, reach_p95: float | None = None) -> DataFrame:
+           approx_p95: bool = False, streaming: bool = False, reach_p95: float | None = None,
+           with_risk: bool = True, with_fingerprint: bool = True) -> DataFrame:
     """Raw posts -> enriched corpus (schema in FIXTURES.md §2).
 
     Rows whose date does not parse are dropped.  ``approx_p95`` switches the
@@ -91,6 +92,10 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
     On a stream (``streaming=True``) the corpus quantile cannot be computed
     per row; ``reach_p95`` (e.g. from the batch corpus) is used instead, and
     without it the reach term of the risk level is left out.
+    ``with_risk=False`` stops before the risk level (materialize the text
+    work first, then add it with :func:`with_risk_level`: the quantile then
+    scans one stored column).  ``with_fingerprint`` keeps the copy-paste
+    fingerprint as a column, computed in the same single pass over the text.
     """
     m = resolve_mapping(raw, mapping)
     src = select_mapped(raw, m)
@@ -153,6 +158,8 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
         tokens("hashtags", "#").alias("hashtags_list"),
         tokens("mentions", "@").alias("mentions_list"),
         *narrative_columns(F.col("text_norm"), lexicon),
+        *([copy_fingerprint(F.col("text_raw"), C.COPY_FINGERPRINT_CHARS).alias("fingerprint")]
+          if with_fingerprint else []),
     )
     stage3 = stage2.select(
         *[c for c in stage2.columns if c != "mentions_list"],
@@ -160,6 +167,8 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
         "mentions_list",
         narratives_array(lexicon).alias("narratives"),
     ).withColumn("main_narrative", F.col("narratives")[0])
+    if not with_risk:
+        return stage3
     if streaming or reach_p95 is not None:
         p95 = stage3.sparkSession.createDataFrame([(reach_p95,)], "reach_p95 double")
         return with_risk_level(stage3, lexicon, p95=p95)

@@ -79,8 +79,11 @@ def copy_patterns(E: DataFrame, min_count: int = C.COPY_MIN_COUNT, top: int | No
 
     All aggregates combine map-side (a hot template is reduced before the
     shuffle); the example is the text of the earliest post (lowest post_id)."""
-    fp = E.select(*by, copy_fingerprint(F.col("text_raw"), C.COPY_FINGERPRINT_CHARS).alias("fingerprint"),
-                  "author", "dt", "reach", "post_id")
+    # an enriched corpus carries the fingerprint (computed in its one text
+    # pass); otherwise derive it here
+    fingerprint = F.col("fingerprint") if "fingerprint" in E.columns else \
+        copy_fingerprint(F.col("text_raw"), C.COPY_FINGERPRINT_CHARS)
+    fp = E.select(*by, fingerprint.alias("fingerprint"), "author", "dt", "reach", "post_id")
     g = fp.groupBy(*by, "fingerprint").agg(
         F.count(F.lit(1)).alias("count"),
         F.countDistinct("author").alias("authors"),
