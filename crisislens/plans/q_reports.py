@@ -5,12 +5,78 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import texts as TX
+from ..config import NEGATIVE_SENTIMENTS
 from . import reports as RP
-from .q_periods import _periods
-from .registry import register
-
-
-@register("brief_rows", None, "R1 period analysis, R2 deterministic brief (text per period)")
+from .oracle import q, with_e_ctes
+from .q_periods import _CV_CTES, _periods
+from .registry import register, sln1p
+
+
+def _fint(x: str) -> str:
+    return f"replace(format('{{:,}}', CAST(round_even(CAST({x} AS DOUBLE), 0) AS BIGINT)), ',', ' ')"
+
+
+def _ts(x: str) -> str:
+    us = f"(epoch_us({x}) % 1000000)"
+    return (f"(strftime({x}, '%Y-%m-%d %H:%M:%S') || CASE WHEN {us} = 0 THEN '' "
+            f"ELSE '.' || lpad(CAST({us} AS VARCHAR), 6, '0') END)")
+
+
+_NEG = "(" + ", ".join(q(x) for x in NEGATIVE_SENTIMENTS) + ")"
+_NL = "chr(10)"
+
+BRIEF_SQL = with_e_ctes(_CV_CTES + f""",
+kp AS (SELECT period_id, count(*) AS messages, count(DISTINCT author) AS auteurs, min(dt) AS debut, max(dt) AS fin,
+   100.0 * count_if(is_retweet) / count(*) AS rt_pct, sum(reach) AS reach, sum(impressions) AS impressions,
+   100.0 * count_if(sentiment IN {_NEG}) / count(*) AS neg_pct, avg(risk_level) AS risk FROM ep GROUP BY period_id),
+nn AS (SELECT period_id, count(*) AS n_posts FROM ep GROUP BY period_id),
+nc AS (SELECT period_id, narrative, count(*) AS c FROM (SELECT period_id, unnest(narratives) AS narrative FROM ep)
+   GROUP BY period_id, narrative),
+nr AS (SELECT nc.*, row_number() OVER (PARTITION BY nc.period_id ORDER BY c DESC, narrative) AS r,
+   CAST(c AS DOUBLE) / greatest(1, n_posts) * 100 AS p FROM nc JOIN nn USING (period_id)),
+nl AS (SELECT period_id, string_agg('- ' || narrative || ' : ' || {_fint('c')} || ' occurrences (' ||
+   printf('%.1f', p) || '% des messages).', {_NL} ORDER BY r) AS lines,
+   max(CASE WHEN r = 1 THEN narrative END) AS dominant FROM nr WHERE r <= 5 GROUP BY period_id),
+sc AS (SELECT period_id, sentiment, count(*) AS c FROM ep GROUP BY period_id, sentiment),
+sd AS (SELECT period_id, sentiment AS dom_sent FROM (SELECT *, row_number() OVER (PARTITION BY period_id
+   ORDER BY c DESC, sentiment) AS r FROM sc) WHERE r = 1),
+au AS (SELECT period_id, author, count(*) AS messages, sum(likes) AS likes, sum(shares) AS shares,
+   sum(reach) AS reach, max(followers) AS followers FROM ep GROUP BY period_id, author),
+ai AS (SELECT *, {sln1p('reach')} * 0.35 + {sln1p('shares')} * 0.25 + {sln1p('likes')} * 0.20
+   + {sln1p('messages')} * 0.10 + {sln1p('followers')} * 0.10 AS infl FROM au),
+ar AS (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY infl DESC, reach DESC, shares DESC, author) AS r
+   FROM ai),
+al AS (SELECT period_id, string_agg('- @' || author || ' : ' || {_fint('messages')} || ' messages, reach ' ||
+   {_fint('reach')} || ', shares ' || {_fint('shares')} || '.', {_NL} ORDER BY r) AS lines,
+   max(CASE WHEN r = 1 THEN author END) AS top_author FROM ar WHERE r <= 5 GROUP BY period_id)""",
+    f"""SELECT kp.period_id, kp.debut, kp.fin, f.score AS crisis_velocity_score,
+ CASE WHEN f.score >= 80 THEN 'CRISE FORTE' WHEN f.score >= 60 THEN 'CRISE ÉLEVÉE' WHEN f.score >= 40
+      THEN 'CRISE MODÉRÉE' ELSE 'SIGNAL FAIBLE / BRUIT' END AS niveau,
+ coalesce(nl.dominant, {q(TX.NOT_IDENTIFIED)}) AS dominant_narrative,
+ coalesce(al.top_author, {q(TX.NOT_IDENTIFIED)}) AS top_author,
+ {q(TX.BRIEF_TITLE)} || {_NL} || {_NL} ||
+ '**Période analysée :** ' || {_ts('kp.debut')} || ' → ' || {_ts('kp.fin')} || {_NL} ||
+ '**Niveau estimé :** ' || (CASE WHEN f.score >= 80 THEN 'CRISE FORTE' WHEN f.score >= 60 THEN 'CRISE ÉLEVÉE'
+      WHEN f.score >= 40 THEN 'CRISE MODÉRÉE' ELSE 'SIGNAL FAIBLE / BRUIT' END) || {_NL} ||
+ '**Crisis Velocity Score :** ' || CAST(f.score AS VARCHAR) || '/100' || {_NL} || {_NL} ||
+ '### 1. Chiffres clés' || {_NL} ||
+ '- ' || {_fint('kp.messages')} || ' messages publiés par ' || {_fint('kp.auteurs')} || ' auteurs uniques.' || {_NL} ||
+ '- ' || printf('%.1f', kp.rt_pct) || '% de retweets/reposts : la crise fonctionne surtout par amplification.' || {_NL} ||
+ '- Reach cumulé estimé : ' || {_fint('kp.reach')} || ' ; impressions : ' || {_fint('kp.impressions')} || '.' || {_NL} ||
+ '- Sentiment négatif : ' || printf('%.1f', kp.neg_pct) || '% ; risque moyen : ' || printf('%.2f', kp.risk) || '/5.'
+ || {_NL} || {_NL} || '### 2. Narratif dominant' || {_NL} ||
+ '- Narratif principal détecté : **' || coalesce(nl.dominant, {q(TX.NOT_IDENTIFIED)}) || '**.' ||
+ coalesce({_NL} || nl.lines, '') || {_NL} || {_NL} || '### 3. Acteurs et amplification' || {_NL} ||
+ '- Compte le plus influent sur la période : **@' || coalesce(al.top_author, {q(TX.NOT_IDENTIFIED)}) ||
+ '** selon le score d''influence calculé.' || coalesce({_NL} || al.lines, '') || {_NL} || {_NL} ||
+ '### 4. Lecture stratégique' || {_NL} || {" || chr(10) || ".join(q(t) for t in TX.BRIEF_STRATEGY)} ||
+ CASE WHEN sd.dom_sent IN {_NEG} THEN {_NL} || {q(TX.BRIEF_NEGATIVE)} ELSE '' END AS brief
+FROM kp JOIN f USING (period_id) LEFT JOIN nl USING (period_id) LEFT JOIN sd USING (period_id)
+ LEFT JOIN al USING (period_id)""")
+
+
+@register("brief_rows", BRIEF_SQL, "R1 period analysis, R2 deterministic brief (text per period)")
 def brief_rows(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
     return RP.brief_rows(Ep, E)
