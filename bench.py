@@ -31,7 +31,8 @@ def main() -> None:
     cpus = int(os.environ.get("BENCH_CPUS", "8"))
     extra = {"spark.driver.memory": "16g", "spark.sql.files.maxPartitionBytes": str(16 * 1024 * 1024)}
     # single machine: our own scratch folder, used only if none is configured
-    spark = get_spark("crisislens-bench", master=f"local[{cpus}]", shuffle_partitions=max(8, 2 * cpus), extra=extra,
+    parts = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", str(max(8, 2 * cpus))))
+    spark = get_spark("crisislens-bench", master=f"local[{cpus}]", shuffle_partitions=parts, extra=extra,
                       local_checkpoint_dir=tempfile.mkdtemp(prefix="crisislens-bench-"))
 
     times: dict[str, float] = {}

@@ -94,13 +94,49 @@ def propagation_report(spark, sf_dir):
     return RP.propagation_report(Ep)
 
 
-@register("strategy_report", None, "R6 strategy (priority, posture, axes, plan, avoid, triggers) per period")
+def _strategy_sql() -> str:
+    from .q_rules import STRATEGY_CTES, _POSTURE, _PRIORITY, _SENSITIVE
+    axes = [f"- **{a}** — {b} {c}" for a, b, c in TX.MESSAGE_AXES]
+    plan = [f"- **{t} — {a} :** {d}" for t, a, d in TX.ACTION_PLAN]
+    tail = (["", "### Axes de réponse", *axes, "", "### Plan d'action", *plan, "", "### À éviter absolument",
+             *[f"- {t}" for t in TX.AVOID], "", "### Déclencheurs d'escalade",
+             *[f"- {t}" for t in TX.ESCALATION_TRIGGERS]])
+    tail_sql = " || ".join(f"{_NL} || {q(t)}" for t in tail)
+    return with_e_ctes(STRATEGY_CTES + f""",
+sk AS (SELECT period_id, min(dt) AS debut, max(dt) AS fin, count(*) AS messages,
+   100.0 * count_if(is_retweet) / count(*) AS rt_pct FROM ep GROUP BY period_id),
+sr AS (SELECT st.*, sk.debut, sk.fin, sk.messages, sk.rt_pct, {_PRIORITY} AS priority, {_POSTURE} AS posture,
+   array_to_string({_SENSITIVE}, '|') AS sensitive_points FROM st LEFT JOIN sk USING (period_id))""",
+        f"""SELECT period_id, score, niveau, dominant_narrative, priority, posture, sensitive_points,
+ '## Agent 4 — Stratégie de riposte' || {_NL} || {_NL} || '**Période source :** ' || {_ts('debut')} || ' → ' ||
+ {_ts('fin')} || {_NL} || '**Niveau :** ' || niveau || ' — score ' || CAST(score AS VARCHAR) || '/100' || {_NL} ||
+ '**Priorité :** ' || priority || {_NL} || {q('**Objectif :** ' + TX.DEFAULT_OBJECTIVE)} || {_NL} ||
+ '**Posture recommandée :** ' || posture || {_NL} || {q('**Cibles :** ' + ', '.join(TX.DEFAULT_TARGETS))} ||
+ {_NL} || {_NL} || '### Diagnostic stratégique' || {_NL} || '- Messages analysés : ' || {_fint('messages')} ||
+ ' ; retweets/reposts : ' || printf('%.1f', rt_pct) || '%.' || {_NL} ||
+ '- Le narratif dominant détecté est : ' || dominant_narrative || '.' || {_NL} ||
+ {q("- Le risque prioritaire est la perte de contrôle du cadrage public, plus que la simple correction d'un fait.")}
+ || {tail_sql} AS markdown FROM sr""")
+
+
+@register("strategy_report", _strategy_sql(), "R6 strategy (priority, posture, axes, plan, avoid, triggers) per period")
 def strategy_report(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
     return RP.strategy_report(Ep, E).withColumn("sensitive_points", F.array_join("sensitive_points", "|"))
 
 
-@register("pack_report", None, "R7 message pack markdown with guardrail lines per period")
+def _pack_report_sql() -> str:
+    from .q_rules import pack_ctes
+    head = " || ".join(q(t) + f" || {_NL}" for t in (
+        "## Agent 5 — Messages rédigés + garde-fou", "", f"**Ton :** {TX.DEFAULT_TONE}",
+        f"**Porte-parole :** {TX.DEFAULT_SPOKESPERSON}", ""))
+    return with_e_ctes(pack_ctes(), f"""SELECT period_id, {head} ||
+ string_agg('### ' || canal || {_NL} || text || {_NL}, {_NL} ORDER BY channel_order) || {_NL} || '### Garde-fou' ||
+ {_NL} || string_agg('- **' || canal || '** : ' || statut || ' — ' || "risques_detectés" || '.', {_NL}
+   ORDER BY channel_order) || {_NL} || {_NL} || {q(TX.PACK_FINAL_RULE)} AS markdown FROM pg GROUP BY period_id""")
+
+
+@register("pack_report", _pack_report_sql(), "R7 message pack markdown with guardrail lines per period")
 def pack_report(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
     return RP.pack_report(Ep, E)

@@ -96,16 +96,21 @@ def strategy_rows(spark, sf_dir):
     return ST.strategy_rows(Ep, E).withColumn("sensitive_points", F.array_join("sensitive_points", "|"))
 
 
-def _pack_sql() -> str:
+def pack_ctes() -> str:
+    """CTEs up to ``pg``: every period's messages with guardrail columns."""
     values = ",\n ".join(f"({i}, {q(c)}, {q(t)})" for i, (c, t) in enumerate(CHANNEL_TEMPLATES)
                          if c in DEFAULT_CHANNELS)
     text = ("replace(replace(replace(replace(template, '{spokesperson}', " + q(DEFAULT_SPOKESPERSON) + "), "
             "'{niveau}', niveau), '{score}', CAST(score AS VARCHAR)), '{dominant}', dominant_narrative)")
-    return with_e_ctes(STRATEGY_CTES + f""",
+    return STRATEGY_CTES + f""",
 tp(channel_order, canal, template) AS (VALUES
  {values}),
-pk AS (SELECT period_id, channel_order, canal, {text} AS text FROM st CROSS JOIN tp)""",
-                       f"SELECT period_id, channel_order, canal, text, {guardrail_sql('text')} FROM pk")
+pk AS (SELECT period_id, channel_order, canal, {text} AS text FROM st CROSS JOIN tp),
+pg AS (SELECT period_id, channel_order, canal, text, {guardrail_sql('text')} FROM pk)"""
+
+
+def _pack_sql() -> str:
+    return with_e_ctes(pack_ctes(), "SELECT * FROM pg")
 
 
 @register("message_pack", _pack_sql(),
