@@ -26,3 +26,10 @@ def test_scan_prunes_columns(spark, tmpdir_path):
     E = materialize(corpus(spark, SF_SMALL), "enriched", ["date"])
     plan = _plan(E.where("date = date'2024-01-02'").groupBy("author").count())
     assert "PartitionFilters: [isnotnull(date" in plan and "text_raw" not in plan
+
+
+def test_topk_plans(spark):
+    import __spark_entry__ as entry
+    per_period = _plan(entry.queries()["period_top_authors"](spark, SF_SMALL))
+    assert per_period.count("WindowGroupLimit") >= 2          # partial limit before the shuffle + final
+    assert "TakeOrderedAndProject" in _plan(entry.queries()["top_authors"](spark, SF_SMALL))
