@@ -88,7 +88,82 @@ def narratives_report(spark, sf_dir):
     return RP.narratives_report(Ep)
 
 
-@register("propagation_report", None, "R4 propagation report (markdown per period)")
+def _propagation_report_sql() -> str:
+    from ..operators import propagation as PR
+    from .oracle import FINGERPRINT_SQL
+    from .registry import spct, sround_py
+    from .q_periods import PERIOD_CTES
+    n = _NL
+    ctes = PERIOD_CTES + f""",
+xph AS (SELECT period_id, hour, count(*) AS c FROM ep GROUP BY period_id, hour),
+xpk AS (SELECT period_id, max(c) AS peak FROM xph GROUP BY period_id),
+xpb AS (SELECT period_id, min(dt) AS st, max(dt) AS en, count(*) AS messages, count_if(is_retweet) AS rt,
+   count(DISTINCT author) AS ua FROM ep GROUP BY period_id),
+xpp AS (SELECT xpb.*, peak, greatest(1.0, CAST(epoch_us(en) - epoch_us(st) AS DOUBLE) / 1e6 / 3600.0) AS hours
+   FROM xpb JOIN xpk USING (period_id)),
+xprop AS (SELECT period_id, messages, ua, peak, {sround_py('hours', 2)} AS dur, {sround_py('messages / hours', 2)} AS mph,
+   {sround_py('peak / greatest(messages / hours, 1e-9)', 2)} AS accel, {sround_py(spct('rt', 'messages'), 1)} AS rtp
+   FROM xpp),
+xca AS (SELECT period_id, author, count(*) AS messages, sum(reach) AS reach, sum(shares) AS shares FROM ep
+   GROUP BY period_id, author),
+xck AS (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY reach DESC, shares DESC, messages DESC, author)
+   AS rank FROM xca),
+xct AS (SELECT period_id, sum(messages) AS tm, sum(reach) AS tr, sum(shares) AS ts FROM xck WHERE rank <= 10
+   GROUP BY period_id),
+xcn AS (SELECT period_id, count(*) AS n, sum(reach) AS r, sum(shares) AS s FROM ep GROUP BY period_id),
+xconc AS (SELECT period_id, round_even(CAST(tm AS DOUBLE) / greatest(n, 1) * 100 * 10, 0) / 10 AS msp,
+   round_even(tr / greatest(r, 1.0) * 100 * 10, 0) / 10 AS rsp,
+   round_even(ts / greatest(s, 1.0) * 100 * 10, 0) / 10 AS ssp FROM xct JOIN xcn USING (period_id)),
+xcf AS (SELECT period_id, {FINGERPRINT_SQL} AS fingerprint, author, reach, post_id, text_raw FROM ep),
+xcg AS (SELECT period_id, fingerprint, count(*) AS count, count(DISTINCT author) AS authors, sum(reach) AS reach,
+   substr(arg_min(text_raw, post_id), 1, 260) AS example FROM xcf GROUP BY period_id, fingerprint
+   HAVING count(*) >= 3 AND length(fingerprint) > 40),
+xcp AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY period_id
+   ORDER BY count DESC, authors DESC, reach DESC, fingerprint) AS rank FROM xcg) WHERE rank <= 15),
+xbt AS (SELECT period_id, hour, count(*) AS messages, count_if(is_retweet) AS rt FROM ep GROUP BY period_id, hour),
+xbz AS (SELECT *, (messages - avg(messages) OVER (PARTITION BY period_id)) /
+   (CASE WHEN stddev_pop(messages) OVER (PARTITION BY period_id) = 0 THEN 1
+         ELSE stddev_pop(messages) OVER (PARTITION BY period_id) END) AS z FROM xbt),
+xbk AS (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY z DESC, messages DESC, hour) AS rank FROM xbz),
+xbl AS (SELECT *, CASE WHEN z >= 3 THEN 'pic majeur' WHEN z >= 2 THEN 'pic notable' ELSE 'normal' END AS lvl,
+   CASE WHEN messages > 0 THEN rt / messages * 100 ELSE 0 END AS brt FROM xbk WHERE rank <= 12),
+xcc AS (SELECT p.period_id, p.messages, p.ua, p.peak, p.dur, p.mph, p.accel, p.rtp, c.msp, c.rsp, c.ssp,
+   least(25.0, p.rtp * 0.25) AS rt_c, least(25.0, c.rsp * 0.35) AS conc_c,
+   least(25.0, (SELECT count(*) FROM xcp WHERE xcp.period_id = p.period_id) * 3.5) AS copy_c,
+   least(25.0, (SELECT count(*) FROM xbl WHERE xbl.period_id = p.period_id AND lvl <> 'normal') * 4.0) AS burst_c
+ FROM xprop p JOIN xconc c USING (period_id)),
+xcs AS (SELECT *, {sround_py('rt_c + conc_c + copy_c + burst_c', 1)} AS raw FROM xcc),
+xcl AS (SELECT period_id, string_agg('- Gabarit repris ' || {_fint('count')} || ' fois par ' || {_fint('authors')} ||
+   ' auteurs ; exemple : ' || substr(example, 1, 140) || '...', {n} ORDER BY rank) AS lines
+   FROM xcp WHERE rank <= 5 GROUP BY period_id),
+xbb AS (SELECT period_id, string_agg('- ' || {_ts('hour')} || ' : ' || {_fint('messages')} || ' messages, ' ||
+   printf('%.1f', brt) || '% RT — ' || lvl || '.', {n} ORDER BY rank) AS lines FROM xbl WHERE rank <= 5
+   GROUP BY period_id)"""
+    labels = PR.COORDINATION_LABELS
+    label = (f"CASE WHEN raw >= 75 THEN {q(labels[0][1])} WHEN raw >= 50 THEN {q(labels[1][1])} "
+             f"WHEN raw >= 25 THEN {q(labels[2][1])} ELSE {q(PR.COORDINATION_DEFAULT)} END")
+    reading = (f"array_to_string(list_filter([CASE WHEN rtp >= 70 THEN {q('- ' + PR.READING_RT)} END, "
+               f"CASE WHEN accel >= 4 THEN {q('- ' + PR.READING_ACCEL)} END, "
+               f"CASE WHEN least(100.0, raw) >= 50 THEN {q('- ' + PR.READING_SCORE)} END, "
+               f"{q('- ' + PR.READING_ALWAYS)}], lambda x: x IS NOT NULL), {n})")
+    score_txt = "CASE WHEN least(100.0, raw) >= 100 THEN '100' ELSE CAST(least(100.0, raw) AS VARCHAR) END"
+    return with_e_ctes(ctes, f"""SELECT xcs.period_id, least(100.0, raw) AS score, {label} AS label,
+ '## Agent 3 — Propagation et coordination prudente' || {n} || {n} ||
+ '**Score de coordination prudente :** ' || {score_txt} || '/100 — ' || {label} || '.' || {n} ||
+ {q('_Prudence : ' + PR.PRUDENCE + '_')} || {n} || {n} || '### Propagation' || {n} ||
+ '- ' || {_fint('messages')} || ' messages sur ' || CAST(dur AS VARCHAR) || ' h, soit ' || CAST(mph AS VARCHAR) ||
+ ' messages/h en moyenne.' || {n} || '- Pic horaire : ' || {_fint('peak')} ||
+ ' messages ; ratio d''accélération : ×' || CAST(accel AS VARCHAR) || '.' || {n} ||
+ '- Retweets/reposts : ' || CAST(rtp AS VARCHAR) || '% ; auteurs uniques : ' || {_fint('ua')} || '.' || {n} || {n} ||
+ '### Concentration' || {n} || '- Top comptes : ' || CAST(msp AS VARCHAR) || '% des messages, ' ||
+ CAST(rsp AS VARCHAR) || '% du reach, ' || CAST(ssp AS VARCHAR) || '% des shares.' ||
+ coalesce({n} || {n} || '### Copier-coller / gabarits' || {n} || xcl.lines, '') ||
+ coalesce({n} || {n} || '### Pics horaires' || {n} || xbb.lines, '') ||
+ {n} || {n} || '### Lecture opérationnelle' || {n} || {reading} AS markdown
+FROM xcs LEFT JOIN xcl USING (period_id) LEFT JOIN xbb USING (period_id)""")
+
+
+@register("propagation_report", _propagation_report_sql(), "R4 propagation report (markdown per period)")
 def propagation_report(spark, sf_dir):
     _, Ep = _periods(spark, sf_dir)
     return RP.propagation_report(Ep)
