@@ -8,21 +8,12 @@ from pyspark.sql import functions as F
 from .. import texts as TX
 from ..config import NEGATIVE_SENTIMENTS
 from . import reports as RP
+from .report_sql import _fint, _ts, narratives_report_sql
 from .oracle import q, with_e_ctes
 from .q_periods import _CV_CTES, _periods
 from .registry import register, sln1p
 
 
-def _fint(x: str) -> str:
-    return f"replace(format('{{:,}}', CAST(round_even(CAST({x} AS DOUBLE), 0) AS BIGINT)), ',', ' ')"
-
-
-def _ts(x: str) -> str:
-    us = f"(epoch_us({x}) % 1000000)"
-    return (f"(strftime({x}, '%Y-%m-%d %H:%M:%S') || CASE WHEN {us} = 0 THEN '' "
-            f"ELSE '.' || lpad(CAST({us} AS VARCHAR), 6, '0') END)")
-
-
 _NEG = "(" + ", ".join(q(x) for x in NEGATIVE_SENTIMENTS) + ")"
 _NL = "chr(10)"
 
@@ -82,7 +73,7 @@ def brief_rows(spark, sf_dir):
     return RP.brief_rows(Ep, E)
 
 
-@register("narratives_report", None, "R3 narratives/actors report (markdown per period)")
+@register("narratives_report", narratives_report_sql(), "R3 narratives/actors report (markdown per period)")
 def narratives_report(spark, sf_dir):
     _, Ep = _periods(spark, sf_dir)
     return RP.narratives_report(Ep)
