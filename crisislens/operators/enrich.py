@@ -84,7 +84,7 @@ def narratives_array(lexicon: Sequence[C.Narrative], default: str = C.DEFAULT_NA
 def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,
            date_formats: Sequence[str | None] = DEFAULT_DATE_FORMATS, exact_accents: bool = False,
            approx_p95: bool = False, streaming: bool = False, reach_p95: float | None = None,
-           with_risk: bool = True, with_fingerprint: bool = True) -> DataFrame:
+           with_risk: bool = True, with_fingerprint: bool = True, require_rows: bool = True) -> DataFrame:
     """Raw posts -> enriched corpus (schema in FIXTURES.md §2).
 
     Rows whose date does not parse are dropped.  ``approx_p95`` switches the
@@ -104,6 +104,10 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
     col = lambda logical: F.col(f"src_{logical}")
 
     src = src.withColumn("dt", parse_datetime(col("date"), types["src_date"], date_formats)).where(F.col("dt").isNotNull())
+    # nothing left after dropping bad dates is an error (a limit-1 probe:
+    # stops at the first valid row)
+    if require_rows and not streaming and src.isEmpty():
+        raise ValueError("no valid date in the selected date column")
 
     text_raw = F.coalesce(col("text").cast("string"), F.lit(""))
     norm_src = F.coalesce(col("text_norm").cast("string"), text_raw) if has("text_norm") else text_raw

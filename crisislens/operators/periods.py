@@ -75,6 +75,15 @@ def peak_day_periods(E: DataFrame, top: int = 5, prefix: str = "peak_day_") -> D
     )
 
 
+def peak_day_period(E: DataFrame, rank: int, prefix: str = "peak_day_") -> DataFrame:
+    """The period of the ``rank``-th busiest day; a rank outside 1..#days
+    is an error (the day count is one small aggregate)."""
+    n_days = E.select("day").distinct().count()
+    if rank < 1 or rank > n_days:
+        raise ValueError(f"peak rank {rank} outside 1..{n_days}")
+    return peak_day_periods(E, top=rank, prefix=prefix).where(F.col("peak_rank") == rank)
+
+
 # FIXED VALUES — crisis levels of the velocity score.
 CRISIS_LEVELS = ((80, "CRISE FORTE"), (60, "CRISE ÉLEVÉE"), (40, "CRISE MODÉRÉE"))
 CRISIS_DEFAULT = "SIGNAL FAIBLE / BRUIT"

@@ -75,3 +75,10 @@ def test_one_projection_no_python(spark):
     plan = E._jdf.queryExecution().executedPlan().toString()
     assert "PythonUDF" not in plan and "ArrowEvalPython" not in plan and "BatchEvalPython" not in plan
     assert E.where(F.col("narr_argent_public_subventions")).count() == 1
+
+
+def test_no_valid_date_is_an_error(spark):
+    import pytest
+    bad = spark.createDataFrame([("nope", "a", "t"), (None, "b", "u")], "Date string, Author string, Tweet string")
+    with pytest.raises(ValueError):
+        enrich(bad)

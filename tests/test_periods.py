@@ -62,3 +62,13 @@ def test_focus_days_semi_join(spark):
     E = corpus(spark)
     f = P.focus_days(E, 1)
     assert f.select(F.countDistinct("day")).first()[0] == 1 and f.count() == 3
+
+
+def test_peak_day_rank_bounds(spark):
+    import pytest
+    E = corpus(spark)
+    assert P.peak_day_period(E, 2).first().period_id == "peak_day_2"
+    with pytest.raises(ValueError):
+        P.peak_day_period(E, 4)          # three days only
+    with pytest.raises(ValueError):
+        P.peak_day_period(E, 0)
