@@ -191,53 +191,58 @@ def reach_quantile(df: DataFrame, q: float = C.REACH_QUANTILE, approx: bool = Fa
     return df.sparkSession.createDataFrame([(value,)], "reach_p95 double")
 
 
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int | None = None) -> float | None:
+MAX_LOCAL_DISTINCT = 1_000_000   # distinct values one task may rank
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 64) -> float | None:
     """Exact ``q`` quantile (numpy 'linear') by distributed selection.
 
-    1. approximate quantiles give ``buckets - 1`` boundaries (driver: P numbers);
-    2. rows per bucket (<= P rows to the driver) locate the two order
-       statistics the interpolation needs;
-    3. only those buckets' distinct values (with counts) are ranked.
-    Each step is a small aggregate; no task ever holds all values."""
-    spark = df.sparkSession
-    n_buckets = buckets or max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    The two order statistics the interpolation needs are found by bucket
+    selection: approximate quantiles give bucket bounds (a few numbers to the
+    driver), rows per bucket (at most ``buckets`` rows) locate the bucket of
+    each rank, and only that bucket is looked at further.  A bucket is ranked
+    directly once it holds at most ``MAX_LOCAL_DISTINCT`` distinct values;
+    otherwise it is bucketed again.  No task ever holds all values."""
     vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    probs = [i / n_buckets for i in range(1, n_buckets)]
-    bounds = sorted(set(vals.approxQuantile("v", probs, 1.0 / (4 * n_buckets))))
-    bucket = F.lit(0)
-    if bounds:
-        # index of the first boundary above v = number of boundaries <= v
-        bucket = F.size(F.filter(F.array(*[F.lit(b) for b in bounds]), lambda b: b <= F.col("v")))
-    tagged = vals.withColumn("bkt", bucket)
-    counts = sorted((r["bkt"], r["c"]) for r in tagged.groupBy("bkt").agg(F.count(F.lit(1)).alias("c")).collect())
-    n = sum(c for _, c in counts)
+    n = vals.count()
     if n == 0:
         return None
     pos = q * (n - 1)
     lo_rank = int(pos)
     hi_rank = min(lo_rank + 1, n - 1)
     t = pos - lo_rank
+    got = _select_ranks(vals, sorted({lo_rank, hi_rank}), buckets)
+    a, b = got[lo_rank], got[hi_rank]
+    diff = b - a
+    return b - diff * (1 - t) if t >= 0.5 else a + diff * t
 
-    def locate(rank: int) -> tuple[int, int]:
-        before = 0
-        for b, c in counts:
-            if rank < before + c:
-                return b, rank - before
-            before += c
-        raise AssertionError("rank outside the data")
 
-    wanted = {locate(lo_rank), locate(hi_rank)}
-    picked = {}
-    for b in {b for b, _ in wanted}:
-        dist = tagged.where(F.col("bkt") == b).groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+def _select_ranks(vals: DataFrame, ranks: list[int], buckets: int) -> dict[int, float]:
+    """Values at 0-based ``ranks`` of the sorted column ``v``."""
+    dist = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    if dist.count() <= MAX_LOCAL_DISTINCT:
         w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
         ranked = dist.withColumn("cum", F.sum("c").over(w))
-        for bb, local in wanted:
-            if bb == b:
-                picked[(bb, local)] = ranked.where(F.col("cum") > local).orderBy("v").first()["v"]
-    a, b_ = picked[locate(lo_rank)], picked[locate(hi_rank)]
-    diff = b_ - a
-    return b_ - diff * (1 - t) if t >= 0.5 else a + diff * t
+        return {r: ranked.where(F.col("cum") > r).orderBy("v").first()["v"] for r in ranks}
+    probs = [i / buckets for i in range(1, buckets)]
+    bounds = sorted(set(vals.approxQuantile("v", probs, 1.0 / (4 * buckets))))
+    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("v")))
+    tagged = vals.withColumn("bkt", bucket)
+    counts = sorted((r["bkt"], r["c"]) for r in tagged.groupBy("bkt").agg(F.count(F.lit(1)).alias("c")).collect())
+    where: dict[int, list[tuple[int, int]]] = {}
+    for r in ranks:
+        before = 0
+        for bk, c in counts:
+            if r < before + c:
+                where.setdefault(bk, []).append((r, r - before))
+                break
+            before += c
+    out: dict[int, float] = {}
+    for bk, pairs in where.items():
+        sub = tagged.where(F.col("bkt") == bk).select("v")
+        local = _select_ranks(sub, [lr for _, lr in pairs], buckets)
+        out.update({r: local[lr] for r, lr in pairs})
+    return out
 
 
 def with_risk_level(df: DataFrame, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,

@@ -82,3 +82,18 @@ def test_no_valid_date_is_an_error(spark):
     bad = spark.createDataFrame([("nope", "a", "t"), (None, "b", "u")], "Date string, Author string, Tweet string")
     with pytest.raises(ValueError):
         enrich(bad)
+
+
+def test_exact_quantile_distributed_selection(spark, monkeypatch):
+    import random
+
+    import numpy as np
+
+    import crisislens.operators.enrich as EN
+    random.seed(11)
+    vals = [float(random.choice([0, 0, 5, random.randint(0, 40), random.randint(0, 10**5)])) for _ in range(3000)]
+    df = spark.createDataFrame([(v,) for v in vals], "reach double")
+    expected = float(np.quantile(np.array(vals), 0.95))
+    assert EN.exact_quantile(df, "reach", 0.95) == expected
+    monkeypatch.setattr(EN, "MAX_LOCAL_DISTINCT", 40)          # force the recursive bucket path
+    assert EN.exact_quantile(df, "reach", 0.95, buckets=6) == expected
