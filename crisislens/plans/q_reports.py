@@ -220,3 +220,9 @@ def answers(spark, sf_dir):
     qs = (spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
           .select("conv_id", "turn", F.col("text").alias("question"), F.lit("peak_day_1").alias("period_id")))
     return RP.answers(qs, Ep, E, keys=("conv_id", "turn"))
+
+
+@register("agent_context", None, "R8 per-period context of the answering step (all report parts, bounded)")
+def agent_context(spark, sf_dir):
+    E, Ep = _periods(spark, sf_dir)
+    return RP.agent_context(Ep, E)

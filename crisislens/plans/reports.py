@@ -338,3 +338,76 @@ def answers(questions: DataFrame, Ep: DataFrame, E: DataFrame, text_col: str = "
         F.concat_ws("\n\n", sections), F.lit(TX.ANSWER_SOURCES_PREFIX), F.concat_ws(", ", route), F.lit(".")))
     return x.select(*keys, *BY, F.array_join(route, "|").alias("sources"), answer.alias("answer"),
                     F.lit("déterministe").alias("mode"))
+
+
+# ------------------------------------------------ R8 full agent context
+
+def _records(df: DataFrame, k: int, order: list[Column], cols: list[str], name: str) -> DataFrame:
+    """(period_id, array of the first ``k`` rows as structs) - bounded."""
+    ranked = top_k(df, order, k, BY)
+    g = ranked.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct("rank", *cols))).alias("_r"))
+    return g.select(*BY, F.transform("_r", lambda r: r.dropFields("rank")).alias(name))
+
+
+def agent_context(Ep: DataFrame, E: DataFrame) -> DataFrame:
+    """Per period, the context every answer draws on, as one JSON document:
+    diagnosis, narratives, propagation, strategy, messages, source priority.
+    Every list is cut before it is collected.  The strategy keys read by the
+    answering step (priority messages, action plan, risks) are filled from
+    the response axes, the action plan and the two risk lists."""
+    base = context_json(Ep, E).select(*BY, F.from_json("context_json", _CONTEXT_SCHEMA).alias("agent1"))
+    rm = N.risk_matrix(N.narrative_matrix(Ep, BY))
+    a2 = _join_all(
+        narratives_report(Ep).select(*BY, shorten(F.col("markdown"), 3600).alias("markdown")),
+        _records(rm, 8, [F.asc("rank")], ["narrative", "messages", "pct_messages", "strategic_risk_score",
+                                          "risk_label", "angle_de_reponse"], "risk_matrix"),
+        _records(N.actor_narratives(Ep, 10, BY), 8, [F.asc("rank")],
+                 ["author", "narrative", "messages", "reach", "actor_narrative_score"], "actor_narratives"),
+        _records(N.detect_mutation(N.narrative_timeline(Ep, "hour", BY), "hour", BY).withColumn(
+            "period", ts_str(F.col("period"))), 8, [F.asc("period")],
+            ["period", "dominant_narrative", "messages", "previous", "mutation"], "mutation_signals"),
+        N.recommendations(rm, BY))
+    prop = PR.propagation_metrics(Ep, BY)
+    bursts = TL.bursts(Ep, by=BY).withColumn("hour", ts_str(F.col("hour")))
+    copies = PR.copy_patterns(Ep, by=BY)
+    coord = PR.coordination(prop, PR.concentration_metrics(Ep, 10, BY), copies, TL.bursts(Ep, by=BY), BY)
+    a3 = _join_all(
+        propagation_report(Ep).select(*BY, shorten(F.col("markdown"), 3600).alias("markdown")),
+        coord.select(*BY, F.struct(*[c for c in coord.columns if c not in BY]).alias("coordination_score")),
+        prop.select(*BY, F.struct(*[F.col(c) for c in prop.columns if c not in BY]).alias("propagation_metrics")),
+        _records(bursts, 8, [F.asc("rank")], ["hour", "messages", "zscore", "retweet_pct", "burst_level"],
+                 "burst_patterns"),
+        _records(copies, 8, [F.asc("rank")], ["fingerprint", "count", "authors", "example"], "copy_patterns"))
+    axes = F.array(*[F.struct(F.lit(a).alias("axe"), F.lit(b).alias("but"), F.lit(c).alias("formulation"))
+                     for a, b, c in TX.MESSAGE_AXES])
+    plan = F.array(*[F.struct(F.lit(t).alias("temps"), F.lit(a).alias("action"), F.lit(d).alias("détail"))
+                     for t, a, d in TX.ACTION_PLAN])
+    risks = F.struct(F.array(*[F.lit(x) for x in TX.RISKS_IF_SILENT]).alias("silence"),
+                     F.array(*[F.lit(x) for x in TX.RISKS_IF_OVERREACTING]).alias("sur_reaction"))
+    a4 = strategy_report(Ep, E).select(
+        *BY, shorten(F.col("markdown"), 4200).alias("markdown"), "priority", "posture",
+        axes.alias("messages_prioritaires"), plan.alias("plan_action"), risks.alias("risques"),
+        F.array(*[F.lit(x) for x in TX.AVOID]).alias("avoid"))
+    pack = ST.message_pack(ST.strategy_rows(Ep, E))
+    msgs = pack.groupBy(*BY).agg(
+        F.map_from_entries(F.collect_list(F.struct("canal", "text"))).alias("messages"),
+        F.sort_array(F.collect_list(F.struct("channel_order", "canal", "statut", "risques_detectés",
+                                             "points_à_renforcer", "longueur_caractères"))).alias("_g"))
+    a5 = pack_report(Ep, E).select(*BY, shorten(F.col("markdown"), 5200).alias("markdown")).join(
+        msgs.select(*BY, "messages", F.slice(F.transform("_g", lambda r: r.dropFields("channel_order")), 1, 12)
+                    .alias("guardrail")), list(BY), "left")
+    ctx = _join_all(base, _nest(a2, "agent2_narratifs"), _nest(a3, "agent3_propagation"),
+                    _nest(a4, "agent4_strategie"), _nest(a5, "agent5_redaction"))
+    doc = F.struct(F.col("agent1").alias("agent1_diagnostic"), "agent2_narratifs", "agent3_propagation",
+                   "agent4_strategie", "agent5_redaction",
+                   F.array(*[F.lit(x) for x in TX.SOURCE_PRIORITY]).alias("source_priority"))
+    return ctx.select(*BY, F.to_json(doc).alias("agent_context"))
+
+
+def _nest(df: DataFrame, name: str) -> DataFrame:
+    return df.select(*BY, F.struct(*[c for c in df.columns if c not in BY]).alias(name))
+
+
+_CONTEXT_SCHEMA = ("periode struct<start string, end string>, kpis map<string, string>, "
+                   "crisis_velocity_score double, niveau string, narratifs array<map<string, string>>, "
+                   "top_auteurs array<map<string, string>>, top_posts array<map<string, string>>")

@@ -17,7 +17,7 @@ def test_entry_smoke(spark):
 def test_registry_shape():
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 50
-    for name in ("answers", "context_json"):            # JSON / answer texts: rows-only check
+    for name in ("answers", "context_json", "agent_context"):   # JSON / answer texts: rows-only check
         assert name in qs and name not in sql
 
 
