@@ -46,7 +46,7 @@ def main() -> None:
     # the text work is materialized once; the risk level (needs the corpus
     # reach quantile) is a cheap projection over the stored columns
     pre = timed("enrich", lambda: materialize(enrich(raw_posts(spark, sf_dir), POSTS_MAPPING, with_risk=False),
-                                              "enriched", partition_by=["date"]))
+                                              "enriched", partition_by=["date"], cluster_tiebreak="post_id"))
     E = timed("risk_level", lambda: with_risk_level(pre))
     conv = spark.read.parquet(f"{sf_dir}/conversations.parquet")
 
