@@ -26,3 +26,13 @@ def test_oracle_parity_small(spark, name):
     r = compare(entry.queries()[name](spark, SF_SMALL), duck(SF_SMALL), entry.oracle_sql()[name])
     assert r["cols_match"], r
     assert r["values_match"], r
+
+
+def test_agent_context_fills_strategy_keys(spark):
+    import json
+    row = entry.queries()["agent_context"](spark, SF_SMALL).orderBy("period_id").first()
+    doc = json.loads(row["agent_context"])
+    a4 = doc["agent4_strategie"]
+    assert len(a4["messages_prioritaires"]) == 4 and len(a4["plan_action"]) == 4
+    assert set(a4["risques"]) == {"silence", "sur_reaction"}
+    assert len(doc["agent2_narratifs"]["risk_matrix"]) <= 8 and len(doc["agent5_redaction"]["guardrail"]) <= 12

@@ -34,3 +34,20 @@ def test_streaming_hourly(spark, tmpdir_path):
     out = spark.read.parquet(os.path.join(tmpdir_path, "out"))
     total = out.agg({"messages": "sum"}).first()[0]
     assert out.count() > 0 and 0 < total <= raw.count()      # hours still open at the end are not emitted
+
+
+def test_clustered_write_bounds_files(spark):
+    import glob
+
+    from crisislens.session import checkpoint_root
+    raw = enrich(raw_posts(spark, SF_SMALL), POSTS_MAPPING)
+    plain = materialize(raw, "plain", ["date"])
+    clustered = materialize(raw, "clustered", ["date"], cluster_tiebreak="post_id")
+    root = checkpoint_root(spark)
+
+    def n_files(prefix):
+        return len(glob.glob(f"{root}/{prefix}-*/*/*.parquet"))
+    n_dates = raw.select("date").distinct().count()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert clustered.count() == plain.count()
+    assert n_files("clustered") <= parts * 4 + n_dates        # buckets span at most a couple of dates
