@@ -117,4 +117,4 @@ def _pack_sql() -> str:
           "R7 message pack: periods x channel templates (J4), substitution, then C14 guardrail")
 def message_pack(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
-    return ST.message_pack(ST.strategy_rows(Ep, E)).withColumn("channel_order", F.col("channel_order"))
+    return ST.message_pack(ST.strategy_rows(Ep, E))
