@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, quality_fm, secret_scan, url_filter
+from . import byte_bpe, language_id, ngram_join, quality_fm, secret_scan, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -27,6 +27,10 @@ def remainder(key, n: int):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(n))
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.cluster(table(spark, sf_dir, "documents"))
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = language_id.fit(docs.where(remainder("doc_id", 4) != 2))
@@ -69,6 +73,7 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
     "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
@@ -76,4 +81,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_secret_scan": op10_secret_scan,
 }
 
-ORACLE: dict[str, str] = {}
+# words: A-Z in lower case, split at space, tab, LF, VT, FF and CR; the shingles of a text as a set
+SHINGLES_SQL = """
+{name}_words AS (
+  SELECT {key} AS k, list_filter_empty AS w FROM (
+    SELECT {key}, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS list_filter_empty FROM {source})),
+{name}_sh AS (
+  SELECT DISTINCT k, array_to_string(w[i:i + 4], ' ') AS s FROM (
+    SELECT k, w, unnest(range(1, greatest(len(w) - 4, least(len(w), 1)) + 1)) AS i FROM {name}_words)),
+{name}_n AS (SELECT k, count(*) AS n FROM {name}_sh GROUP BY k)"""
+
+OP1_SQL = "WITH RECURSIVE " + SHINGLES_SQL.format(name="d", key="doc_id", source="documents") + """,
+pairs AS (SELECT a.k AS a, b.k AS b, count(*) AS c FROM d_sh a JOIN d_sh b ON a.s = b.s AND a.k <> b.k GROUP BY a.k, b.k),
+links AS (SELECT p.a, p.b FROM pairs p JOIN d_n x ON x.k = p.a JOIN d_n y ON y.k = p.b WHERE 100 * p.c >= 75 * (x.n + y.n - p.c)),
+reach(a, b) AS (SELECT k, k FROM d_words UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.k AS doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id
+FROM d_words d LEFT JOIN d_n n ON n.k = d.k JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.k"""
+
+ORACLE: dict[str, str] = {
+    "op1_ngram_join": OP1_SQL,
+}
