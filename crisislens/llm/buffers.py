@@ -141,7 +141,7 @@ def shingle_hashes(words: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, n
     out[big] = full[heads[big]]
     for i in np.flatnonzero((n > 0) & (n < k)):
         w = words[bounds[i]:bounds[i + 1]]
-        out[out_bounds[i]] = mix(np.array([(w * _JOIN[:len(w)]).sum() + np.uint64(len(w)) * np.uint64(0xA0761D6478BD642F)], np.uint64))[0]
+        out[out_bounds[i]] = mix((w * _JOIN[:len(w)]).sum(keepdims=True) ^ _BYTE[len(w):len(w) + 1])[0]
     return out, out_bounds
 
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, language_id, ngram_join, quality_fm, secret_scan, url_filter
+from . import byte_bpe, decontaminate, language_id, ngram_join, quality_fm, secret_scan, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -68,6 +68,10 @@ def op8_quality_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_fm.score(docs, model).select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_fm": op8_quality_fm,
+    "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
 }
 
@@ -98,6 +103,12 @@ reach(a, b) AS (SELECT k, k FROM d_words UNION SELECT r.a, l.b FROM reach r JOIN
 SELECT d.k AS doc_id, coalesce(n.n, 0) AS n_shingles, r.c AS component_id
 FROM d_words d LEFT JOIN d_n n ON n.k = d.k JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = d.k"""
 
+OP9_SQL = "WITH " + SHINGLES_SQL.format(name="d", key="doc_id", source="documents") + "," + SHINGLES_SQL.format(name="b", key="item_id", source="benchmark") + """,
+met AS (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS c FROM d_sh d JOIN b_sh b ON d.s = b.s GROUP BY d.k, b.k)
+SELECT x.doc_id, x.item_id, n.n AS n_item, x.c AS n_shared, x.c / n.n AS containment
+FROM met x JOIN b_n n ON n.k = x.item_id WHERE 100 * x.c >= 75 * n.n"""
+
 ORACLE: dict[str, str] = {
+    "op9_decontaminate": OP9_SQL,
     "op1_ngram_join": OP1_SQL,
 }
