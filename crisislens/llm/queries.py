@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, language_id, ngram_join, quality_fm, secret_scan, url_filter
+from . import byte_bpe, decontaminate, fingerprints, html_extract, language_id, ngram_join, quality_fm, secret_scan, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -38,6 +38,14 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare(table(spark, sf_dir, "documents"))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     """The blocklist: URLs whose host holds one of LISTED_WORDS."""
     host = url_filter.url_host(F.col("url"))
@@ -79,6 +87,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_join": op1_ngram_join,
     "op2_language_id": op2_language_id,
+    "op3_html_extract": op3_html_extract,
+    "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_fm": op8_quality_fm,
