@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, html_extract, language_id, ngram_join, quality_fm, secret_scan, url_filter
+from . import byte_bpe, decontaminate, fingerprints, html_extract, language_id, ngram_join, quality_fm, secret_scan, suffix_dedup, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 
@@ -64,6 +64,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def quality_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, text, quality) of the rows that labels may be learned from."""
     usable = labels.where(remainder("doc_id", 5) != 0).select("doc_id", "quality")
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_fingerprints": op4_fingerprints,
     "op5_url_filter": op5_url_filter,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_suffix_dedup": op7_suffix_dedup,
     "op8_quality_fm": op8_quality_fm,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
