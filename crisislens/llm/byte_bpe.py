@@ -162,19 +162,23 @@ def decode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", id
     return df.select(key, ids).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, bytes binary")
 
 
-def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded in one pass."""
+def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+    """(key, n_tokens, ids_sha256, decoded_sha256) of every whole text, encoded and decoded in one pass.
+
+    ``with_ids`` adds the packed ids.
+    """
     shared = _vocabulary(df, vocabulary)
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for batch in batches:
             for part, _, _ in slices(batch, text):
                 ids = c.encode([t or "" for t in part.column(text).to_pylist()])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(key), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                     pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
-                     pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids])],
-                    [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                columns = [part.column(key), pa.array([len(x) // 4 for x in ids], pa.int64()),
+                           pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
+                           pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids])]
+                yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.binary())] * with_ids], names)
 
-    return df.select(key, text).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
+    return df.select(key, text).mapInArrow(work, schema)

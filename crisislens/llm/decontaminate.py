@@ -46,7 +46,7 @@ def size_class(n: int) -> int:
 
 
 def band_key(minimum: np.ndarray, permutation: int, klass: int) -> np.ndarray:
-    return mix(minimum + np.uint64(permutation * 64 + klass + 1) * np.uint64(0x9E3779B97F4A7C15))
+    return mix(minimum + np.uint64((permutation * 64 + klass + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
 
 
 def items_table(items: DataFrame, key: str, text: str) -> DataFrame:
