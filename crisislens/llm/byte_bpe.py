@@ -25,6 +25,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .buffers import slices
 
@@ -144,10 +145,10 @@ def encode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", te
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for batch in batches:
-            for part, _, _ in slices(batch, text):
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(c.encode([t or "" for t in part.column(text).to_pylist()]), pa.binary())], [key, "ids"])
+            for part, _, _ in slices(batch, "__text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(c.encode([t or "" for t in part.column(1).to_pylist()]), pa.binary())], [key, "ids"])
 
-    return df.select(key, text).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary")
+    return df.select(key, F.col(text).alias("__text")).mapInArrow(work, f"`{key}` {df.schema[key].dataType.simpleString()}, ids binary")
 
 
 def decode(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -173,12 +174,12 @@ def round_trip(df: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id"
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(shared.value, pattern)
         for batch in batches:
-            for part, _, _ in slices(batch, text):
-                ids = c.encode([t or "" for t in part.column(text).to_pylist()])
-                columns = [part.column(key), pa.array([len(x) // 4 for x in ids], pa.int64()),
+            for part, _, _ in slices(batch, "__text"):
+                ids = c.encode([t or "" for t in part.column(1).to_pylist()])
+                columns = [part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()),
                            pa.array([hashlib.sha256(x).hexdigest() for x in ids]),
                            pa.array([hashlib.sha256(c.decode(x)).hexdigest() for x in ids])]
                 yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.binary())] * with_ids], names)
 
     schema = f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids binary" * with_ids
-    return df.select(key, text).mapInArrow(work, schema)
+    return df.select(key, F.col(text).alias("__text")).mapInArrow(work, schema)

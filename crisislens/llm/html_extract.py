@@ -13,7 +13,7 @@ than half of their characters are copies of each other and lose nothing.
 Cases: a null html counts as empty and has no text; broken markup is read as
 far as it goes, an element that is never closed ends with its parent article or
 body; a null url or one without host belongs to the host '' and pairs with no
-other page; equal URLs are neighbours in the order of the page key; repeated
+other page; a page without lines is nobody's neighbour; equal URLs are neighbours in the order of the page key; repeated
 rows give repeated rows; extra columns are left out.
 """
 
@@ -186,7 +186,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         def settle(front, row, behind) -> list:
             k, address, host, path, marked, own, _, part = row
             if not marked and host:
-                sides = [x if x is not None and x[2] == host and x[7] == part else None for x in (front, behind)]
+                sides = [x if x is not None and x[2] == host and x[7] == part and x[5] else None for x in (front, behind)]
                 side = nearer(path, *[None if x is None else x[3] for x in sides])
                 if side:
                     own = difference(own, sides[0 if side < 0 else 1][5])

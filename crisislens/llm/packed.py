@@ -31,7 +31,7 @@ def scatter(keys: np.ndarray, records: np.ndarray, bits: int) -> pa.RecordBatch:
     order = np.argsort(part, kind="stable")
     part, records = part[order], records[order]
     heads = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.zeros(0, np.int64)
-    ends = np.append(heads[1:], len(part))
+    ends = np.append(heads[1:], len(part))[:len(heads)]
     return pa.RecordBatch.from_arrays([pa.array(part[heads], pa.int32()), pa.array([records[a:b].tobytes() for a, b in zip(heads, ends, strict=True)], pa.binary())], ["part", "blob"])
 
 
