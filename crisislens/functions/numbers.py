@@ -44,6 +44,10 @@ def fmt_py(c: Column, digits: int) -> Column:
     return F.format_string(f"%.{digits}f", round_py(c, digits))
 
 
+# A plain decimal: Spark's cast alone would also read "12d", "1f" and "0x1p3".
+PLAIN_NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+
+
 def safe_double(c: Column, dtype: str | None = None) -> Column:
     """``coalesce(try_cast(c AS double), 0)`` with NaN -> 0.
 
@@ -54,7 +58,8 @@ def safe_double(c: Column, dtype: str | None = None) -> Column:
             or (dtype or "").startswith("decimal"):
         x = c.cast("double")
     else:
-        x = c.cast("string").try_cast("double")
+        text = F.trim(c.cast("string"))
+        x = F.when(text.rlike(PLAIN_NUMBER), text.try_cast("double"))
     return F.when(x.isNull() | F.isnan(x), F.lit(0.0)).otherwise(x)
 
 

@@ -42,6 +42,7 @@ def _isspace_ranges() -> str:
 _WS_BODY = _isspace_ranges()
 SPACE = f"[{_WS_BODY}]"
 NON_SPACE = f"[^{_WS_BODY}]"
+NON_BLANK = f"[{_WS_BODY}&&[^ ]]"       # white space but U+0020 (Java class intersection)
 
 _LEFT_BOUND = f"(?:^|{NON_WORD})"
 _RIGHT_BOUND = f"(?:{NON_WORD}|$)"
@@ -101,11 +102,17 @@ def matches_any(text: Column, patterns: list[str] | tuple[str, ...], text_is_low
     # Under OR, a literal that contains another literal adds nothing.
     literals = [a for a in literals if not any(b != a and b in a for b in literals)]
     out = None
-    for lit in literals:
-        term = F.contains(lowered, F.lit(lit))
-        out = term if out is None else (out | term)
-    if regexes:
-        term = lowered.rlike(alternation(regexes))
+    def bounded_literal(p: str) -> str | None:
+        core = p.removeprefix(r"\b").removesuffix(r"\b").lower()
+        return core if core and core != p.lower() and is_literal(core) and core.isascii() else None
+
+    terms = [F.contains(lowered, F.lit(lit)) for lit in literals]
+    # a literal between word bounds: the regex runs only where the literal occurs
+    terms += [F.contains(lowered, F.lit(bounded_literal(p))) & lowered.rlike(alternation([p])) for p in regexes if bounded_literal(p)]
+    rest = [p for p in regexes if not bounded_literal(p)]
+    if rest:
+        terms.append(lowered.rlike(alternation(rest)))
+    for term in terms:
         out = term if out is None else (out | term)
     return out if out is not None else F.lit(False)
 
@@ -178,7 +185,9 @@ def trim_ws(c: Column) -> Column:
 
 def extract_tokens(c: Column, sigil: str) -> Column:
     """All ``<sigil>\\w+`` tokens of a lower-cased Column, in text order."""
-    return F.regexp_extract_all(F.lower(c), F.lit(re.escape(sigil) + WORD + "+"), 0)
+    found = F.regexp_extract_all(F.lower(c), F.lit(re.escape(sigil) + WORD + "+"), 0)
+    # most texts hold no sigil: a byte scan spares them the regex
+    return F.when(c.isNull(), F.lit(None)).when(F.contains(c, F.lit(sigil)), found).otherwise(F.array().cast("array<string>"))
 
 
 def copy_fingerprint(text: Column, max_chars: int = 220) -> Column:
@@ -187,11 +196,15 @@ def copy_fingerprint(text: Column, max_chars: int = 220) -> Column:
     lower -> links become `` URL `` -> mentions `` @user `` -> hashtags
     `` #tag `` -> whitespace runs collapse -> trim -> first ``max_chars``.
     """
-    t = F.lower(text)
-    t = F.regexp_replace(t, f"https?://{NON_SPACE}+", " URL ")
-    t = F.regexp_replace(t, f"@{WORD}+", " @user ")
-    t = F.regexp_replace(t, f"#{WORD}+", " #tag ")
-    t = F.regexp_replace(t, f"{SPACE}+", " ")
+    def where_found(t: Column, needle: str, pattern: str, mask: str) -> Column:
+        # bound to a lambda variable, so the text in front is computed once
+        return F.transform(F.array(t), lambda x: F.when(F.contains(x, F.lit(needle)), F.regexp_replace(x, pattern, mask)).otherwise(x))[0]
+
+    t = where_found(F.lower(text), "http", f"https?://{NON_SPACE}+", " URL ")
+    t = where_found(t, "@", f"@{WORD}+", " @user ")
+    t = where_found(t, "#", f"#{WORD}+", " #tag ")
+    # runs that are not one plain space already
+    t = F.regexp_replace(t, f"(?: {SPACE}+|{NON_BLANK}{SPACE}*)", " ")
     # every whitespace run is now one U+0020, so Spark's space-only ``trim``
     # is exact here (and references the expression once: no re-evaluation)
     return F.substring(F.trim(t), 1, max_chars)

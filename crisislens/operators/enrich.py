@@ -35,6 +35,7 @@ DEFAULT_DATE_FORMATS: tuple[str | None, ...] = (
     "dd-MM-yyyy HH:mm",
 )
 
+_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
 
@@ -42,13 +43,33 @@ def narrative_flag_name(label: str) -> str:
     return "narr_" + norm_name(label)
 
 
+def _parse(s: Column, fmt: str | None) -> Column:
+    """``s`` by one format; None is the ISO cast, which needs a date part
+    (a bare time of day would otherwise become a time of today)."""
+    if fmt is None:
+        return F.when(s.rlike(r"^[+-]?\d{4,6}-\d{1,2}"), F.try_to_timestamp(s))
+    return F.try_to_timestamp(s, F.lit(fmt))
+
+
+def choose_date_format(df: DataFrame, col: str, formats: Sequence[str | None]) -> str | None:
+    """The format that parses most values of a text column, the first of equals.
+
+    One choice for the whole column: ``03/04`` and ``26/03`` in one column are
+    read alike.  A single aggregate over that column."""
+    s = trim_ws(F.col(col).cast("string"))
+    hits = df.agg(*[F.count(_parse(s, f)).alias(str(i)) for i, f in enumerate(formats)]).first()
+    return formats[max(range(len(formats)), key=lambda i: (hits[i], -i))]
+
+
 def parse_datetime(c: Column, dtype: T.DataType, formats: Sequence[str | None]) -> Column:
-    """Timestamp (without time zone) from any date-like column; bad -> null."""
+    """Timestamp (without time zone) from any date-like column; bad -> null.
+
+    With several formats the first that fits a value is used (a stream cannot
+    look at its whole column); see :func:`choose_date_format` for tables."""
     if isinstance(dtype, (T.TimestampNTZType, T.TimestampType, T.DateType)):
         return c.cast("timestamp_ntz")
     s = trim_ws(c.cast("string"))
-    tries = [F.try_to_timestamp(s) if f is None else F.try_to_timestamp(s, F.lit(f)) for f in formats]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    return F.coalesce(*[_parse(s, f) for f in formats]).cast("timestamp_ntz")
 
 
 def time_buckets(dt: Column) -> dict[str, Column]:
@@ -87,7 +108,11 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
            with_risk: bool = True, with_fingerprint: bool = True, require_rows: bool = True) -> DataFrame:
     """Raw posts -> enriched corpus (schema in FIXTURES.md §2).
 
-    Rows whose date does not parse are dropped.  ``approx_p95`` switches the
+    Rows whose date does not parse are dropped; a text column is read by the
+    one of ``date_formats`` that parses most of it (name a single format to
+    skip that pass).  Post ids keep their type: integers stay integers, any
+    other id is text, and without an id column a hash of the mapped columns
+    stands in.  ``approx_p95`` switches the
     corpus-wide reach quantile to ``percentile_approx`` for very large data.
     On a stream (``streaming=True``) the corpus quantile cannot be computed
     per row; ``reach_p95`` (e.g. from the batch corpus) is used instead, and
@@ -103,6 +128,8 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
     has = lambda logical: f"src_{logical}" in types
     col = lambda logical: F.col(f"src_{logical}")
 
+    if isinstance(types["src_date"], T.StringType) and len(date_formats) > 1 and not streaming:
+        date_formats = [choose_date_format(src, "src_date", date_formats)]
     src = src.withColumn("dt", parse_datetime(col("date"), types["src_date"], date_formats)).where(F.col("dt").isNotNull())
     # nothing left after dropping bad dates is an error (a limit-1 probe:
     # stops at the first valid row)
@@ -134,9 +161,16 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
             from_text = F.concat(from_col, from_text)
         return F.array_sort(F.array_distinct(from_text))
 
+    if not has("post_id"):
+        post_id = F.xxhash64(*[F.col(f"`{c}`") for c in src.columns])
+    elif isinstance(types["src_post_id"], _INTEGRAL):
+        post_id = col("post_id").cast("bigint")
+    else:
+        post_id = col("post_id").cast("string")
+
     buckets = time_buckets(F.col("dt"))
     stage1 = src.select(
-        (col("post_id").try_cast("bigint") if has("post_id") else F.monotonically_increasing_id()).alias("post_id"),
+        post_id.alias("post_id"),
         "dt",
         *[c.alias(k) for k, c in buckets.items()],
         text_raw.alias("text_raw"),
@@ -191,58 +225,42 @@ def reach_quantile(df: DataFrame, q: float = C.REACH_QUANTILE, approx: bool = Fa
     return df.sparkSession.createDataFrame([(value,)], "reach_p95 double")
 
 
-MAX_LOCAL_DISTINCT = 1_000_000   # distinct values one task may rank
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, buckets: int = 64) -> float | None:
+def exact_quantile(df: DataFrame, col: str, q: float) -> float | None:
     """Exact ``q`` quantile (numpy 'linear') by distributed selection.
 
-    The two order statistics the interpolation needs are found by bucket
-    selection: approximate quantiles give bucket bounds (a few numbers to the
-    driver), rows per bucket (at most ``buckets`` rows) locate the bucket of
-    each rank, and only that bucket is looked at further.  A bucket is ranked
-    directly once it holds at most ``MAX_LOCAL_DISTINCT`` distinct values;
-    otherwise it is bucketed again.  No task ever holds all values."""
-    vals = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
-    n = vals.count()
-    if n == 0:
-        return None
-    pos = q * (n - 1)
-    lo_rank = int(pos)
-    hi_rank = min(lo_rank + 1, n - 1)
-    t = pos - lo_rank
-    got = _select_ranks(vals, sorted({lo_rank, hi_rank}), buckets)
-    a, b = got[lo_rank], got[hi_rank]
-    diff = b - a
-    return b - diff * (1 - t) if t >= 0.5 else a + diff * t
-
-
-def _select_ranks(vals: DataFrame, ranks: list[int], buckets: int) -> dict[int, float]:
-    """Values at 0-based ``ranks`` of the sorted column ``v``."""
-    dist = vals.groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    if dist.count() <= MAX_LOCAL_DISTINCT:
-        w = Window.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
-        ranked = dist.withColumn("cum", F.sum("c").over(w))
-        return {r: ranked.where(F.col("cum") > r).orderBy("v").first()["v"] for r in ranks}
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = sorted(set(vals.approxQuantile("v", probs, 1.0 / (4 * buckets))))
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= F.col("v")))
-    tagged = vals.withColumn("bkt", bucket)
-    counts = sorted((r["bkt"], r["c"]) for r in tagged.groupBy("bkt").agg(F.count(F.lit(1)).alias("c")).collect())
-    where: dict[int, list[tuple[int, int]]] = {}
-    for r in ranks:
-        before = 0
-        for bk, c in counts:
-            if r < before + c:
-                where.setdefault(bk, []).append((r, r - before))
-                break
-            before += c
-    out: dict[int, float] = {}
-    for bk, pairs in where.items():
-        sub = tagged.where(F.col("bkt") == bk).select("v")
-        local = _select_ranks(sub, [lr for _, lr in pairs], buckets)
-        out.update({r: local[lr] for r, lr in pairs})
-    return out
+    Values are counted first (combined map-side, so a value that holds most
+    rows is one counted row), and the (value, count) rows are range-partitioned.
+    One row per partition goes to the driver and tells which partitions hold
+    the two order statistics; only those are ranked.  The source column is
+    read once, whatever its values, and no task holds more than one range."""
+    counted = (df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
+               .groupBy("v").agg(F.count(F.lit(1)).alias("c")).persist())
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = counted.repartitionByRange(parts, "v").withColumn("p", F.spark_partition_id()).persist()
+    try:
+        sizes = sorted(ranged.groupBy("p").agg(F.min("v").alias("lo"), F.sum("c").alias("n")).collect(),
+                       key=lambda r: r["lo"])
+        n = sum(r["n"] for r in sizes)
+        if n == 0:
+            return None
+        pos = q * (n - 1)
+        t = pos - int(pos)
+        a, b = (_order_statistic(ranged, sizes, r) for r in (int(pos), min(int(pos) + 1, n - 1)))
+    finally:
+        ranged.unpersist()
+        counted.unpersist()
+    return b - (b - a) * (1 - t) if t >= 0.5 else a + (b - a) * t
+
+
+def _order_statistic(ranged: DataFrame, sizes: list, rank: int) -> float:
+    """The value at 0-based ``rank``; ``sizes`` has the rows of each range in order."""
+    for r in sizes:
+        if rank < r["n"]:
+            upto = Window.partitionBy("p").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+            ranked = ranged.where(F.col("p") == r["p"]).withColumn("upto", F.sum("c").over(upto))
+            return ranked.where(F.col("upto") > rank).agg(F.min("v")).first()[0]
+        rank -= r["n"]
+    raise ValueError("rank beyond the last value")
 
 
 def with_risk_level(df: DataFrame, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,

@@ -12,6 +12,7 @@ from .common import By, attach, explode_list, group_totals, neg_flag, top_k
 # FIXED VALUES — risk labels of the strategic narrative score.
 RISK_LABELS = ((80, "Critique"), (60, "Élevé"), (40, "Modéré"))
 RISK_DEFAULT = "Faible"
+MAX_NARRATIVES = 1000              # rows of a matrix without groups; a lexicon has a handful of labels
 
 # FIXED VALUES — response angle by narrative label (first rule that matches
 # a lower-case substring of the label wins).
@@ -84,7 +85,7 @@ def narrative_matrix(E: DataFrame, by: By = ()) -> DataFrame:
         round_py(F.col("_risk"), 2).alias("risk_mean"),
         score.alias("strategic_risk_score"),
     ).withColumn("risk_label", risk_label(F.col("strategic_risk_score")))
-    return top_k(out, [F.desc("strategic_risk_score"), F.desc("messages"), F.asc("narrative")], None, by)
+    return top_k(out, [F.desc("strategic_risk_score"), F.desc("messages"), F.asc("narrative")], MAX_NARRATIVES, by)
 
 
 def risk_matrix(matrix: DataFrame) -> DataFrame:

@@ -16,9 +16,6 @@ from ..functions.numbers import round_even, round_py
 from .metrics import kpis
 from .timeline import daily_timeline, peaks
 
-# Expanded (period, day) rows up to which the period side is broadcast.
-BROADCAST_PERIOD_DAYS = 2_000_000
-
 PERIOD_SCHEMA = "period_id string, start timestamp_ntz, end timestamp_ntz"
 
 
@@ -33,15 +30,15 @@ def corpus_span(E: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("ref_messages"), F.sum("reach").alias("ref_reach"))
 
 
-def assign_periods(E: DataFrame, periods: DataFrame, broadcast_limit: int = BROADCAST_PERIOD_DAYS) -> DataFrame:
+def assign_periods(E: DataFrame, periods: DataFrame) -> DataFrame:
     """E rows tagged with every period that contains them (inclusive bounds).
 
     Each period is expanded to the days it touches (open bounds clamp to the
     corpus span), then joined to posts on ``date`` with the exact bounds as a
     residual condition: an equi-join, so thousands of periods cost one hash
-    probe per post-day instead of a nested loop.  The expanded side is
-    broadcast only when its counted size is under ``broadcast_limit``;
-    beyond that the planner shuffles both sides (AQE splits a hot day).
+    probe per post-day instead of a nested loop.  The planner broadcasts the
+    expanded side if its measured size allows and else shuffles both sides
+    (AQE splits a hot day).
     """
     has_open = not periods.where(F.col("start").isNull() | F.col("end").isNull()).isEmpty()
     if has_open:
@@ -55,11 +52,9 @@ def assign_periods(E: DataFrame, periods: DataFrame, broadcast_limit: int = BROA
         "period_id", "p_start", "p_end",
         F.explode(F.sequence(F.to_date("p_start"), F.to_date("p_end"), F.expr("INTERVAL 1 DAY"))).alias("p_date"),
     )
-    n = days.count()
-    side = F.broadcast(days) if n <= broadcast_limit else days
     # Keyed on ``date``, the partition column of a materialized corpus, so a
-    # broadcast side also prunes the corpus files (dynamic partition pruning).
-    joined = E.join(side, (E["date"] == side["p_date"]) & (E["dt"] >= side["p_start"]) & (E["dt"] <= side["p_end"]))
+    # small side also prunes the corpus files (dynamic partition pruning).
+    joined = E.join(days, (E["date"] == days["p_date"]) & (E["dt"] >= days["p_start"]) & (E["dt"] <= days["p_end"]))
     return joined.drop("p_date", "p_start", "p_end")
 
 

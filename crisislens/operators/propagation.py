@@ -83,24 +83,20 @@ def copy_patterns(E: DataFrame, min_count: int = C.COPY_MIN_COUNT, top: int | No
     # pass); otherwise derive it here
     fingerprint = F.col("fingerprint") if "fingerprint" in E.columns else \
         copy_fingerprint(F.col("text_raw"), C.COPY_FINGERPRINT_CHARS)
-    fp = E.select(*by, fingerprint.alias("fingerprint"), "author", "dt", "reach", "post_id")
+    example = F.substring("text_raw", 1, C.COPY_EXAMPLE_CHARS)
+    fp = E.select(*by, fingerprint.alias("fingerprint"), "author", "dt", "reach", "post_id", example.alias("_text"))
+    # the earliest post's bounded example rides along, so the corpus is read once
+    # and a post that occurs in several groups counts once in each
     g = fp.groupBy(*by, "fingerprint").agg(
         F.count(F.lit(1)).alias("count"),
         F.countDistinct("author").alias("authors"),
         F.min("dt").alias("first_seen"),
         F.max("dt").alias("last_seen"),
         F.sum("reach").alias("reach"),
-        F.min("post_id").alias("_first_post"),
+        F.min_by("_text", F.struct("post_id", "dt", "_text")).alias("example"),
     ).where((F.col("count") >= min_count) & (F.length("fingerprint") > C.COPY_MIN_FINGERPRINT_LEN))
     order = [F.desc("count"), F.desc("authors"), F.desc("reach"), F.asc("fingerprint")]
-    ranked = top_k(g, order, top, by)
-    # The example text is fetched for the surviving groups only, so whole
-    # texts never ride through the aggregation buffers or the shuffle.  With
-    # a top-k cut the survivors are at most ``top`` per group: broadcast.
-    texts = E.select(F.col("post_id").alias("_first_post"),
-                     F.substring("text_raw", 1, C.COPY_EXAMPLE_CHARS).alias("example"))
-    keys = ranked if (top is None or by) else F.broadcast(ranked)
-    return keys.join(texts, "_first_post", "left").drop("_first_post")
+    return top_k(g, order, top, by)
 
 
 # FIXED VALUES — coordination labels, prudence note and operational reading.
@@ -135,11 +131,11 @@ def coordination(prop: DataFrame, conc: DataFrame, copies: DataFrame, burst_rows
     n_burst = burst_rows.groupBy(*by).agg(F.count_if(F.col("burst_level") != BURST_NORMAL).alias("_bursts"))
     x = prop.select(*by, "retweet_pct", "acceleration_ratio").join(
         conc.select(*by, "top10_reach_share_pct"), list(by), "inner") if by else \
-        prop.select("retweet_pct", "acceleration_ratio").crossJoin(conc.select("top10_reach_share_pct"))
+        prop.select("retweet_pct", "acceleration_ratio").crossJoin(F.broadcast(conc.select("top10_reach_share_pct")))
     if by:
         x = x.join(n_copy, list(by), "left").join(n_burst, list(by), "left")
     else:
-        x = x.crossJoin(n_copy).crossJoin(n_burst)
+        x = x.crossJoin(F.broadcast(n_copy)).crossJoin(F.broadcast(n_burst))
     rt_c = F.least(F.lit(25.0), F.col("retweet_pct") * 0.25)
     conc_c = F.least(F.lit(25.0), F.col("top10_reach_share_pct") * 0.35)
     copy_c = F.least(F.lit(25.0), F.coalesce(F.col("_copies"), F.lit(0)) * 3.5)

@@ -14,8 +14,8 @@ from .. import config as C
 from .common import By, over_group, top_k
 
 
-def _bucket_agg(E: DataFrame, bucket: str, by: By, approx_distinct: bool = False) -> DataFrame:
-    authors = F.approx_count_distinct("author") if approx_distinct else F.countDistinct("author")
+def _bucket_agg(E: DataFrame, bucket: str, by: By) -> DataFrame:
+    authors = F.countDistinct("author")
     return E.groupBy(*by, bucket).agg(
         F.count(F.lit(1)).alias("messages"),
         authors.alias("auteurs"),

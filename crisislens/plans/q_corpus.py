@@ -16,20 +16,20 @@ FLAGS = [narrative_flag_name(n.label) for n in C.DEFAULT_LEXICON]
 @register("enrich_time", with_e_ctes("", "SELECT post_id, dt, date, day, hour, hour_of_day, week FROM e"),
           "P1-P4 date parse, drop bad dates, buckets, week label")
 def enrich_time(spark, sf_dir):
-    return corpus(spark, sf_dir).select("post_id", "dt", "date", "day", "hour", "hour_of_day", "week")
+    return corpus(spark, sf_dir, with_risk=False).select("post_id", "dt", "date", "day", "hour", "hour_of_day", "week")
 
 
 @register("enrich_text", with_e_ctes("", "SELECT post_id, text_raw, text_norm, author, sentiment, engagement_type FROM e"),
           "P5-P7, P10, P13, C1 text, accent folding, author, type, sentiment")
 def enrich_text(spark, sf_dir):
-    return corpus(spark, sf_dir).select("post_id", "text_raw", "text_norm", "author", "sentiment", "engagement_type")
+    return corpus(spark, sf_dir, with_risk=False).select("post_id", "text_raw", "text_norm", "author", "sentiment", "engagement_type")
 
 
 @register("enrich_flags", with_e_ctes("", """SELECT post_id, likes, comments, shares, impressions, reach, followers,
  following, x_posts, engagement_total, is_retweet, is_reply, is_quote, is_original FROM e"""),
           "P8, P9, P11, P12 metrics and engagement flags")
 def enrich_flags(spark, sf_dir):
-    return corpus(spark, sf_dir).select(
+    return corpus(spark, sf_dir, with_risk=False).select(
         "post_id", *C.METRIC_COLUMNS, "engagement_total", "is_retweet", "is_reply", "is_quote", "is_original")
 
 
@@ -38,7 +38,7 @@ def enrich_flags(spark, sf_dir):
  CAST(len(mentions_list) AS BIGINT) AS n_mentions FROM e"""),
           "P14-P16 hashtags and mentions")
 def enrich_entities(spark, sf_dir):
-    E = corpus(spark, sf_dir)
+    E = corpus(spark, sf_dir, with_risk=False)
     return E.select("post_id", joined("hashtags_list").alias("hashtags"), "hashtags_joined",
                     joined("mentions_list").alias("mentions"),
                     F.size("hashtags_list").cast("bigint").alias("n_hashtags"),
@@ -49,7 +49,7 @@ def enrich_entities(spark, sf_dir):
  array_to_string(narratives, '|') AS narratives, main_narrative FROM e"""),
           "P17-P19 narrative flags, labels, main narrative")
 def enrich_narratives(spark, sf_dir):
-    E = corpus(spark, sf_dir)
+    E = corpus(spark, sf_dir, with_risk=False)
     return E.select("post_id", *FLAGS, joined("narratives").alias("narratives"), "main_narrative")
 
 

@@ -28,6 +28,23 @@ def _periods(spark, sf_dir):
     return E, P.assign_periods(E, periods.select("period_id", "start", "end"))
 
 
+def stored_periods(spark, sf_dir):
+    """The corpus and the stored posts of its five busiest days (reports read these many times)."""
+    from .analysis import period_posts
+    E = corpus(spark, sf_dir)
+    return E, period_posts(E, P.peak_day_periods(E, top=5))
+
+
+@register("period_engagement_types", with_e_ctes(PERIOD_CTES, f"""SELECT period_id, engagement_type, count(*) AS count,
+ {sr6(spct('count(*)', 'sum(count(*)) OVER (PARTITION BY period_id)'))} AS pct FROM ep GROUP BY period_id, engagement_type"""),
+          "R1, A6 engagement types by period")
+def period_engagement_types(spark, sf_dir):
+    from .analysis import analyze_periods
+    E = corpus(spark, sf_dir)
+    t = analyze_periods(E, P.peak_day_periods(E, top=5))["engagement_types"]
+    return present(t.withColumnRenamed("type", "engagement_type").select("period_id", "engagement_type", "count", "pct"), ("pct",))
+
+
 @register("peak_day_periods", with_e_ctes(PERIOD_CTES, 'SELECT period_id, "start", "end" FROM pr'),
           "F2 peak-day bounds (day .. day+1d-1s) from T4 ranks")
 def peak_day_periods(spark, sf_dir):

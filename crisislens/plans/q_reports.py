@@ -10,14 +10,14 @@ from ..config import NEGATIVE_SENTIMENTS
 from . import reports as RP
 from .report_sql import _fint, _ts, narratives_report_sql
 from .oracle import q, with_e_ctes
-from .q_periods import _CV_CTES, _periods
+from .q_periods import _CV_CTES, stored_periods as _periods
 from .registry import register, sln1p
 
 
 _NEG = "(" + ", ".join(q(x) for x in NEGATIVE_SENTIMENTS) + ")"
 _NL = "chr(10)"
 
-BRIEF_SQL = with_e_ctes(_CV_CTES + f""",
+_BRIEF_CTES = _CV_CTES + f""",
 kp AS (SELECT period_id, count(*) AS messages, count(DISTINCT author) AS auteurs, min(dt) AS debut, max(dt) AS fin,
    100.0 * count_if(is_retweet) / count(*) AS rt_pct, sum(reach) AS reach, sum(impressions) AS impressions,
    100.0 * count_if(sentiment IN {_NEG}) / count(*) AS neg_pct, avg(risk_level) AS risk FROM ep GROUP BY period_id),
@@ -40,8 +40,9 @@ ar AS (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY infl DESC, r
    FROM ai),
 al AS (SELECT period_id, string_agg('- @' || author || ' : ' || {_fint('messages')} || ' messages, reach ' ||
    {_fint('reach')} || ', shares ' || {_fint('shares')} || '.', {_NL} ORDER BY r) AS lines,
-   max(CASE WHEN r = 1 THEN author END) AS top_author FROM ar WHERE r <= 5 GROUP BY period_id)""",
-    f"""SELECT kp.period_id, kp.debut, kp.fin, f.score AS crisis_velocity_score,
+   max(CASE WHEN r = 1 THEN author END) AS top_author FROM ar WHERE r <= 5 GROUP BY period_id)"""
+
+BRIEF_SQL = with_e_ctes(_BRIEF_CTES, f"""SELECT kp.period_id, kp.debut, kp.fin, f.score AS crisis_velocity_score,
  CASE WHEN f.score >= 80 THEN 'CRISE FORTE' WHEN f.score >= 60 THEN 'CRISE ÉLEVÉE' WHEN f.score >= 40
       THEN 'CRISE MODÉRÉE' ELSE 'SIGNAL FAIBLE / BRUIT' END AS niveau,
  coalesce(nl.dominant, {q(TX.NOT_IDENTIFIED)}) AS dominant_narrative,
@@ -188,7 +189,8 @@ sr AS (SELECT st.*, sk.debut, sk.fin, sk.messages, sk.rt_pct, {_PRIORITY} AS pri
 @register("strategy_report", _strategy_sql(), "R6 strategy (priority, posture, axes, plan, avoid, triggers) per period")
 def strategy_report(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
-    return RP.strategy_report(Ep, E).withColumn("sensitive_points", F.array_join("sensitive_points", "|"))
+    return RP.strategy_report(Ep, E).select("period_id", "score", "niveau", "dominant_narrative", "priority", "posture",
+                                            F.array_join("sensitive_points", "|").alias("sensitive_points"), "markdown")
 
 
 def _pack_report_sql() -> str:
@@ -208,17 +210,43 @@ def pack_report(spark, sf_dir):
     return RP.pack_report(Ep, E)
 
 
+@register("crisis_context", with_e_ctes(_BRIEF_CTES + """,
+cn AS (SELECT period_id, string_agg(narrative || ':' || c, '|' ORDER BY r) AS narratives FROM nr WHERE r <= 8 GROUP BY period_id),
+ca AS (SELECT period_id, string_agg(author || ':' || messages, '|' ORDER BY r) AS top_authors FROM ar WHERE r <= 8 GROUP BY period_id),
+cpr AS (SELECT period_id, post_id, row_number() OVER (PARTITION BY period_id ORDER BY engagement_total DESC, reach DESC,
+   shares DESC, post_id) AS r FROM ep),
+cq AS (SELECT period_id, string_agg(CAST(post_id AS VARCHAR), '|' ORDER BY r) AS top_posts FROM cpr WHERE r <= 5 GROUP BY period_id)""",
+    f"""SELECT kp.period_id, {_ts('kp.debut')} AS debut, {_ts('kp.fin')} AS fin, kp.messages, f.score,
+ CASE WHEN f.score >= 80 THEN 'CRISE FORTE' WHEN f.score >= 60 THEN 'CRISE ÉLEVÉE' WHEN f.score >= 40
+      THEN 'CRISE MODÉRÉE' ELSE 'SIGNAL FAIBLE / BRUIT' END AS niveau,
+ coalesce(nl.dominant, {q(TX.NOT_IDENTIFIED)}) AS dominant_narrative, coalesce(al.top_author, {q(TX.NOT_IDENTIFIED)}) AS top_author,
+ cn.narratives, ca.top_authors, cq.top_posts
+FROM kp JOIN f USING (period_id) LEFT JOIN nl USING (period_id) LEFT JOIN al USING (period_id)
+ LEFT JOIN cn USING (period_id) LEFT JOIN ca USING (period_id) LEFT JOIN cq USING (period_id)"""),
+          "R5 typed crisis context of each period")
+def crisis_context(spark, sf_dir):
+    E, Ep = _periods(spark, sf_dir)
+    c = lambda name: F.col(f"context.{name}")
+    pairs = lambda rows, a, b: F.array_join(F.transform(c(rows), lambda r: F.concat_ws(":", r[a], r[b].cast("string"))), "|")
+    return RP.crisis_context(Ep, E).select(
+        "period_id", c("periode.start").alias("debut"), c("periode.end").alias("fin"), c("kpis.messages").alias("messages"),
+        c("score").alias("score"), c("niveau").alias("niveau"), c("dominant_narrative").alias("dominant_narrative"),
+        c("top_author").alias("top_author"), pairs("narratives", "narrative", "count").alias("narratives"),
+        pairs("top_authors", "author", "messages").alias("top_authors"),
+        F.array_join(F.transform(c("top_posts"), lambda r: r["post_id"].cast("string")), "|").alias("top_posts"))
+
+
 @register("context_json", None, "R5/R8/K7 bounded JSON context per period")
 def context_json(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
     return RP.context_json(Ep, E)
 
 
-@register("answers", None, "R9 deterministic answers to every user turn, about the busiest day")
+@register("answers", None, "R9 deterministic answers to every user turn, each about one of five periods")
 def answers(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
     qs = (spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
-          .select("conv_id", "turn", F.col("text").alias("question"), F.lit("peak_day_1").alias("period_id")))
+          .select("conv_id", "turn", F.col("text").alias("question"), F.concat(F.lit("peak_day_"), (F.col("conv_id") % 5 + 1).cast("string")).alias("period_id")))
     return RP.answers(qs, Ep, E, keys=("conv_id", "turn"))
 
 

@@ -37,9 +37,9 @@ def register(name: str, sql: str | None, covers: str):
     return deco
 
 
-def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
+def corpus(spark: SparkSession, sf_dir: str, with_risk: bool = True) -> DataFrame:
     """Enriched corpus of the posts derived from the driver tables."""
-    return enrich(raw_posts(spark, sf_dir), POSTS_MAPPING)
+    return enrich(raw_posts(spark, sf_dir), POSTS_MAPPING, with_risk=with_risk)
 
 
 # --- presentation, Spark side -------------------------------------------------

@@ -10,6 +10,8 @@ timestamps as ``YYYY-MM-DD HH:MM:SS[.ffffff]``.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +30,6 @@ from ..operators.periods import crisis_velocity
 
 BY = ("period_id",)
 NL = "\n"
-MAX_BROADCAST_CONTEXTS = 2000      # report rows are a few KB each
 
 
 def ts_str(c: Column) -> Column:
@@ -200,7 +201,9 @@ def propagation_report(Ep: DataFrame, top_n: int = 10) -> DataFrame:
 
 # ------------------------------------------------------- R6 strategy
 
-def strategy_report(Ep: DataFrame, E: DataFrame, posture: str | None = None) -> DataFrame:
+def strategy_report(Ep: DataFrame, E: DataFrame, posture: str | None = None, objective: str = TX.DEFAULT_OBJECTIVE,
+                    targets: Sequence[str] = TX.DEFAULT_TARGETS) -> DataFrame:
+    """One row per period: the strategy's fields, its lists as columns, and the text."""
     st = ST.strategy_rows(Ep, E, posture)
     k = M.kpis(Ep, BY).select(*BY, "debut", "fin", "messages", "retweets_pct")
     x = st.join(k, list(BY), "left")
@@ -211,9 +214,9 @@ def strategy_report(Ep: DataFrame, E: DataFrame, posture: str | None = None) ->
         F.concat(F.lit("**Période source :** "), ts_str(F.col("debut")), F.lit(" → "), ts_str(F.col("fin"))),
         F.concat(F.lit("**Niveau :** "), F.col("niveau"), F.lit(" — score "), s("score"), F.lit("/100")),
         F.concat(F.lit("**Priorité :** "), F.col("priority")),
-        F.lit(f"**Objectif :** {TX.DEFAULT_OBJECTIVE}"),
+        F.lit(f"**Objectif :** {objective}"),
         F.concat(F.lit("**Posture recommandée :** "), F.col("posture")),
-        F.lit("**Cibles :** " + ", ".join(TX.DEFAULT_TARGETS)),
+        F.lit("**Cibles :** " + ", ".join(targets)),
         F.lit(""), F.lit("### Diagnostic stratégique"),
         F.concat(F.lit("- Messages analysés : "), format_int(F.col("messages")), F.lit(" ; retweets/reposts : "),
                  fmt_py(F.col("retweets_pct"), 1), F.lit("%.")),
@@ -225,15 +228,31 @@ def strategy_report(Ep: DataFrame, E: DataFrame, posture: str | None = None) ->
         F.lit(""), F.lit("### À éviter absolument"), *[F.lit(f"- {t}") for t in TX.AVOID],
         F.lit(""), F.lit("### Déclencheurs d'escalade"), *[F.lit(f"- {t}") for t in TX.ESCALATION_TRIGGERS],
     ))
+    texts = lambda items: F.array(*[F.lit(t) for t in items])
     return x.select(*BY, "score", "niveau", "dominant_narrative", "priority", "posture", "sensitive_points",
-                    md.alias("markdown"))
+                    md.alias("markdown"), F.lit(objective).alias("objectif"), texts(targets).alias("cibles"),
+                    _axes().alias("axes"), _plan().alias("plan_action"), texts(TX.AVOID).alias("a_eviter"),
+                    texts(TX.RISKS_IF_SILENT).alias("risques_silence"),
+                    texts(TX.RISKS_IF_OVERREACTING).alias("risques_sur_reaction"),
+                    texts(TX.ESCALATION_TRIGGERS).alias("declencheurs"))
+
+
+def _axes() -> Column:
+    return F.array(*[F.struct(F.lit(a).alias("axe"), F.lit(b).alias("but"), F.lit(c).alias("formulation"))
+                     for a, b, c in TX.MESSAGE_AXES])
+
+
+def _plan() -> Column:
+    return F.array(*[F.struct(F.lit(t).alias("temps"), F.lit(a).alias("action"), F.lit(d).alias("détail"))
+                     for t, a, d in TX.ACTION_PLAN])
 
 
 # ------------------------------------------------------ R7 message pack
 
 def pack_report(Ep: DataFrame, E: DataFrame, tone: str = TX.DEFAULT_TONE,
-                spokesperson: str = TX.DEFAULT_SPOKESPERSON) -> DataFrame:
-    pack = ST.message_pack(ST.strategy_rows(Ep, E), spokesperson=spokesperson)
+                spokesperson: str = TX.DEFAULT_SPOKESPERSON,
+                channels: Sequence[str] = ST.DEFAULT_CHANNELS) -> DataFrame:
+    pack = ST.message_pack(ST.strategy_rows(Ep, E), channels, spokesperson=spokesperson)
     msgs = lines_per_group(pack, F.concat_ws(NL, F.concat(F.lit("### "), F.col("canal")), F.col("text"), F.lit("")),
                            None, [F.asc("channel_order")], name="msg_blocks")
     checks = lines_per_group(pack, F.concat(F.lit("- **"), F.col("canal"), F.lit("** : "), F.col("statut"),
@@ -250,28 +269,34 @@ def pack_report(Ep: DataFrame, E: DataFrame, tone: str = TX.DEFAULT_TONE,
 
 # ------------------------------------------- R5 / R8 / K7 JSON contexts
 
-def context_json(Ep: DataFrame, E: DataFrame, max_posts: int = 5, max_rows: int = 8) -> DataFrame:
-    """Bounded nested context per period: KPIs, score, level, top-8
-    narratives, top-8 authors, top-5 posts (collected after the cut)."""
+def crisis_context(Ep: DataFrame, E: DataFrame, max_posts: int = 5, max_rows: int = 8) -> DataFrame:
+    """(period_id, context): one typed struct per period with the period's
+    bounds, KPIs, score, level, dominant narrative, top author, top-8
+    narratives, top-8 authors, top-5 posts (each cut before it is collected)
+    and the brief."""
     k = M.kpis(Ep, BY)
-    cv = crisis_velocity(Ep, E).select(*BY, "crisis_velocity_score", "niveau")
-    nt = top_k(M.narratives_table(Ep, BY), [F.desc("count"), F.asc("narrative")], max_rows, BY)
-    narr = nt.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct("rank", "narrative", "count", "pct_messages")))
-                              .alias("narratifs"))
-    ta = M.top_authors(Ep, max_rows, BY).groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct(
-        "rank", "author", "messages", "retweets", "likes", "shares", "reach", "impressions", "followers",
-        "risk_mean", "influence_score"))).alias("top_auteurs"))
-    tp = M.top_posts(Ep, max_posts, BY).withColumn("dt", ts_str(F.col("dt")))
-    posts = tp.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct(*[c for c in tp.columns if c not in BY])))
-                                .alias("top_posts"))
-    x = _join_all(k, cv, narr, ta, posts)
-    kp = [c for c in k.columns if c not in BY and c not in ("debut", "fin")]
-    ctx = F.struct(
+    brief = brief_rows(Ep, E).select(*BY, "crisis_velocity_score", "niveau", "dominant_narrative", "top_author", "brief")
+    narr = _records(M.narratives_table(Ep, BY), max_rows, [F.desc("count"), F.asc("narrative")],
+                    ["narrative", "count", "pct_messages"], "narratives")
+    authors = M.top_authors(Ep, max_rows, BY)
+    posts = M.top_posts(Ep, max_posts, BY).withColumn("dt", ts_str(F.col("dt")))
+
+    def listed(df: DataFrame, name: str) -> DataFrame:
+        cols = [c for c in df.columns if c not in (*BY, "rank")]
+        g = df.groupBy(*BY).agg(F.sort_array(F.collect_list(F.struct("rank", *cols))).alias("_r"))
+        return g.select(*BY, F.transform("_r", lambda r: r.dropFields("rank")).alias(name))
+
+    x = _join_all(k, brief, narr, listed(authors, "top_authors"), listed(posts, "top_posts"))
+    kp = [c for c in k.columns if c not in (*BY, "debut", "fin")]
+    return x.select(*BY, F.struct(
         F.struct(ts_str(F.col("debut")).alias("start"), ts_str(F.col("fin")).alias("end")).alias("periode"),
-        F.struct(*kp).alias("kpis"),
-        F.col("crisis_velocity_score"), F.col("niveau"),
-        F.col("narratifs"), F.col("top_auteurs"), F.col("top_posts"))
-    return x.select(*BY, F.to_json(ctx).alias("context_json"))
+        F.struct(*kp).alias("kpis"), F.col("crisis_velocity_score").alias("score"), "niveau", "dominant_narrative",
+        "top_author", "narratives", "top_authors", "top_posts", F.col("brief").alias("brief_agent1")).alias("context"))
+
+
+def context_json(Ep: DataFrame, E: DataFrame, max_posts: int = 5, max_rows: int = 8) -> DataFrame:
+    """The crisis context of each period as JSON text."""
+    return crisis_context(Ep, E, max_posts, max_rows).select(*BY, F.to_json("context").alias("context_json"))
 
 
 # ----------------------------------------------------------- R9 answers
@@ -291,16 +316,16 @@ def answers(questions: DataFrame, Ep: DataFrame, E: DataFrame, text_col: str = "
     a3 = propagation_report(Ep).select(*BY, F.col("score").alias("coord_score"), F.col("label").alias("coord_label"),
                                        F.col("markdown").alias("a3_md"))
     prop = PR.propagation_metrics(Ep, BY)
-    prop_json = prop.select(*BY, F.to_json(F.struct(*[F.col(c) for c in prop.columns if c not in BY]))
-                            .alias("prop_json"))
+    prop_json = prop.select(*BY, F.to_json(F.struct(*[
+        (ts_str(F.col(c)) if c in ("start", "end") else F.col(c)).alias(c) for c in prop.columns if c not in BY]))
+        .alias("prop_json"))
     a4 = strategy_report(Ep, E).select(*BY, "priority", "posture", F.col("markdown").alias("a4_md"))
     a5 = pack_report(Ep, E).select(*BY, F.col("markdown").alias("a5_md"))
     ctx = _join_all(brief, kp, a2, a3, prop_json, a4, a5)
-    # One context row per period.  Many questions may concern one period (a
-    # hot key for a shuffled join), so the context side is broadcast when its
-    # counted size allows, which is the usual case (tens of periods).
-    n_ctx = ctx.count()
-    x = questions.join(F.broadcast(ctx) if n_ctx <= MAX_BROADCAST_CONTEXTS else ctx, list(BY), "left")
+    # one context row per period; a hot period is a skewed key, which AQE splits
+    x = questions.join(ctx, list(BY), "left")
+    known = F.col("niveau").isNotNull()
+    na = F.lit(TX.NOT_AVAILABLE)
     route = RU.route_question(F.col(text_col))
     has = lambda src: F.array_contains(route, src)
     srcs = [r[0] for r in RU.ROUTES]
@@ -332,8 +357,8 @@ def answers(questions: DataFrame, Ep: DataFrame, E: DataFrame, text_col: str = "
                                            "de coordination ?`, `Quelle stratégie recommandes-tu ?` ou `Rédige un "
                                            "post X`."))
     sections = F.array_compact(F.array(
-        F.when(has(srcs[0]), sec1), F.when(has(srcs[1]), sec2), F.when(has(srcs[2]), sec3),
-        F.when(has(srcs[3]), sec4), F.when(has(srcs[4]), sec5), F.when(has(RU.ROUTE_FALLBACK), synth)))
+        *[F.when(has(src), F.when(known, sec).otherwise(na))
+          for src, sec in zip((*srcs, RU.ROUTE_FALLBACK), (sec1, sec2, sec3, sec4, sec5, synth), strict=True)]))
     answer = F.when(F.size(route) == 0, F.lit(TX.ANSWER_EMPTY)).otherwise(F.concat(
         F.concat_ws("\n\n", sections), F.lit(TX.ANSWER_SOURCES_PREFIX), F.concat_ws(", ", route), F.lit(".")))
     return x.select(*keys, *BY, F.array_join(route, "|").alias("sources"), answer.alias("answer"),
@@ -355,7 +380,7 @@ def agent_context(Ep: DataFrame, E: DataFrame) -> DataFrame:
     Every list is cut before it is collected.  The strategy keys read by the
     answering step (priority messages, action plan, risks) are filled from
     the response axes, the action plan and the two risk lists."""
-    base = context_json(Ep, E).select(*BY, F.from_json("context_json", _CONTEXT_SCHEMA).alias("agent1"))
+    base = crisis_context(Ep, E).select(*BY, F.col("context").alias("agent1"))
     rm = N.risk_matrix(N.narrative_matrix(Ep, BY))
     a2 = _join_all(
         narratives_report(Ep).select(*BY, shorten(F.col("markdown"), 3600).alias("markdown")),
@@ -378,15 +403,11 @@ def agent_context(Ep: DataFrame, E: DataFrame) -> DataFrame:
         _records(bursts, 8, [F.asc("rank")], ["hour", "messages", "zscore", "retweet_pct", "burst_level"],
                  "burst_patterns"),
         _records(copies, 8, [F.asc("rank")], ["fingerprint", "count", "authors", "example"], "copy_patterns"))
-    axes = F.array(*[F.struct(F.lit(a).alias("axe"), F.lit(b).alias("but"), F.lit(c).alias("formulation"))
-                     for a, b, c in TX.MESSAGE_AXES])
-    plan = F.array(*[F.struct(F.lit(t).alias("temps"), F.lit(a).alias("action"), F.lit(d).alias("détail"))
-                     for t, a, d in TX.ACTION_PLAN])
     risks = F.struct(F.array(*[F.lit(x) for x in TX.RISKS_IF_SILENT]).alias("silence"),
                      F.array(*[F.lit(x) for x in TX.RISKS_IF_OVERREACTING]).alias("sur_reaction"))
     a4 = strategy_report(Ep, E).select(
         *BY, shorten(F.col("markdown"), 4200).alias("markdown"), "priority", "posture",
-        axes.alias("messages_prioritaires"), plan.alias("plan_action"), risks.alias("risques"),
+        _axes().alias("messages_prioritaires"), _plan().alias("plan_action"), risks.alias("risques"),
         F.array(*[F.lit(x) for x in TX.AVOID]).alias("avoid"))
     pack = ST.message_pack(ST.strategy_rows(Ep, E))
     msgs = pack.groupBy(*BY).agg(
@@ -406,8 +427,3 @@ def agent_context(Ep: DataFrame, E: DataFrame) -> DataFrame:
 
 def _nest(df: DataFrame, name: str) -> DataFrame:
     return df.select(*BY, F.struct(*[c for c in df.columns if c not in BY]).alias(name))
-
-
-_CONTEXT_SCHEMA = ("periode struct<start string, end string>, kpis map<string, string>, "
-                   "crisis_velocity_score double, niveau string, narratifs array<map<string, string>>, "
-                   "top_auteurs array<map<string, string>>, top_posts array<map<string, string>>")

@@ -14,7 +14,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Columns of the enriched-corpus export, in order.
+from ..operators import metrics as M
+from ..operators import narratives as N
+from ..operators import propagation as PR
+from ..operators import strategy as ST
+from ..operators import timeline as TL
+from ..session import cluster_for_write
+from . import reports as RP
+
+BY = ("period_id",)
+
+# Columns of the enriched-corpus export, in order.
 CORPUS_EXPORT_COLUMNS = (
     "dt", "author", "engagement_type", "sentiment", "likes", "comments", "shares", "reach", "impressions",
     "is_retweet", "is_reply", "is_quote", "is_original", "main_narrative", "narratives", "risk_level",
@@ -56,7 +66,7 @@ def export_corpus(E: DataFrame, out_dir: str, fmt: str = "parquet") -> str:
     """Enriched corpus: Parquet partitioned by ``date`` (period filters then
     prune files), or the 18-column CSV export."""
     if fmt == "parquet":
-        return write_table(E, os.path.join(out_dir, "corpus_enrichi"), "parquet", partition_by=["date"])
+        return write_table(cluster_for_write(E, "date", "post_id"), os.path.join(out_dir, "corpus_enrichi"), "parquet", partition_by=["date"])
     cols = [c for c in CORPUS_EXPORT_COLUMNS if c in E.columns]
     return write_table(E.select(*cols), os.path.join(out_dir, "corpus_enrichi_csv"), "csv")
 
@@ -64,3 +74,64 @@ def export_corpus(E: DataFrame, out_dir: str, fmt: str = "parquet") -> str:
 def export_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv") -> dict[str, str]:
     """Write bounded report tables (one directory each, one part file)."""
     return {name: write_table(df, os.path.join(out_dir, name), fmt, bounded=True) for name, df in tables.items()}
+
+
+def write_text(df: DataFrame, column: str, path: str) -> str:
+    """One text file of a one-column report (a row per period)."""
+    df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    return path
+
+
+def _bundle(out_dir: str, tables: dict[str, DataFrame], texts: dict[str, tuple[DataFrame, str]],
+            documents: dict[str, DataFrame]) -> dict[str, str]:
+    """Tables as CSV, texts as .md, other rows as JSON lines, each under its file name."""
+    out = {f"{n}.csv": write_table(df, os.path.join(out_dir, f"{n}.csv"), "csv", bounded=True) for n, df in tables.items()}
+    out |= {f"{n}.md": write_text(df, c, os.path.join(out_dir, f"{n}.md")) for n, (df, c) in texts.items()}
+    return out | {f"{n}.json": write_table(df, os.path.join(out_dir, f"{n}.json"), "json", bounded=True) for n, df in documents.items()}
+
+
+def export_analysis(analysis: dict[str, DataFrame], out_dir: str, prefix: str = "agent1_analyse") -> dict[str, str]:
+    """The period analysis of ``analysis.analyze_periods``: the report and five tables."""
+    names = ("top_authors", "top_hashtags", "top_posts", "narratives", "hourly_timeline")
+    return _bundle(out_dir, {f"{prefix}_{n}": analysis[n] for n in names}, {f"{prefix}_rapport": (analysis["brief_deterministe"], "brief")}, {})
+
+
+def export_global_tables(E: DataFrame, out_dir: str) -> dict[str, str]:
+    """Seven tables of the whole corpus."""
+    return _bundle(out_dir, {
+        "timeline_journaliere": TL.daily_timeline(E), "timeline_horaire": TL.hourly_timeline(E),
+        "pics_journaliers_detectes": TL.daily_peaks(E), "pics_horaires_detectes": TL.hourly_peaks(E),
+        "narratifs_globaux": M.narratives_table(E), "top_50_auteurs_influence": M.top_authors(E, 50),
+        "top_50_hashtags": M.top_hashtags(E, 50)}, {}, {})
+
+
+def export_narratives(Ep: DataFrame, out_dir: str, top_n: int = 10) -> dict[str, str]:
+    """Narratives and actors of each period: five tables, the report, a summary."""
+    matrix = N.narrative_matrix(Ep, BY)
+    risks, timeline = N.risk_matrix(matrix), N.narrative_timeline(Ep, "hour", BY)
+    return _bundle(out_dir, {
+        "agent2_matrice_narratifs": matrix, "agent2_timeline_narratifs": timeline,
+        "agent2_acteurs_par_narratif": N.actor_narratives(Ep, top_n, BY), "agent2_risk_matrix": risks,
+        "agent2_mutations_narratives": N.detect_mutation(timeline, "hour", BY)},
+        {"agent2_narratifs_acteurs": (RP.narratives_report(Ep), "markdown")}, {"agent2_resume": N.recommendations(risks, BY)})
+
+
+def export_propagation(Ep: DataFrame, out_dir: str, top_n: int = 10) -> dict[str, str]:
+    """Propagation of each period: three tables, the report, a summary."""
+    copies, bursts, prop = PR.copy_patterns(Ep, by=BY), TL.bursts(Ep, by=BY), PR.propagation_metrics(Ep, BY)
+    conc = PR.concentration_metrics(Ep, top_n, BY)
+    summary = prop.join(conc, list(BY)).join(PR.coordination(prop, conc, copies, bursts, BY), list(BY))
+    return _bundle(out_dir, {
+        "agent3_copier_coller_gabarits": copies, "agent3_pics_horaires": bursts,
+        "agent3_top_comptes_concentration": PR.concentration_table(Ep, top_n, BY)},
+        {"agent3_propagation_coordination": (RP.propagation_report(Ep), "markdown")}, {"agent3_resume": summary})
+
+
+def export_strategy(Ep: DataFrame, E: DataFrame, out_dir: str) -> dict[str, str]:
+    """Strategy and messages of each period: both reports, the strategy and the messages as JSON, the guard-rail table."""
+    strategy, pack = RP.strategy_report(Ep, E), ST.message_pack(ST.strategy_rows(Ep, E))
+    guard = pack.select(*BY, "channel_order", "canal", "statut", "risques_détectés", "points_à_renforcer", "longueur_caractères")
+    messages = pack.groupBy(*BY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("canal", "text")))).alias("messages"))
+    return _bundle(out_dir, {"agent5_gardefou": guard},
+                   {"agent4_strategie_riposte": (strategy, "markdown"), "agent5_messages_gardefou": (RP.pack_report(Ep, E), "markdown")},
+                   {"agent4_strategie_riposte": strategy.drop("markdown"), "agent5_messages": messages})

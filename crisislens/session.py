@@ -65,6 +65,10 @@ def checkpoint_root(spark: SparkSession, allow_local: bool = False) -> str:
     return root
 
 
+MAX_WRITE_BOUNDS = 4096          # range bounds that reach the driver at most
+WRITE_BOUND_ERROR = 1e-3         # their relative rank error
+
+
 def cluster_for_write(df: DataFrame, date_col: str, tiebreak: str, per_partition: int = 4) -> DataFrame:
     """Group rows by date ranges before a date-partitioned write.
 
@@ -79,12 +83,12 @@ def cluster_for_write(df: DataFrame, date_col: str, tiebreak: str, per_partition
     from pyspark.sql import functions as F
 
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    n_buckets = max(2, n * per_partition)
+    n_buckets = min(max(2, n * per_partition), MAX_WRITE_BOUNDS)
     key = (F.unix_date(F.col(date_col)).cast("long") * F.lit(1 << 32)
            + F.pmod(F.hash(F.col(tiebreak)), F.lit(1 << 32))).cast("double")
     keyed = df.withColumn("_ck", key)
     bounds = sorted(set(keyed.select("_ck").approxQuantile("_ck", [i / n_buckets for i in range(1, n_buckets)],
-                                                          1.0 / (4 * n_buckets))))
+                                                          WRITE_BOUND_ERROR)))
     splits = [float("-inf"), *bounds, float("inf")]
     bucketed = Bucketizer(splits=splits, inputCol="_ck", outputCol="_cb").transform(keyed)
     return bucketed.repartition(n, "_cb").drop("_ck", "_cb")

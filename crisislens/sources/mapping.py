@@ -16,43 +16,38 @@ Mapping = dict[str, "str | None"]
 
 
 def norm_name(name: object) -> str:
-    """Header normalisation: fold accents, lower, trim, non-alnum runs -> '_'."""
-    s = unicodedata.normalize("NFKD", str(name))
-    s = "".join(c for c in s if not unicodedata.combining(c)).lower().strip()
-    return re.sub(r"[^a-z0-9]+", "_", s).strip("_")
+    """Header key: lower-case ASCII letters and digits, everything else one '_' between them."""
+    plain = (c for c in unicodedata.normalize("NFKD", f"{name}".lower()) if not unicodedata.combining(c))
+    return "_".join(re.findall("[a-z0-9]+", "".join(plain)))
 
 
-def find_col(columns: Iterable[str], candidates: Iterable[str]) -> str | None:
-    """Physical column for one logical name.
+def ranked_columns(columns: Iterable[str], candidates: Iterable[str]) -> list[tuple[int, int, str]]:
+    """Every (pass, position, column) by which a logical name could be filled.
 
-    1. exact match of normalised names, the first candidate that exists wins;
-    2. otherwise a substring match in either direction, the first *physical*
-       column (in table order) that matches any candidate wins.
-    When two headers normalise alike, the later one stands for that name.
+    Pass 0 is equality of header keys, at the candidate's position; pass 1 is
+    one key within the other, at the column's position in the table.  Of
+    columns with one key the last stands for it.
     """
-    by_norm: dict[str, str] = {}
-    for c in columns:
-        by_norm[norm_name(c)] = c
-    cand_norm = [norm_name(c) for c in candidates]
-    for key in cand_norm:
-        if key in by_norm:
-            return by_norm[key]
-    for key, physical in by_norm.items():
-        for cand in cand_norm:
-            if cand and (cand in key or key in cand):
-                return physical
-    return None
+    keys = [norm_name(c) for c in candidates]
+    table = {norm_name(c): c for c in columns}
+    equal = [(0, keys.index(k), c) for k, c in table.items() if k in keys]
+    partial = [(1, i, c) for i, (k, c) in enumerate(table.items()) if any(x and (x in k or k in x) for x in keys)]
+    return sorted(equal + partial)
 
 
 def auto_map_columns(columns: Iterable[str], candidates: dict[str, list[str]] | None = None) -> Mapping:
-    cols = list(columns)
-    cands = candidates or COLUMN_CANDIDATES
-    return {logical: find_col(cols, names) for logical, names in cands.items()}
+    """The best-ranked column of each logical name, None without any."""
+    table = list(columns)
+    best = {}
+    for logical, names in (COLUMN_CANDIDATES if candidates is None else candidates).items():
+        ranked = ranked_columns(table, names)
+        best[logical] = ranked[0][2] if ranked else None
+    return best
 
 
-def validate_mapping(mapping: Mapping) -> tuple[bool, list[str]]:
-    missing = [k for k in REQUIRED_COLUMNS if not mapping.get(k)]
-    return not missing, missing
+def missing_columns(mapping: Mapping) -> list[str]:
+    """Required logical names that the mapping leaves open."""
+    return [name for name in REQUIRED_COLUMNS if not mapping.get(name)]
 
 
 def resolve_mapping(df: DataFrame, mapping: Mapping | None = None) -> Mapping:
@@ -62,8 +57,8 @@ def resolve_mapping(df: DataFrame, mapping: Mapping | None = None) -> Mapping:
     if mapping is not None:
         auto = {k: None for k in auto}
         auto.update(mapping)
-    ok, missing = validate_mapping(auto)
-    if not ok:
+    missing = missing_columns(auto)
+    if missing:
         raise ValueError("required columns not found: " + ", ".join(sorted(missing))
                          + "; pass mapping= to name them")
     used: dict[str, list[str]] = {}

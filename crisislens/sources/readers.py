@@ -5,41 +5,69 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-REPLACEMENT_CHAR = "�"
+from functools import reduce
+
 SNIFF_DELIMITERS = (",", ";", "\t", "|")
 DATA_EXCLUDE_WORDS = ("dictionnaire", "bdd")
 
 
-def _csv(spark: SparkSession, path: str, encoding: str, sep: str, recursive: bool,
-         glob: str | None) -> DataFrame:
-    r = (spark.read.option("header", "true").option("multiLine", "true")
-         .option("escape", '"').option("encoding", encoding).option("sep", sep)
-         .option("inferSchema", "false"))
+def _options(reader, recursive: bool, glob: str | None):
     if recursive:
-        r = r.option("recursiveFileLookup", "true")
-    if glob:
-        r = r.option("pathGlobFilter", glob)
-    return r.csv(path)
+        reader = reader.option("recursiveFileLookup", "true")
+    return reader.option("pathGlobFilter", glob) if glob else reader
+
 
+def file_facts(spark: SparkSession, path: str, recursive: bool = False, glob: str | None = None) -> list[dict]:
+    """One entry per CSV file: path, encoding, separator, header line, and whether a value spans lines.
+
+    One distributed pass over the raw lines; what reaches the driver is a row
+    per file.  A file is UTF-8 if all its lines are valid, else Latin-1.  A
+    line with an odd number of quotes opens or closes a value of several lines.
+    """
+    lines = _options(spark.read, recursive, glob).text(path).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"))
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    first = lines.where("block = 0").groupBy("path").agg(F.min("at").alias("at"))
+    header = lines.join(F.broadcast(first), ["path", "at"]).select("path", F.hex(F.col("value").cast("binary")).alias("header"))
+    facts = lines.groupBy("path").agg(F.min(F.expr("is_valid_utf8(value)")).alias("utf8"), F.max(quotes % 2).alias("odd"))
+    out = []
+    for r in facts.join(header, "path").collect():
+        encoding = "UTF-8" if r["utf8"] else "ISO-8859-1"
+        line = bytes.fromhex(r["header"]).decode(encoding).lstrip("\ufeff").rstrip("\r")
+        counts = {d: line.count(d) for d in SNIFF_DELIMITERS}
+        best = max(SNIFF_DELIMITERS, key=lambda d: counts[d])
+        # UTF-8 files are comma files unless their header has no comma at all
+        sep = "," if not counts[best] or (r["utf8"] and counts[","]) else best
+        out.append({"path": r["path"], "encoding": encoding, "sep": sep, "header": line, "multiline": bool(r["odd"])})
+    return sorted(out, key=lambda f: f["path"])
 
-def sniff_delimiter(spark: SparkSession, path: str, encoding: str = "ISO-8859-1") -> str:
-    """Pick the delimiter that occurs most in the header line (one line read)."""
-    first = (spark.read.option("encoding", encoding).option("lineSep", "\n").text(path)
-             .limit(1).collect())
-    line = first[0][0] if first else ""
-    counts = {d: line.count(d) for d in SNIFF_DELIMITERS}
-    best = max(counts, key=lambda d: counts[d])
-    return best if counts[best] > 0 else ","
+
+def read_csv_files(spark: SparkSession, facts: list[dict], multiline: bool | None = None) -> DataFrame:
+    """Files of one header, encoding and separator are read together; the groups are united by column name.
+
+    ``multiline`` makes a file one task, so by default only groups with a value
+    of several lines are read that way.
+    """
+    groups: dict[tuple, list[dict]] = {}
+    for f in facts:
+        groups.setdefault((f["header"], f["encoding"], f["sep"]), []).append(f)
+    parts = []
+    for (_, encoding, sep), files in groups.items():
+        whole = any(f["multiline"] for f in files) if multiline is None else multiline
+        parts.append(spark.read.option("header", "true").option("multiLine", str(whole).lower()).option("escape", '"')
+                     .option("encoding", encoding).option("sep", sep).option("inferSchema", "false").csv([f["path"] for f in files]))
+    if not parts:
+        raise ValueError("no CSV file found")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, recursive: bool = False,
-                 glob: str | None = None) -> DataFrame:
+                 glob: str | None = None, multiline: bool | None = None) -> DataFrame:
     """Read a raw post table; every CSV column stays a string.
 
-    CSV is read as UTF-8 with a comma.  Spark never fails on bad bytes (they
-    become U+FFFD), so one distributed check for U+FFFD decides the fallback:
-    re-read as Latin-1 with a delimiter sniffed from the header line.
-    A directory is read whole (all files), optionally filtered by ``glob``.
+    A directory is read whole, optionally filtered by ``glob``; encoding,
+    separator and header are those of each file.
     """
     kind = (fmt or path.rsplit(".", 1)[-1]).lower()
     if kind == "parquet":
@@ -48,23 +76,12 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, recursi
         return spark.read.json(path)
     if kind in ("xlsx", "xls"):
         raise ValueError("Excel files are not read by the engine; convert to CSV or Parquet first")
-    df = _csv(spark, path, "UTF-8", ",", recursive, glob)
-    if not df.columns:
-        return df
-    joined = F.concat_ws("", *[F.coalesce(F.col(f"`{c}`"), F.lit("")) for c in df.columns])
-    has_bad = not df.where(F.contains(joined, F.lit(REPLACEMENT_CHAR))).isEmpty()
-    if has_bad or any(REPLACEMENT_CHAR in c for c in df.columns):
-        sep = sniff_delimiter(spark, path)
-        df = _csv(spark, path, "ISO-8859-1", sep, recursive, glob)
-    return df
+    return read_csv_files(spark, file_facts(spark, path, recursive, glob), multiline)
 
 
 def read_data_directory(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
     """Read every data file under ``root`` (recursively), leaving out data
     dictionaries (file names containing one of ``DATA_EXCLUDE_WORDS``)."""
-    df = _csv(spark, root, "UTF-8", ",", True, glob)
-    name = F.lower(F.input_file_name())
-    keep = F.lit(True)
-    for w in DATA_EXCLUDE_WORDS:
-        keep = keep & ~F.contains(F.element_at(F.split(name, "/"), -1), F.lit(w))
-    return df.where(keep)
+    facts = file_facts(spark, root, True, glob)
+    name = lambda f: f["path"].rsplit("/", 1)[-1].lower()
+    return read_csv_files(spark, [f for f in facts if not any(w in name(f) for w in DATA_EXCLUDE_WORDS)])

@@ -22,10 +22,11 @@ def raw_post_stream(spark: SparkSession, path: str, schema: T.StructType, max_fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(path)
 
 
-def enrich_stream(raw_stream: DataFrame, mapping: dict[str, str]) -> DataFrame:
-    """Per-row enrichment only: the corpus reach p95 is a global statistic,
-    so the stream uses the rule without it (pass ``risk`` from batch)."""
-    return enrich(raw_stream, mapping, streaming=True)
+def enrich_stream(raw_stream: DataFrame, mapping: dict[str, str], reach_p95: float | None = None) -> DataFrame:
+    """Per-row enrichment: the corpus reach p95 is a global statistic, so it
+    comes from the batch side; with it stream and batch risk agree, without
+    it the rule's reach term is left out."""
+    return enrich(raw_stream, mapping, streaming=True, reach_p95=reach_p95)
 
 
 def hourly_volumes(E_stream: DataFrame, watermark: str = "2 hours") -> DataFrame:
@@ -45,10 +46,10 @@ def hourly_volumes(E_stream: DataFrame, watermark: str = "2 hours") -> DataFrame
 
 
 def start_hourly(spark: SparkSession, source: str, schema: T.StructType, mapping: dict[str, str], sink: str,
-                 checkpoint: str, trigger_once: bool = True):
+                 checkpoint: str, trigger_once: bool = True, reach_p95: float | None = None):
     """Run the hourly stream into a Parquet sink (exactly-once with the
     checkpoint folder on shared storage)."""
-    q = (hourly_volumes(enrich_stream(raw_post_stream(spark, source, schema), mapping))
+    q = (hourly_volumes(enrich_stream(raw_post_stream(spark, source, schema), mapping, reach_p95))
          .writeStream.outputMode("append").format("parquet")
          .option("path", sink).option("checkpointLocation", checkpoint))
     q = q.trigger(availableNow=True) if trigger_once else q.trigger(processingTime="1 minute")

@@ -78,6 +78,7 @@ BRIEF_STRATEGY = (
 )
 BRIEF_NEGATIVE = ("- Le climat dominant étant négatif, la réponse doit éviter toute formulation défensive ou "
                   "agressive.")
+NOT_AVAILABLE = "n/a"
 NOT_IDENTIFIED = "non identifié"
 
 # FIXED VALUES — strategy constants (objective, targets, axes, plan, avoid,

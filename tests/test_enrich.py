@@ -84,16 +84,56 @@ def test_no_valid_date_is_an_error(spark):
         enrich(bad)
 
 
-def test_exact_quantile_distributed_selection(spark, monkeypatch):
+def test_exact_quantile_distributed_selection(spark):
     import random
 
     import numpy as np
 
     import crisislens.operators.enrich as EN
     random.seed(11)
-    vals = [float(random.choice([0, 0, 5, random.randint(0, 40), random.randint(0, 10**5)])) for _ in range(3000)]
-    df = spark.createDataFrame([(v,) for v in vals], "reach double")
-    expected = float(np.quantile(np.array(vals), 0.95))
-    assert EN.exact_quantile(df, "reach", 0.95) == expected
-    monkeypatch.setattr(EN, "MAX_LOCAL_DISTINCT", 40)          # force the recursive bucket path
-    assert EN.exact_quantile(df, "reach", 0.95, buckets=6) == expected
+    mixed = [float(random.choice([0, 0, 5, random.randint(0, 40), random.randint(0, 10**5)])) for _ in range(3000)]
+    zeros = [0.0] * 19_900 + [float(random.randint(1, 10**6)) for _ in range(100)]
+    for vals in (mixed, zeros, [7.0], [1.0, 2.0]):
+        df = spark.createDataFrame([(v,) for v in vals] + [(None,), (float("nan"),)], "reach double")
+        for q in (0.0, 0.5, 0.95, 0.999, 1.0):
+            assert EN.exact_quantile(df, "reach", q) == float(np.quantile(np.array(vals), q))
+    assert EN.exact_quantile(spark.createDataFrame([(None,)], "reach double"), "reach", 0.5) is None
+
+
+def test_one_date_format_for_the_column(spark):
+    rows = [("03/04/2026 10:00", "a", "t"), ("26/03/2026 10:00", "b", "u"), ("12:30", "c", "v")]
+    got = enrich(spark.createDataFrame(rows, "Date string, Author string, Tweet string")).orderBy("dt").collect()
+    assert [r.dt for r in got] == [dt.datetime(2026, 3, 26, 10), dt.datetime(2026, 4, 3, 10)]
+    only = enrich(spark.createDataFrame(rows, "Date string, Author string, Tweet string"), date_formats=["MM/dd/yyyy HH:mm"]).collect()
+    assert [r.dt for r in only] == [dt.datetime(2026, 3, 4, 10)]
+
+
+def test_numbers_are_plain_decimals(spark):
+    from crisislens.functions.numbers import safe_double
+    text = ["12d", "1f", "0x1p3", " 12 ", "1,234", "-3.5", ".5", "1e3", "NaN", "", None, "5."]
+    got = [r[0] for r in spark.createDataFrame([(i, t) for i, t in enumerate(text)], "i int, t string").orderBy("i").select(safe_double(F.col("t"))).collect()]
+    assert got == [0, 0, 0, 12, 0, -3.5, 0.5, 1000, 0, 0, 0, 5]
+
+
+def test_text_ids_and_no_ids(spark):
+    schema = "Date string, Author string, Tweet string, post_id string"
+    E = enrich(spark.createDataFrame([("2026-01-01 00:00:00", "a", "t", f"tw_{i}") for i in range(3)], schema))
+    assert sorted(r.post_id for r in E.collect()) == ["tw_0", "tw_1", "tw_2"]
+    bare = spark.createDataFrame([("2026-01-01 00:00:00", f"a{i}", "t") for i in range(3)], "Date string, Author string, Tweet string")
+    ids = [sorted(r.post_id for r in enrich(bare.repartition(n), {"date": "Date", "author": "Author", "text": "Tweet"}).collect()) for n in (1, 3)]
+    assert ids[0] == ids[1] and len(set(ids[0])) == 3
+
+
+def test_copies_on_overlapping_periods_and_repeated_ids(spark):
+    from crisislens.operators import periods as P
+    from crisislens.operators import propagation as PR
+    body = "the very same message goes round and round again today, with words enough"
+    rows = [(f"2026-01-0{d} 0{h}:00:00", f"u{h}", f"{body} @x{h}", "tw_1" if h < 2 else f"tw_{d}{h}") for d in (1, 2) for h in range(4)]
+    E = enrich(spark.createDataFrame(rows, "Date string, Author string, Tweet string, post_id string"))
+    D = dt.datetime
+    spans = [("a", D(2026, 1, 1), D(2026, 1, 1, 23)), ("b", D(2026, 1, 1), D(2026, 1, 3))]
+    for n in (1, 2):
+        got = {r.period_id: r for r in PR.copy_patterns(P.assign_periods(E, P.periods_frame(spark, spans[:n])), by=["period_id"]).collect()}
+        assert {k: r["count"] for k, r in got.items()} == dict([("a", 4), ("b", 8)][:n]) and got["a"].example.startswith(body)
+    plan = PR.copy_patterns(E)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan

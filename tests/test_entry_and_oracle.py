@@ -5,7 +5,7 @@ from conftest import SF_SMALL
 from harness import compare, duck
 
 ORACLE_SAMPLE = ["enrich_narratives", "enrich_entities", "ingest_map_columns", "kpis", "top_authors",
-                 "hourly_peaks", "crisis_velocity", "narrative_matrix", "copy_patterns", "guardrail"]
+                 "hourly_peaks", "crisis_velocity", "narrative_matrix", "copy_patterns", "guardrail", "crisis_context", "period_engagement_types", "propagation_report"]
 
 
 def test_entry_smoke(spark):
@@ -17,8 +17,7 @@ def test_entry_smoke(spark):
 def test_registry_shape():
     qs, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(qs) and len(qs) >= 50
-    for name in ("answers", "context_json", "agent_context"):   # JSON / answer texts: rows-only check
-        assert name in qs and name not in sql
+    assert {"answers", "context_json", "agent_context", "crisis_context"} <= set(qs) and "crisis_context" in sql
 
 
 @pytest.mark.parametrize("name", ORACLE_SAMPLE)

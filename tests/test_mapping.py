@@ -1,6 +1,6 @@
 import pytest
 
-from crisislens.sources.mapping import auto_map_columns, find_col, norm_name, resolve_mapping, validate_mapping
+from crisislens.sources.mapping import auto_map_columns, missing_columns, norm_name, ranked_columns, resolve_mapping
 
 
 def test_norm_name_folds_accents_and_punctuation():
@@ -10,7 +10,7 @@ def test_norm_name_folds_accents_and_punctuation():
 
 
 def test_exact_match_uses_candidate_order():
-    assert find_col(["tweet", "Text"], ["Full Text", "Text", "Tweet"]) == "Text"
+    assert ranked_columns(["tweet", "Text"], ["Full Text", "Text", "Tweet"])[0] == (0, 1, "Text")
 
 
 def test_fuzzy_match_is_greedy_both_ways():
@@ -24,12 +24,11 @@ def test_fuzzy_match_is_greedy_both_ways():
 
 
 def test_later_duplicate_header_wins():
-    assert find_col(["Likes", "likes "], ["Likes"]) == "likes "
+    assert ranked_columns(["Likes", "likes "], ["Likes"]) == [(0, 0, "likes "), (1, 0, "likes ")]
 
 
 def test_validate_and_resolve(spark):
-    ok, missing = validate_mapping({"date": "d", "author": None, "text": "t"})
-    assert not ok and missing == ["author"]
+    assert missing_columns({"date": "d", "author": None, "text": "t"}) == ["author"]
     df = spark.createDataFrame([("a", "b")], "foo string, bar string")
     with pytest.raises(ValueError):
         resolve_mapping(df)

@@ -38,7 +38,12 @@ def test_shuffled_period_join_same_result(spark):
     E = corpus(spark)
     periods = P.periods_frame(spark, [("a", T(1, 0), T(2, 23)), ("b", T(2, 0), T(3, 23))])
     small = M.kpis(P.assign_periods(E, periods), by=["period_id"]).collect()
-    big = M.kpis(P.assign_periods(E, periods, broadcast_limit=0), by=["period_id"]).collect()
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        big = M.kpis(P.assign_periods(E, periods), by=["period_id"]).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
     assert sorted(map(tuple, small)) == sorted(map(tuple, big))
 
 

@@ -33,3 +33,9 @@ def test_topk_plans(spark):
     per_period = _plan(entry.queries()["period_top_authors"](spark, SF_SMALL))
     assert per_period.count("WindowGroupLimit") >= 2          # partial limit before the shuffle + final
     assert "TakeOrderedAndProject" in _plan(entry.queries()["top_authors"](spark, SF_SMALL))
+
+
+def test_reports_scan_events_at_most_three_times(spark):
+    import __spark_entry__ as entry
+    for name in ("brief_rows", "propagation_report", "crisis_context", "answers", "agent_context"):
+        assert _plan(entry.queries()[name](spark, SF_SMALL)).count("events.parquet") <= 3, name

@@ -33,3 +33,14 @@ def test_directory_reads_all_data_files(spark, tmpdir_path):
     for name in ("a.csv", "b.csv", "dictionnaire.csv"):
         _write(os.path.join(d, name), "Date,Author,Text\n2024-01-01 00:00:00,u,t\n", "utf-8")
     assert read_data_directory(spark, os.path.join(tmpdir_path, "dir")).count() == 2
+
+
+def test_mixed_files_are_united_by_name(spark, tmpdir_path):
+    d = os.path.join(tmpdir_path, "mixed", "sub")
+    os.makedirs(d)
+    _write(os.path.join(d, "a.csv"), "Date,Author,Text\n2024-01-01 00:00:00,élan,caf\ufffdé\n", "utf-8")
+    _write(os.path.join(d, "b.csv"), "Author,Date,Text\nbob,2024-01-02 00:00:00,\"two\nlines\"\n", "utf-8")
+    _write(os.path.join(d, "c.csv"), "Date;Text;Author\n2024-01-03 00:00:00;été;zoé\n", "latin-1")
+    _write(os.path.join(d, "d.txt"), "no,csv\n1,2\n", "utf-8")
+    got = {r.Date: (r.Author, r.Text) for r in read_dataset(spark, os.path.join(tmpdir_path, "mixed"), "csv", recursive=True, glob="*.csv").collect()}
+    assert got == {"2024-01-01 00:00:00": ("élan", "caf\ufffdé"), "2024-01-02 00:00:00": ("bob", "two\nlines"), "2024-01-03 00:00:00": ("zoé", "été")}

@@ -24,6 +24,29 @@ def test_sinks_roundtrip(spark, tmpdir_path):
     assert len(files) == 1
 
 
+def test_export_bundles(spark, tmpdir_path):
+    import pytest
+
+    from crisislens.operators import periods as P
+    from crisislens.plans import analysis as A
+    from crisislens.plans import sinks as SK
+    E = materialize(enrich(raw_posts(spark, SF_SMALL), POSTS_MAPPING), "bundle", allow_local=True)
+    result = A.analyze_peak_day(E, 1)
+    Ep = result["period_data"]
+    made = SK.export_analysis(result, tmpdir_path) | SK.export_global_tables(E, tmpdir_path) | SK.export_narratives(Ep, tmpdir_path)
+    made |= SK.export_propagation(Ep, tmpdir_path) | SK.export_strategy(Ep, E, tmpdir_path)
+    assert len(made) == 6 + 7 + 7 + 5 + 5
+    for name, path in made.items():
+        back = (spark.read.json(path) if name.endswith(".json") else spark.read.text(path) if name.endswith(".md")
+                else spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path))
+        assert back.count() > 0 or name == "agent3_copier_coller_gabarits.csv", name
+    for bad in (0, 10_000):
+        with pytest.raises(ValueError):
+            A.analyze_peak_day(E, bad)
+    with pytest.raises(ValueError):
+        A.analyze_periods(E, P.periods_frame(spark, [("none", None, __import__("datetime").datetime(1990, 1, 1))]))
+
+
 def test_streaming_hourly(spark, tmpdir_path):
     raw = raw_posts(spark, SF_SMALL)
     src = os.path.join(tmpdir_path, "src")
