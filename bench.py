@@ -22,6 +22,7 @@ from crisislens.operators import propagation as PR
 from crisislens.operators import strategy as ST
 from crisislens.operators import timeline as TL
 from crisislens.operators.enrich import enrich, with_risk_level
+from crisislens.plans import reports as RP
 from crisislens.session import get_spark, materialize
 from crisislens.sources.fixtures import POSTS_MAPPING, raw_posts
 
@@ -77,6 +78,12 @@ def main() -> None:
     timed("coordination", lambda: PR.coordination(PR.propagation_metrics(E), PR.concentration_metrics(E),
                                                   copies, TL.bursts(E)).collect())
     timed("message_pack", lambda: ST.message_pack(ST.strategy_rows(Ep, E)).collect())
+    stored = timed("period_posts", lambda: materialize(Ep, "bench-period-posts"))
+    for name, build in (("brief_rows", RP.brief_rows), ("strategy_report", RP.strategy_report), ("crisis_context", RP.crisis_context),
+                        ("agent_context", RP.agent_context)):
+        timed(name, lambda: build(stored, E).collect())            # five rows each
+    timed("narratives_report", lambda: RP.narratives_report(stored).collect())
+    timed("propagation_report", lambda: RP.propagation_report(stored).collect())
     timed("guardrail", lambda: conv.select(*[c.alias(k) for k, c in RU.guardrail(F.col("text")).items()])
           .groupBy("statut").count().collect())
 

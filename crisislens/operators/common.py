@@ -24,10 +24,11 @@ def top_k(df: DataFrame, order: list[Column], n: int | None, by: By = (), rank_c
     numbered over those n rows only.  With groups: ``row_number() <= n`` over
     ``partitionBy(by)``, which Spark turns into a per-partition group limit
     before the shuffle, so a hot group never travels whole.  Without groups
-    and without ``n`` all rows would be ranked in one task: refused.
+    and without ``n`` the rows are sorted but not ranked (a rank over all rows
+    would be the work of one task).
     """
     if n is None and not by:
-        raise ValueError("ranking all rows needs a group or a bound n")
+        return df.orderBy(*order)
     if n is None:
         w = Window.partitionBy(*by).orderBy(*order) if by else Window.orderBy(*order)
         return df.withColumn(rank_col, F.row_number().over(w).cast("bigint"))

@@ -14,11 +14,15 @@ from .reports import brief_rows
 BY = ("period_id",)
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written and reread; a folder of our own only in a single-process session that names none."""
+    master = df.sparkSession.sparkContext.master
+    return materialize(df, name, allow_local=master.startswith("local") and not master.startswith("local-cluster"))
+
+
 def period_posts(E: DataFrame, periods: DataFrame) -> DataFrame:
     """The posts of every period, written once, so that many tables share one pass over the texts."""
-    master = E.sparkSession.sparkContext.master
-    return materialize(assign_periods(E, periods.select("period_id", "start", "end")), "period-posts",
-                       allow_local=master.startswith("local") and not master.startswith("local-cluster"))
+    return store(assign_periods(E, periods.select("period_id", "start", "end")), "period-posts")
 
 
 def analyze_periods(E: DataFrame, periods: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:

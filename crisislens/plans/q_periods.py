@@ -29,10 +29,10 @@ def _periods(spark, sf_dir):
 
 
 def stored_periods(spark, sf_dir):
-    """The corpus and the stored posts of its five busiest days (reports read these many times)."""
-    from .analysis import period_posts
+    """What reports read many times, stored: the corpus' times and reach, and the posts of its five busiest days."""
+    from .analysis import period_posts, store
     E = corpus(spark, sf_dir)
-    return E, period_posts(E, P.peak_day_periods(E, top=5))
+    return store(E.select("dt", "reach"), "corpus-span"), period_posts(E, P.peak_day_periods(E, top=5))
 
 
 @register("period_engagement_types", with_e_ctes(PERIOD_CTES, f"""SELECT period_id, engagement_type, count(*) AS count,

@@ -130,7 +130,7 @@ def export_propagation(Ep: DataFrame, out_dir: str, top_n: int = 10) -> dict[str
 def export_strategy(Ep: DataFrame, E: DataFrame, out_dir: str) -> dict[str, str]:
     """Strategy and messages of each period: both reports, the strategy and the messages as JSON, the guard-rail table."""
     strategy, pack = RP.strategy_report(Ep, E), ST.message_pack(ST.strategy_rows(Ep, E))
-    guard = pack.select(*BY, "channel_order", "canal", "statut", "risques_détectés", "points_à_renforcer", "longueur_caractères")
+    guard = pack.drop("text")
     messages = pack.groupBy(*BY).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("canal", "text")))).alias("messages"))
     return _bundle(out_dir, {"agent5_gardefou": guard},
                    {"agent4_strategie_riposte": (strategy, "markdown"), "agent5_messages_gardefou": (RP.pack_report(Ep, E), "markdown")},
