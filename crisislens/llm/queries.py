@@ -126,7 +126,26 @@ met AS (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS c FROM d_sh d JOIN b_s
 SELECT x.doc_id, x.item_id, n.n AS n_item, x.c AS n_shared, x.c / n.n AS containment
 FROM met x JOIN b_n n ON n.k = x.item_id WHERE 100 * x.c >= 75 * n.n"""
 
+_LISTED = " OR ".join(f"contains(host, '{w}')" for w in LISTED_WORDS)
+_FITS = {h + p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in URL_RULES}
+_LONGEST = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
+OP5_SQL = f"""WITH parts AS (
+  SELECT page_id, url,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+    regexp_replace(regexp_replace(regexp_extract(url, '(?s)^.*?://[^?#]*\\?([^#]*)', 1), '(^|&)utm_[^&]*', '', 'g'), '^&', '') AS query
+  FROM pages),
+canon AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS c FROM parts),
+listed AS (SELECT DISTINCT c FROM canon WHERE ({_LISTED}) AND c IS NOT NULL)
+SELECT page_id, host, path,
+  CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{h + p}'" for _, h, p in _LONGEST)} END AS rule,
+  CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{v}'" for v, h, p in _LONGEST)}
+    WHEN EXISTS (SELECT 1 FROM listed l WHERE l.c = canon.c) THEN 'block' ELSE 'allow' END AS verdict
+FROM canon"""
+
 ORACLE: dict[str, str] = {
+    "op5_url_filter": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
     "op1_ngram_join": OP1_SQL,
 }
