@@ -2,19 +2,26 @@
 
 A page is cut into lines, one for each block of text outside elements that are
 never article text by their markup (navigation, footers, forms, scripts,
-comments and the like).  A page whose markup names its article keeps the
-article's lines.  On any other page it is the pages of the same host that tell
-template from article: pages are ordered by host and URL path, each page is
-paired with its nearest neighbour by path, their lines are aligned by longest
-common subsequence, and the shared lines are deleted.  A line that is repeated
-in both pages is paired occurrence by occurrence.  Two pages that share more
-than half of their characters are copies of each other and lose nothing.
+comments and the like).  The pages of a host tell template from article: pages
+are ordered by host and URL path, each page is paired with its nearest neighbour
+by path, all their lines are aligned by longest common subsequence, and the
+shared lines are deleted.  A line that is repeated in both pages is paired
+occurrence by occurrence.  A page whose markup names its article keeps
+the article's lines.
+
+Copies lose nothing.  A page is a copy of its nearest page if nearly nothing is
+left of it: at most LEFT of what the neighbour on its other side leaves, which
+has the same template but not the same article.  If that one leaves nearly
+nothing either, or there is none, what is left is held against the whole page
+(LEAST).  A page that two neighbours hold whole which are no copies of each other
+is all template.
 
 Cases: a null html counts as empty and has no text; broken markup is read as
 far as it goes, an element that is never closed ends with its parent article or
 body; a null url or one without host belongs to the host '' and pairs with no
-other page; a page without lines is nobody's neighbour; equal URLs are neighbours in the order of the page key; repeated
-rows give repeated rows; extra columns are left out.
+other page; a page without lines is nobody's neighbour, the pages around it are
+each other's; equal URLs are neighbours in the order of the page key; repeated
+rows give repeated rows, which are copies of each other; extra columns are left out.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from .buffers import slices
 from .ordering import in_order, number_key
 from .url_filter import url_host, url_path
 
-COPY_SHARE = 0.5                 # pages that share more of their characters are copies
+LEFT, LEAST = 0.1, 0.02          # copies: shares of the other neighbour's remainder and of the whole page that are nearly nothing
 
 # Element and attribute names of HTML.
 DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "iframe", "svg", "button", "select",
@@ -63,10 +70,10 @@ def never_article(name: str, attributes: str) -> bool:
     return found.get("role") in ROLES or bool(OUTSIDE.search(found.get("class", "")) or OUTSIDE.search(found.get("id", "")))
 
 
-def lines(page: str) -> tuple[list[str], list[str]]:
-    """(article lines, other lines) of a page in page order, character references decoded, white space as one space."""
-    own: list[str] = []
-    rest: list[str] = []
+def marked_lines(page: str) -> tuple[list[str], list[bool]]:
+    """The lines of a page and whether each is of a marked article; character references decoded, white space as one space."""
+    found: list[str] = []
+    own: list[bool] = []
     block: list[str] = []
     article = 0                  # open article elements
     dropped, depth = "", 0       # the element that is left out, and how often its name is open within
@@ -76,7 +83,8 @@ def lines(page: str) -> tuple[list[str], list[str]]:
         text = " ".join(entities.unescape("".join(block)).split())
         block.clear()
         if text:
-            (own if article else rest).append(text)
+            found.append(text)
+            own.append(article > 0)
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -116,7 +124,13 @@ def lines(page: str) -> tuple[list[str], list[str]]:
     if not dropped:
         block.append(page[at:])
     close()
-    return own, rest
+    return found, own
+
+
+def lines(page: str) -> tuple[list[str], list[str]]:
+    """(article lines, other lines) of a page in page order."""
+    found, own = marked_lines(page)
+    return [x for x, o in zip(found, own, strict=True) if o], [x for x, o in zip(found, own, strict=True) if not o]
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
@@ -156,13 +170,35 @@ def nearer(path: str, front: str | None, behind: str | None) -> int:
     return -1 if len(commonprefix([path, front])) >= len(commonprefix([path, behind])) else 1
 
 
-def difference(own: list[str], other: list[str]) -> list[str]:
-    """The lines of a page without those shared with its neighbour; all of them if the pages are copies."""
-    shared = shared_lines(own, other)
-    size = sum(map(len, own))
-    if sum(len(own[i]) for i in shared) > COPY_SHARE * min(size, sum(map(len, other))):
-        return own
-    return [x for i, x in enumerate(own) if i not in shared]
+def left(page: list[str], among: list[int], other: list[str]) -> tuple[list[int], int]:
+    """The positions ``among`` those of a page that it does not share with another page, and their characters."""
+    shared = shared_lines(page, other)
+    kept = [i for i in among if i not in shared]
+    return kept, sum(len(page[i]) for i in kept)
+
+
+def difference(page: list[str], among: list[int], near: list[str], other: list[str] | None, share: float = LEFT, least: float = LEAST) -> list[int]:
+    """The positions ``among`` those of a page that its nearest page lacks; all of them if the two are copies.
+
+    ``other`` is the neighbour on the other side, ``share`` and ``least`` are
+    the shares of its remainder and of the page that count as nearly nothing.
+    """
+    kept, n = left(page, among, near)
+    if len(kept) == len(among):
+        return among
+    nothing = least * sum(len(page[i]) for i in among)
+    if other is None:
+        return kept if n > nothing else among
+    far = left(page, among, other)[1]
+    if far > nothing:
+        return kept if n > share * far else among
+    if n > nothing:                                      # the copy is on the other side
+        return kept
+    # both hold the page: a template if they are not copies themselves
+    for a, b in ((near, other), (other, near)):
+        if left(a, list(range(len(a))), b)[1] <= least * sum(map(len, a)):
+            return among
+    return kept
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
@@ -172,25 +208,30 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, _, _ in slices(batch, "_html"):
-                found = [lines(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([bool(a) for a, _ in found]), pa.array([a or b for a, b in found], pa.list_(pa.string()))], [key, url, "_host", "_path", "_marked", "_lines"])
+                found = [marked_lines(x or "") for x in part.column(part.num_columns - 1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array([a for a, _ in found], pa.list_(pa.string())), pa.array([b for _, b in found], pa.list_(pa.bool_()))], [key, url, "_host", "_path", "_lines", "_own"])
 
     u = F.col(url)
     parsed = pages.select(key, url, url_host(u).alias("_host"), url_path(u).alias("_path"), F.col(html).alias("_html")).mapInArrow(
-        parse, f"`{key}` {kind}, `{url}` {url_kind}, _host string, _path string, _marked boolean, _lines array<string>")
+        parse, f"`{key}` {kind}, `{url}` {url_kind}, _host string, _path string, _lines array<string>, _own array<boolean>")
+    # pages without lines stand apart, so that the pages around them are neighbours
+    parsed = parsed.withColumn("_host", F.when(F.size("_lines") > 0, F.col("_host")).otherwise(F.lit("")))
     ordered = in_order(parsed, F.concat_ws("\x01", F.col("_host"), F.col("_path"), number_key(F.xxhash64(F.col(key).cast("string")))), before=True)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         front, row = None, None
 
         def settle(front, row, behind) -> list:
-            k, address, host, path, marked, own, _, part = row
-            if not marked and host:
-                sides = [x if x is not None and x[2] == host and x[7] == part and x[5] else None for x in (front, behind)]
+            k, address, host, path, page, own, _, part = row
+            marked = any(own)
+            stay = [i for i, o in enumerate(own) if o or not marked]
+            if host and not marked:
+                sides = [x if x is not None and x[2] == host and x[7] == part else None for x in (front, behind)]
                 side = nearer(path, *[None if x is None else x[3] for x in sides])
                 if side:
-                    own = difference(own, sides[0 if side < 0 else 1][5])
-            text = "\n".join(own)
+                    near, other = sides[::-side]
+                    stay = difference(page, stay, near[4], other and other[4])
+            text = "\n".join(page[i] for i in stay)
             return [k, address, text, len(text), marked]
 
         def batch_of(rows: list, schema: pa.Schema) -> pa.RecordBatch:
@@ -212,4 +253,4 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         if row is not None and not row[6]:
             yield batch_of([settle(front, row, None)], schema)
 
-    return ordered.select(key, url, "_host", "_path", "_marked", "_lines", "_halo", "_part").mapInArrow(work, f"`{key}` {kind}, `{url}` {url_kind}, text string, n_chars long, by_markup boolean")
+    return ordered.select(key, url, "_host", "_path", "_lines", "_own", "_halo", "_part").mapInArrow(work, f"`{key}` {kind}, `{url}` {url_kind}, text string, n_chars long, by_markup boolean")

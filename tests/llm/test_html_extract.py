@@ -49,3 +49,32 @@ def test_pages(spark):
     got = html_extract.extract(pages).collect()
     assert len(got) == pages.count() and all(r["by_markup"] and r["text"] and "<" not in r["text"] for r in got)
     assert html_extract.extract(pages.limit(0)).collect() == []
+
+
+def paragraphs(*seeds, n=30):
+    return "".join(f"<p>{words(x, n)}</p>" for x in seeds)
+
+
+def texts(spark, rows):
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()
+    assert len(got) == len(rows)
+    return {r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in got}
+
+
+def test_page_differencing_of_short_articles_mixed_markup_and_empty_neighbours(spark):
+    long = lambda body: f"<div>{words(900, 80)}</div>{body}<div>{words(901, 120)}</div>"
+    rows = [(i, f"http://s.org/{i:03d}", long(paragraphs(i, n=12))) for i in range(12)]                            # template much longer than the article
+    rows += [(100 + i, f"http://x.org/{i:03d}", long(f"<article>{paragraphs(i)}</article>" if i % 2 else paragraphs(i))) for i in range(12)]
+    rows += [(200 + i, f"http://e.org/{i:03d}", "" if i % 3 else long(paragraphs(i))) for i in range(12)]
+    got = texts(spark, rows)
+    assert all(got[i] == [words(i, 12)] and got[100 + i] == [words(i, 30)] for i in range(12))
+    assert all(got[200 + i] == ([] if i % 3 else [words(i, 30)]) for i in range(12))
+
+
+def test_copies_are_told_from_templates(spark):
+    body = {0: [1], 1: [2, 3], 2: [2, 3], 3: [4], 4: [], 5: [5], 6: [6, 7], 7: [6, 7], 8: [6, 7]}
+    rows = [(i, f"http://c.org/{i}", template(paragraphs(*b))) for i, b in body.items()]
+    got = texts(spark, rows)
+    whole = {i: ["Site name", "Home | News", *[words(x, 30) for x in b], "All rights reserved"] for i, b in body.items()}
+    assert all(got[i] == whole[i] for i in (2, 7, 8))                           # the nearest page is a copy
+    assert all(got[i] == whole[i][2:-1] for i in (0, 1, 3, 4, 5, 6))            # it is not; page 4 is all template
