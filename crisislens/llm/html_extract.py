@@ -6,15 +6,16 @@ comments and the like).  The pages of a host tell template from article: pages
 are ordered by host and URL path, each page is paired with its nearest neighbour
 by path, all their lines are aligned by longest common subsequence, and the
 shared lines are deleted.  A line that is repeated in both pages is paired
-occurrence by occurrence.  A page whose markup names its article keeps
-the article's lines.
+occurrence by occurrence.  The markup is a check after it: of a page that marks
+its article, only lines of the article stay.
 
 Copies lose nothing.  A page is a copy of its nearest page if nearly nothing is
 left of it: at most LEFT of what the neighbour on its other side leaves, which
 has the same template but not the same article.  If that one leaves nearly
 nothing either, or there is none, what is left is held against the whole page
 (LEAST).  A page that two neighbours hold whole which are no copies of each other
-is all template.
+is all template.  Within a marked article, whose markup has most of the template
+outside, two pages are copies if more than half is shared (MARKED).
 
 Cases: a null html counts as empty and has no text; broken markup is read as
 far as it goes, an element that is never closed ends with its parent article or
@@ -41,6 +42,7 @@ from .ordering import in_order, number_key
 from .url_filter import url_host, url_path
 
 LEFT, LEAST = 0.1, 0.02          # copies: shares of the other neighbour's remainder and of the whole page that are nearly nothing
+MARKED = 0.5                     # both of them within a marked article
 
 # Element and attribute names of HTML.
 DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "iframe", "svg", "button", "select",
@@ -225,12 +227,12 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             k, address, host, path, page, own, _, part = row
             marked = any(own)
             stay = [i for i, o in enumerate(own) if o or not marked]
-            if host and not marked:
+            if host:
                 sides = [x if x is not None and x[2] == host and x[7] == part else None for x in (front, behind)]
                 side = nearer(path, *[None if x is None else x[3] for x in sides])
                 if side:
                     near, other = sides[::-side]
-                    stay = difference(page, stay, near[4], other and other[4])
+                    stay = difference(page, stay, near[4], other and other[4], *([MARKED] * 2 if marked else []))
             text = "\n".join(page[i] for i in stay)
             return [k, address, text, len(text), marked]
 

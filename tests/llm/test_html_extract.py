@@ -61,6 +61,14 @@ def texts(spark, rows):
     return {r["page_id"]: r["text"].split("\n") if r["text"] else [] for r in got}
 
 
+def test_marked_pages_are_differenced(spark):
+    rows = [(i, f"http://m.org/a/{i:03d}", template(f"<main><div>Read more</div>{paragraphs(i, 100 + i)}<div>Rate this</div></main><p>{words(200 + i, 9)}</p>")) for i in range(12)]
+    rows += [(20 + i, f"http://m.org/b/{i}", f"<article>{paragraphs(50, 51)}</article>") for i in range(3)]     # copies
+    got = texts(spark, rows)
+    assert all(got[i] == [words(i, 30), words(100 + i, 30)] for i in range(12))
+    assert all(got[20 + i] == [words(50, 30), words(51, 30)] for i in range(3))
+
+
 def test_page_differencing_of_short_articles_mixed_markup_and_empty_neighbours(spark):
     long = lambda body: f"<div>{words(900, 80)}</div>{body}<div>{words(901, 120)}</div>"
     rows = [(i, f"http://s.org/{i:03d}", long(paragraphs(i, n=12))) for i in range(12)]                            # template much longer than the article
