@@ -2,7 +2,10 @@
 
 A page is cut into lines, one for each block of text outside elements that are
 never article text by their markup (navigation, footers, forms, scripts,
-comments and the like).  The pages of a host tell template from article: pages
+comments and the like).  An <article> or <main> with text within such an element
+is cut into lines all the same, unless it is hidden; if the element is left out
+by its tag, its role or a whole class or id, as <aside> or class="comments", that
+holds only for a page without article text elsewhere.  The pages of a host tell template from article: pages
 are ordered by host and URL path, each page is paired with its nearest neighbour
 by path, all their lines are aligned by longest common subsequence, and the
 shared lines are deleted.  A line that is repeated in both pages is paired
@@ -56,18 +59,35 @@ OUTSIDE = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog", "menu", "menubar"}
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][\w:.-]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NOT_SHOWN = re.compile(r"hidden|display", re.I)
 ARTICLE = {"article", "main"}
 LOOSE = {"p", "li", "td", "div", "section", "span", "a", "ul", "table"}      # without an end tag these hide nothing
 
 
+def values(attributes: str) -> dict[str, str]:
+    """The attributes of an element in lower case."""
+    return {m[0].lower(): (m[1] or m[2] or m[3]).lower() for m in ATTRIBUTE.findall(attributes)}
+
+
+def hidden(found: dict[str, str]) -> bool:
+    """Whether an element with these attributes is not shown."""
+    return "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")))
+
+
+def named_outside(name: str, attributes: str) -> bool:
+    """Whether the tag, the role or a whole class or id of an element is one outside articles, not only a part of a class or id."""
+    found = values(attributes)
+    return name in DROPPED or found.get("role") in ROLES or any(OUTSIDE.fullmatch(x) for x in f"{found.get('class', '')} {found.get('id', '')}".split())
+
+
 def never_article(name: str, attributes: str) -> bool:
     """Whether the markup of an element says that it is not article text."""
     if name in DROPPED:
         return True
     if not attributes or name in ("html", "body", "article", "main"):
         return name == "article" and bool(re.search(r"comment|reply", attributes or ""))
-    found = {m[0].lower(): (m[1] or m[2] or m[3]).lower() for m in ATTRIBUTE.findall(attributes)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", found.get("style", "")):
+    found = values(attributes)
+    if hidden(found):
         return True
     return found.get("role") in ROLES or bool(OUTSIDE.search(found.get("class", "")) or OUTSIDE.search(found.get("id", "")))
 
@@ -75,10 +95,12 @@ def never_article(name: str, attributes: str) -> bool:
 def marked_lines(page: str) -> tuple[list[str], list[bool]]:
     """The lines of a page and whether each is of a marked article; character references decoded, white space as one space."""
     found: list[str] = []
-    own: list[bool] = []
+    own: list[int] = []          # 0: of no article, 1: of an article, 2: of one within an element named as outside
     block: list[str] = []
     article = 0                  # open article elements
     dropped, depth = "", 0       # the element that is left out, and how often its name is open within
+    kind = 1                     # what article lines within that element are, 0 if they are left out
+    outer: list[tuple] = []      # elements that are left out around the open article or hidden element, and the count of open articles to go back at
     at, lower = 0, page.lower()
 
     def close() -> None:
@@ -86,7 +108,7 @@ def marked_lines(page: str) -> tuple[list[str], list[bool]]:
         block.clear()
         if text:
             found.append(text)
-            own.append(article > 0)
+            own.append(max([1, *(x[2] for x in outer)]) if article else 0)
 
     for m in TOKEN.finditer(page):
         if m.start() < at:
@@ -98,11 +120,22 @@ def marked_lines(page: str) -> tuple[list[str], list[bool]]:
         if not name:
             continue
         closing = m[1] == "/"
+        if dropped and not closing and kind and name in ARTICLE and not never_article(name, m[3]):
+            outer.append((dropped, depth, kind, article))
+            dropped = ""
         if dropped:
-            if name == dropped:
+            if not closing and name in RAW:
+                end = lower.find(f"</{name}", at)
+                at = end if end >= 0 else at
+            elif not closing and kind and name not in VOID and not m[3].endswith("/") and (name in ARTICLE or NOT_SHOWN.search(m[3]) and hidden(values(m[3]))) and lower.find(f"</{name}", at) >= 0:
+                outer.append((dropped, depth, kind, -1))
+                dropped, depth, kind = name, 1, 0
+            elif name == dropped:
                 depth += -1 if closing else name not in VOID and not m[3].endswith("/")
                 if depth == 0:
                     dropped = ""
+                    if outer and outer[-1][3] < 0:
+                        dropped, depth, kind, _ = outer.pop()
             continue
         header = name == "header" and not article
         if not closing and name not in VOID and (header or never_article(name, m[3])):
@@ -114,19 +147,25 @@ def marked_lines(page: str) -> tuple[list[str], list[bool]]:
                 at = end
             elif end >= 0:
                 dropped, depth = name, 1
+                kind = 0 if name in ARTICLE or hidden(values(m[3])) else 1 + named_outside(name, m[3])
             elif name not in LOOSE:
-                at = min((x for x in (lower.find(t, at) for t in ("</article", "</main", "</body")) if x >= 0), default=len(page))
+                stops = ("</article", "</main", "</body") if name in RAW else ("<article", "<main", "</article", "</main", "</body")
+                at = min((x for x in (lower.find(t, at) for t in stops) if x >= 0), default=len(page))
             continue
         if name in BLOCKS:
             close()
             if name in ARTICLE:
                 article = max(0, article + (-1 if closing else 1))
+                if outer and closing and article <= outer[-1][3]:
+                    dropped, depth, kind, _ = outer.pop()
         elif name == "br":
             block.append(" ")
     if not dropped:
         block.append(page[at:])
     close()
-    return found, own
+    if 1 in own and 2 in own:
+        found, own = [x for x, o in zip(found, own, strict=True) if o < 2], [o for o in own if o < 2]
+    return found, [o > 0 for o in own]
 
 
 def lines(page: str) -> tuple[list[str], list[str]]:

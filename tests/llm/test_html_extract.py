@@ -86,3 +86,16 @@ def test_copies_are_told_from_templates(spark):
     whole = {i: ["Site name", "Home | News", *[words(x, 30) for x in b], "All rights reserved"] for i, b in body.items()}
     assert all(got[i] == whole[i] for i in (2, 7, 8))                           # the nearest page is a copy
     assert all(got[i] == whole[i][2:-1] for i in (0, 1, 3, 4, 5, 6))            # it is not; page 4 is all template
+
+
+def test_names_of_wrappers_hide_no_article():
+    own = lambda page: html_extract.lines(f"<html><body><nav>n</nav>{page}<footer>f</footer></body></html>")[0]
+    for name in ("layout has-sidebar", "no-sidebar", "with-comments", "page-related", "sidebar"):
+        for attribute in ("class", "id"):
+            assert own(f"<div {attribute}='{name}'><div>x</div><article><p>a</p><div>b</div><div class=share>c</div></article><div>y</div></div>") == ["a", "b"]
+    assert own("<main><h1>t</h1><div class='no-sidebar'><script>'<article>'</script><article>a</article><p>b</p><main>c</main></div>d</main>") == ["t", "a", "c", "d"]
+    assert own("<div class=with-comments><div class=has-sidebar><article>a<nav>n</nav></article></div><article class=comment>c<article>r</article></article></div>") == ["a"]
+    assert own("<form><article>a</article></form>") == ["a"] and own("<header><main>a") == ["a"]
+    assert own("<article>a</article><div class=comments><article>c</article></div><aside><article>t</article></aside>") == ["a"]
+    assert own("<div class=has-sidebar><div hidden><article>h</article></div><article>a</article></div><div hidden><article>h</article></div>") == ["a"]
+    assert html_extract.lines("<div class=has-sidebar><main></main>x</div><p>y</p>") == ([], ["y"])
