@@ -106,7 +106,7 @@ def meet_anchors(rows: DataFrame) -> DataFrame:
 
 
 def fetch(rows: DataFrame, asked: DataFrame) -> DataFrame:
-    """``asked`` with the bytes a..b of its rows in the column ``bytes``."""
+    """``asked`` with the bytes a..b of its rows in the column ``bytes``; a task delivers them once for repeated rows."""
     wanted = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b", "place", "key")).alias("asked"))
     marks = rows.sparkSession.sparkContext.broadcast(slot_bitmap(asked.select(F.xxhash64("doc", "th").alias("h")), "h", MARK_BITS))
 
@@ -117,7 +117,15 @@ def fetch(rows: DataFrame, asked: DataFrame) -> DataFrame:
     texts = rows.where(F.length("_text") > 0).where(marked(F.xxhash64("doc", "th"))).select("doc", "th", "_text").join(wanted, ["doc", "th"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[int, int]] = set()
         for batch in batches:
+            new = []
+            for i, row in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                if row not in seen:
+                    seen.add(row)
+                    new.append(i)
+            if len(new) < batch.num_rows:
+                batch = batch.take(pa.array(new, pa.int64()))
             for part, raw, offsets in slices(batch, "_text"):
                 asked = part.column(3).combine_chunks() if isinstance(part.column(3), pa.ChunkedArray) else part.column(3)
                 flat = asked.flatten()
@@ -177,7 +185,10 @@ def compare(held: pa.Table) -> Iterator[pa.RecordBatch]:
         g_head[1:] = group[1:] != group[:-1]
         r_head = g_head.copy()
         r_head[1:] |= region[1:] != region[:-1]
-        copies = np.flatnonzero(~r_head)
+        # an equal row that another task delivered is no copy
+        lead = np.maximum.accumulate(np.where(r_head, np.arange(len(member)), 0)) if len(member) else np.zeros(0, np.int64)
+        same = (doc[member] == doc[member[lead]]) & (th[member] == th[member[lead]]) & (first == first[lead])
+        copies = np.flatnonzero(~r_head & ~same)
         if len(copies):
             found.append((doc[member[copies]], th[member[copies]], first[copies], last[copies] + WINDOW))
         member, group, first, last = (x[r_head] for x in (member, group, first, last))

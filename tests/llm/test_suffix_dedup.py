@@ -68,3 +68,19 @@ def test_edges(edge, nothing):
     twice = suffix_dedup.dedup(edge.where("doc_id = 7")).collect()
     assert len(twice) == 3 and len({(r["n_bytes"], r["n_removed"]) for r in twice}) <= 2 and all(r["n_removed"] == 0 for r in twice)
     assert suffix_dedup.dedup(nothing).collect() == []
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_repeated_rows_with_a_shared_passage(spark, monkeypatch, limit):
+    monkeypatch.setattr(suffix_dedup, "SORT_BYTES", limit)
+    rng = random.Random(5)
+    text = lambda n: "".join(rng.choice("abcdefghij klmno p") for _ in range(n))
+    passage = text(500)
+    # each text holds a piece of the passage, so anchors recur in other bytes
+    rows = [(i, text(100) + passage[cut:cut + 300] + text(100)) for i, cut in enumerate(rng.randint(0, 200) for _ in range(12))]
+    want = dict(zip((i for i, _ in rows), brute([t for _, t in rows]), strict=True))
+    twice = [*rows, *rows[:6], *rows[:3]]
+    df = spark.createDataFrame(twice, "doc_id long, text string").repartition(5)
+    got = suffix_dedup.dedup(df).collect()
+    assert len(got) == len(twice)
+    assert all((r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) == want[r["doc_id"]] for r in got)
