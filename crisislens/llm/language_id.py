@@ -1,8 +1,14 @@
 """Language identification by compression with per-language zstandard dictionaries.
 
 A raw-content dictionary of each language is a bounded sample of its training
-texts.  A text is compressed with every dictionary, piece by piece, over its
-whole length; the language whose dictionary gives the fewest bytes wins.  A
+texts, with pieces from all over each of them.  A text is compressed with every
+dictionary, piece by piece, over its whole length; the language whose dictionary
+gives the fewest bytes wins.  A larger dictionary saves more bytes in any
+language, so dictionaries are compared at equal size: those of DICTIONARY_CHARS
+first, then, step by step, the smaller ones against the winner so far with its
+dictionary cut to their size.  A small dictionary is weak evidence and has to win
+by the more, the smaller it is (BAR).  So a rare language takes nothing from the
+dictionaries of others.  A
 narrow margin is a rejection: the column ``accepted`` is false, while the
 nearest language stays named.  Letters alone are compressed, in lower case:
 marks, digits and shouting tell no language.
@@ -24,6 +30,10 @@ from pyspark.sql import functions as F
 
 SAMPLE_TEXTS = 192               # texts of a language's sample at most: the dictionary fit's bound
 SAMPLE_CHARS = 1_000             # characters taken of each of them
+SAMPLE_PIECES = 5                # in so many pieces spread over the text
+DICTIONARY_CHARS = 160_000       # a dictionary has this size at most
+STEP = 1.5                       # smaller ones are cut to the next of the sizes DICTIONARY_CHARS / STEP ** k
+BAR = 0.01                       # relative bytes by which a dictionary of a quarter of DICTIONARY_CHARS has to win
 PIECE_BYTES = 2_048              # a text is compressed in pieces of this size
 LEVEL = 3
 MARGIN = 0.01                    # accepted: the runner-up needs at least this share more bytes
@@ -51,25 +61,41 @@ def fit(train: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "
     for r in drawn:
         rows[r["_l"]] = rows.get(r["_l"], 0) + r["_n"]
     wanted = F.broadcast(train.sparkSession.createDataFrame([(r["_l"], r["_h"]) for r in drawn], "_l string, _h long"))
-    texts = (keyed.select(F.col(lang).alias("_l"), h.alias("_h"), F.substring(letters(F.col(text)), 1, SAMPLE_CHARS).alias("_t"))
-             .join(wanted, ["_l", "_h"], "left_semi").groupBy("_l", "_h").agg(F.min("_t").alias("_t")))
+    piece, n = SAMPLE_CHARS // SAMPLE_PIECES, F.length("_t")
+    spread = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SAMPLE_PIECES - 1)), lambda i: F.substring(
+        F.col("_t"), (F.lit(1) + F.floor(i * (n - piece) / (SAMPLE_PIECES - 1))).cast("int"), F.lit(piece))), " ")
+    texts = (keyed.select(F.col(lang).alias("_l"), h.alias("_h"), F.col(text).alias("_t")).join(wanted, ["_l", "_h"], "left_semi")
+             .withColumn("_t", letters(F.col("_t"))).withColumn("_t", F.when(n > SAMPLE_CHARS, spread).otherwise(F.col("_t")))
+             .groupBy("_l", "_h").agg(F.min("_t").alias("_t")))
     found: dict[str, list] = {}
     for row in texts.collect():                          # at most SAMPLE_TEXTS short texts a language
         found.setdefault(row["_l"], []).append((row["_h"], row["_t"]))
-    size = max(8_000, min(sum(len(t) for _, t in v) for v in found.values()))
-    return {k: "\n".join(t for _, t in sorted(found[k]))[:size].encode() for k in sorted(found, key=lambda k: (-rows[k], k))}
+    return {k: "\n".join(t for _, t in sorted(found[k]))[:DICTIONARY_CHARS].encode() for k in sorted(found, key=lambda k: (-rows[k], k))}
+
+
+def rounds(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[int, list[int]]]:
+    """(size, languages by place) from the largest size down; a size is in characters."""
+    found: dict[int, list[int]] = {}
+    for i, (_, blob) in enumerate(dictionaries):
+        n, size = len(blob.decode("utf-8", "ignore")), float(DICTIONARY_CHARS)
+        while size > max(n, 1):
+            size /= STEP
+        found.setdefault(int(size), []).append(i)
+    return sorted(found.items(), reverse=True)
 
 
 @lru_cache(maxsize=4)
 def _compressors(dictionaries: tuple[tuple[str, bytes], ...]):
+    """A function that gives the compressor of a language, by place, with its dictionary cut to a size."""
     import zstandard as zstd
 
-    out = []
-    for _, blob in dictionaries:
-        d = zstd.ZstdCompressionDict(blob, dict_type=zstd.DICT_TYPE_RAWCONTENT)
+    @lru_cache(maxsize=None)
+    def compressor(i: int, size: int):
+        d = zstd.ZstdCompressionDict(dictionaries[i][1].decode("utf-8", "ignore")[:size].encode(), dict_type=zstd.DICT_TYPE_RAWCONTENT)
         d.precompute_compress(level=LEVEL)
-        out.append(zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False))
-    return out
+        return zstd.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    return compressor
 
 
 def sizes(raw: bytes, compressors: list) -> list[int]:
@@ -78,13 +104,25 @@ def sizes(raw: bytes, compressors: list) -> list[int]:
     return [sum(len(c.compress(p)) for p in pieces) for c in compressors]
 
 
+def log_sizes(raw: bytes, order: list[tuple[int, list[int]]], compressor) -> np.ndarray:
+    """Logarithms of the compressed bytes by language, each relative to the winner of the rounds before its own."""
+    out = np.full(sum(len(new) for _, new in order), np.inf)
+    for k, (size, new) in enumerate(order):
+        n = np.log(sizes(raw, [compressor(i, size) for i in new]))
+        if k:
+            best = int(out.argmin())
+            n += out[best] - np.log(sizes(raw, [compressor(best, size)])[0]) + BAR * (np.sqrt(DICTIONARY_CHARS / size) - 1)
+        out[new] = n
+    return out
+
+
 def classify(df: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score, accepted, margin) of every row by its whole text."""
     shared = df.sparkSession.sparkContext.broadcast(tuple(dictionaries.items()))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [n for n, _ in shared.value]
-        compressors = _compressors(shared.value)
+        compressor, order = _compressors(shared.value), rounds(shared.value)
         for batch in batches:
             pred, score, accepted, margin = [], [], [], []
             for t, letter in zip(batch.column(1), batch.column(2).to_pylist(), strict=True):
@@ -92,10 +130,10 @@ def classify(df: DataFrame, dictionaries: dict[str, bytes], key: str = "doc_id",
                 if not raw:
                     pred.append("und"), score.append(0.0), accepted.append(False), margin.append(0.0)
                     continue
-                n = np.array(sizes(raw, compressors), float)
+                n = log_sizes(raw, order, compressor)
                 best = int(n.argmin())
-                share = n / n[best] - 1
-                second = float(np.delete(share, best).min()) if len(n) > 1 else 1.0
+                share = np.expm1(n - n[best])
+                second = float(np.delete(share, best).min()) if len(share) > 1 else 1.0
                 # short texts carry little evidence: relative sizes count less
                 weight = SHARPNESS * len(raw) / (len(raw) + 100)
                 pred.append(names[best])

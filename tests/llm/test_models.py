@@ -28,6 +28,21 @@ def test_language_edges(spark, edge, nothing):
     assert set(language_id.fit(edge)) == {"en", "de", "es"} and language_id.classify(nothing, model).collect() == []
 
 
+def test_a_rare_language_changes_no_other(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    train = docs.where(F.col("doc_id") % 4 != 2)
+    rare = spark.createDataFrame([(-1, "kissa koira talo metsä järvi yö kuu tähti " * 3, "xx")], "doc_id long, text string, lang string")
+    model, more = language_id.fit(train), language_id.fit(train.unionAll(rare))
+    assert more.pop("xx") and more == model                                      # each has its own dictionary
+    more = language_id.fit(train.unionAll(rare))
+    asked = docs.where(F.col("doc_id") % 4 == 2).unionAll(spark.createDataFrame([(-2, "koira talo kuu yö metsä tähti kissa", "xx")], docs.schema))
+    a, b = ({r["doc_id"]: r["lang_pred"] for r in language_id.classify(asked, m).collect()} for m in (model, more))
+    assert b.pop(-2) == "xx" and a.pop(-2) != "xx" and a == b
+    long = "eins zwei " * 500 + "drei vier " * 500
+    sample = language_id.fit(spark.createDataFrame([(1, long, "de")], docs.schema))["de"].decode()
+    assert len(sample) <= language_id.SAMPLE_CHARS + 10 and "eins" in sample and "vier" in sample
+
+
 def test_quality_of_held_out_documents(spark):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     got = queries.op8_quality_fm(spark, SF).join(labels, "doc_id").where("held_out").collect()
