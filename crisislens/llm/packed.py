@@ -57,9 +57,9 @@ def slot_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """
     slot = F.shiftrightunsigned(column, 64 - bits)
     words = (df.where(F.col(column).isNotNull()).select(F.shiftright(slot, 6).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int")).alias("m"))
-             .groupBy("w").agg(F.bit_or("m").alias("m")).toPandas())
+             .groupBy("w").agg(F.bit_or("m").alias("m")).toArrow())
     flags = np.zeros(max(1, 1 << (bits - 6)), np.uint64)
-    flags[words["w"].to_numpy(np.int64)] = words["m"].to_numpy(np.int64).view(np.uint64)
+    flags[words.column("w").to_numpy()] = np.ascontiguousarray(words.column("m").to_numpy()).view(np.uint64)
     return flags
 
 

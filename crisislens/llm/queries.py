@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, decontaminate, fingerprints, html_extract, language_id, ngram_join, quality_fm, secret_scan, suffix_dedup, token_counts, url_filter
+from . import byte_bpe, collocations, decontaminate, filter_audit, fingerprints, html_extract, language_id, ngram_join, quality_fm, secret_scan, suffix_dedup, token_counts, url_filter
 
 RANKS = "byte_bpe_50k.tiktoken"
 TOKENIZER = "byte_bpe_50k.json"
@@ -92,6 +92,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+# The five filters of the audit query, as what makes a document fail.
+AUDIT_FILTERS = {
+    "A": "n_words < 200",
+    "B": "100 * n_distinct < 50 * n_words",
+    "C": "100 * n_capitals > 3 * n_chars",
+    "D": "has_symbol",
+    "E": filter_audit.REPEATED,
+}
+
+
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), AUDIT_FILTERS, table(spark, sf_dir, "labels"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -107,6 +125,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_fm": op8_quality_fm,
     "op9_decontaminate": op9_decontaminate,
     "op10_secret_scan": op10_secret_scan,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -150,7 +170,59 @@ SELECT page_id, host, path,
     WHEN EXISTS (SELECT 1 FROM listed l WHERE l.c = canon.c) THEN 'block' ELSE 'allow' END AS verdict
 FROM canon"""
 
+OP11_SQL = r"""WITH w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+firsts AS (SELECT t, min(doc_id) AS first_id FROM w GROUP BY t),
+said AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+fails AS (
+  SELECT part, coalesce(good, false)::BIGINT AS good, coalesce(toxic, false)::BIGINT AS toxic,
+    (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT + 4 * (100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t))::INT
+    + 8 * regexp_matches(t, '[#$%&*|]')::INT + 16 * coalesce(w.doc_id > first_id, false)::INT AS mask
+  FROM w JOIN firsts USING (t) LEFT JOIN said ON said.doc_id = w.doc_id),
+cells AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM fails GROUP BY part, mask),
+f(c, b) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT p.c || q.c || r.c || s.c || t.c AS filter_order, [p.b, q.b, r.b, s.b, t.b] AS bits FROM f p, f q, f r, f s, f t
+  WHERE p.b + q.b + r.b + s.b + t.b = 31 AND (p.b | q.b | r.b | s.b | t.b) = 31),
+steps AS (SELECT filter_order, i::INT AS step, bits[i] AS bit, coalesce(list_sum(bits[1:i - 1]), 0)::INT AS before FROM orders, range(1, 6) AS x(i)),
+sums AS (
+  SELECT part, filter_order, step, bit,
+    sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END)::BIGINT AS kept,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END)::BIGINT AS removed,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END)::BIGINT AS redundant,
+    sum(CASE WHEN mask = bit THEN n ELSE 0 END)::BIGINT AS unique_fails,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END)::BIGINT AS good_lost,
+    sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END)::BIGINT AS toxic_lost
+  FROM cells, steps GROUP BY part, filter_order, step, bit)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM sums"""
+
+OP12_SQL = r"""WITH pieces AS (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+f AS (
+  SELECT lang, m, p, count(*) AS c FROM (
+    SELECT lang, 1 AS m, unnest(w) AS p FROM pieces
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM pieces
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces)
+  GROUP BY lang, m, p),
+totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT lang, m, p, c, string_split(p, ' ') AS w FROM f WHERE m > 1 AND c >= 10),
+cuts AS (SELECT lang, m, p, c AS a, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y FROM cand, range(1, 3) AS t(k) WHERE k < m),
+rated AS (
+  SELECT cuts.*, fx.c AS l, fy.c AS r, ((1000000::HUGEINT * a * a) // (fx.c::HUGEINT * fy.c))::BIGINT AS score
+  FROM cuts JOIN f fx ON fx.lang = cuts.lang AND fx.p = x JOIN f fy ON fy.lang = cuts.lang AND fy.p = y),
+cut AS (SELECT * FROM rated QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1),
+longer AS (
+  SELECT lang, q, max(c) AS most FROM (
+    SELECT lang, w[1] || ' ' || w[2] AS q, c FROM cand WHERE m = 3 UNION ALL SELECT lang, w[2] || ' ' || w[3], c FROM cand WHERE m = 3)
+  GROUP BY lang, q),
+kept AS (SELECT cut.* FROM cut LEFT JOIN longer ON longer.lang = cut.lang AND longer.q = cut.p WHERE most IS NULL OR 100 * most < 50 * a),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank FROM kept)
+SELECT ranked.lang, rank, p AS phrase, a, l, r, n, score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000"""
+
 ORACLE: dict[str, str] = {
+    "op12_collocations": OP12_SQL,
+    "op11_filter_audit": OP11_SQL,
     "op5_url_filter": OP5_SQL,
     "op9_decontaminate": OP9_SQL,
     "op1_ngram_join": OP1_SQL,
