@@ -171,7 +171,7 @@ SELECT page_id, host, path,
 FROM canon"""
 
 OP11_SQL = r"""WITH w AS (
-  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), x -> x <> '') AS ws FROM documents),
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
 firsts AS (SELECT t, min(doc_id) AS first_id FROM w GROUP BY t),
 said AS (SELECT doc_id, max(coalesce(quality = 1, false)) AS good, max(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
 fails AS (
@@ -197,13 +197,13 @@ sums AS (
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM sums"""
 
 OP12_SQL = r"""WITH pieces AS (
-  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), x -> x <> '') AS w FROM (
+  SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM (
     SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
 f AS (
   SELECT lang, m, p, count(*) AS c FROM (
     SELECT lang, 1 AS m, unnest(w) AS p FROM pieces
-    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) FROM pieces
-    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), i -> w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces)
+    UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM pieces
+    UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM pieces)
   GROUP BY lang, m, p),
 totals AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
 cand AS (SELECT lang, m, p, c, string_split(p, ' ') AS w FROM f WHERE m > 1 AND c >= 10),
