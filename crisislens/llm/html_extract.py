@@ -8,9 +8,9 @@ by its tag, its role or a whole class or id, as <aside> or class="comments", tha
 holds only for a page without article text elsewhere.  The pages of a host tell template from article: pages
 are ordered by host and URL path, each page is paired with its nearest neighbour
 by path, all their lines are aligned by longest common subsequence, and the
-shared lines are deleted.  A line that is repeated in both pages is paired
-occurrence by occurrence.  The markup is a check after it: of a page that marks
-its article, only lines of the article stay.
+shared lines are deleted.  The markup is a check after it: of a page that marks
+its article, only lines of the article stay, and a deleted line of the article
+comes back unless most pages of the host have it (SUPPORT).
 
 Copies lose nothing.  A page is a copy of its nearest page if nearly nothing is
 left of it: at most LEFT of what the neighbour on its other side leaves, which
@@ -46,6 +46,7 @@ from .url_filter import url_host, url_path
 
 LEFT, LEAST = 0.1, 0.02          # copies: shares of the other neighbour's remainder and of the whole page that are nearly nothing
 MARKED = 0.5                     # both of them within a marked article
+SUPPORT, LEAST_PAGES = 0.5, 8    # a shared line of an article goes if more than this share of a host's pages have it, and the host has so many pages
 
 # Element and attribute names of HTML.
 DROPPED = {"nav", "footer", "aside", "form", "script", "style", "noscript", "template", "head", "title", "iframe", "svg", "button", "select",
@@ -175,32 +176,35 @@ def lines(page: str) -> tuple[list[str], list[str]]:
 
 
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` on a longest common subsequence with ``b``, repeated lines paired occurrence by occurrence."""
-    places: dict[tuple[str, int], int] = {}
-    seen: dict[str, int] = {}
-    for j, x in enumerate(b):
-        seen[x] = n = seen.get(x, 0) + 1
-        places[x, n] = j
-    seen = {}
-    tails: list[int] = []
-    chain: list[tuple[int, int, int]] = []      # (position in a, position in b, link in front)
-    last: list[int] = []
-    for i, x in enumerate(a):
-        seen[x] = n = seen.get(x, 0) + 1
-        j = places.get((x, n))
-        if j is None:
-            continue
-        k = bisect_left(tails, j)
-        chain.append((i, j, last[k - 1] if k else -1))
-        if k == len(tails):
-            tails.append(j)
-            last.append(len(chain) - 1)
-        else:
-            tails[k], last[k] = j, len(chain) - 1
-    out, at = set(), last[-1] if last else -1
+    """Positions in ``a`` on a longest common subsequence with ``b``."""
+    head, most = 0, min(len(a), len(b))
+    while head < most and a[head] == b[head]:
+        head += 1
+    tail = 0
+    while tail < most - head and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    out = {*range(head), *range(len(a) - tail, len(a))}
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - tail - 1, head - 1, -1):            # the last place first
+        places.setdefault(b[j], []).append(j)
+    tails: list[int] = []                       # least end in b of a common subsequence of each length
+    last: list[int] = []                        # and its link
+    chain: list[tuple[int, int]] = []           # (position in a, link in front)
+    for i in range(head, len(a) - tail):
+        for j in places.get(a[i], ()):
+            k = bisect_left(tails, j)
+            if k == len(tails):
+                tails.append(j)
+                last.append(len(chain))
+            elif tails[k] > j:
+                tails[k], last[k] = j, len(chain)
+            else:
+                continue
+            chain.append((i, last[k - 1] if k else -1))
+    at = last[-1] if last else -1
     while at >= 0:
         out.add(chain[at][0])
-        at = chain[at][2]
+        at = chain[at][1]
     return out
 
 
@@ -242,6 +246,20 @@ def difference(page: list[str], among: list[int], near: list[str], other: list[s
     return kept
 
 
+def recurring(parsed: DataFrame) -> DataFrame:
+    """(_host, _found): hashes of the article lines that most pages of a host have, over (_host, _lines, _own).
+
+    Counted before anything is joined, so a host with very many pages is no hot
+    key; a host has at most twice as many such lines as a page has on average.
+    """
+    on_host = parsed.where("_host <> ''")
+    hashes = F.transform(F.filter(F.arrays_zip("_lines", "_own"), lambda x: x["_own"]), lambda x: F.xxhash64(x["_lines"]))
+    counted = (on_host.select("_host", F.explode(F.array_distinct(hashes)).alias("h")).groupBy("_host", "h").agg(F.count(F.lit(1)).alias("c"))
+               .where(F.col("c") > SUPPORT * LEAST_PAGES))
+    pages = on_host.groupBy("_host").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_PAGES)
+    return counted.join(pages, "_host").where(F.col("c") > SUPPORT * F.col("n")).groupBy("_host").agg(F.collect_list("h").alias("_found"))
+
+
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(key, url, text, n_chars, by_markup) of every row; the main text's blocks are joined by one line feed."""
     kind, url_kind = pages.schema[key].dataType.simpleString(), pages.schema[url].dataType.simpleString()
@@ -259,27 +277,32 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     parsed = parsed.withColumn("_host", F.when(F.size("_lines") > 0, F.col("_host")).otherwise(F.lit("")))
     ordered = in_order(parsed, F.concat_ws("\x01", F.col("_host"), F.col("_path"), number_key(F.xxhash64(F.col(key).cast("string")))), before=True)
 
+    def settle(front, row, behind) -> list:
+        k, address, host, path, page, own, _, part = row
+        marked = any(own)
+        among = [i for i, o in enumerate(own) if o or not marked]
+        stay = among
+        if host:
+            sides = [x if x is not None and x[2] == host and x[7] == part else None for x in (front, behind)]
+            side = nearer(path, *[None if x is None else x[3] for x in sides])
+            if side:
+                near, other = sides[::-side]
+                stay = difference(page, among, near[4], other and other[4], *([MARKED] * 2 if marked else []))
+        if marked and len(stay) < len(among):            # the host's other pages decide about lines of an article
+            kept = set(stay)
+            return [k, address, None, None, marked, host, [{"line": page[i], "doubt": i not in kept} for i in among]]
+        text = "\n".join(page[i] for i in stay)
+        return [k, address, text, len(text), marked, None, None]
+
+    doubtful = pa.list_(pa.struct([("line", pa.string()), ("doubt", pa.bool_())]))
+
+    def batch_of(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True))
+        kinds = [schema.field(0).type, pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.string(), doubtful]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], [key, url, "text", "n_chars", "by_markup", "_host", "_kept"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         front, row = None, None
-
-        def settle(front, row, behind) -> list:
-            k, address, host, path, page, own, _, part = row
-            marked = any(own)
-            stay = [i for i, o in enumerate(own) if o or not marked]
-            if host:
-                sides = [x if x is not None and x[2] == host and x[7] == part else None for x in (front, behind)]
-                side = nearer(path, *[None if x is None else x[3] for x in sides])
-                if side:
-                    near, other = sides[::-side]
-                    stay = difference(page, stay, near[4], other and other[4], *([MARKED] * 2 if marked else []))
-            text = "\n".join(page[i] for i in stay)
-            return [k, address, text, len(text), marked]
-
-        def batch_of(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-            cols = list(zip(*rows, strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], schema.field(0).type), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.bool_())],
-                                              [key, url, "text", "n_chars", "by_markup"])
-
         schema = None
         for batch in batches:
             schema, out = batch.schema, []
@@ -294,4 +317,11 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         if row is not None and not row[6]:
             yield batch_of([settle(front, row, None)], schema)
 
-    return ordered.select(key, url, "_host", "_path", "_lines", "_own", "_halo", "_part").mapInArrow(work, f"`{key}` {kind}, `{url}` {url_kind}, text string, n_chars long, by_markup boolean")
+    settled = ordered.select(key, url, "_host", "_path", "_lines", "_own", "_halo", "_part").mapInArrow(
+        work, f"`{key}` {kind}, `{url}` {url_kind}, text string, n_chars long, by_markup boolean, _host string, _kept array<struct<line string, doubt boolean>>")
+    clear = settled.where("_kept is null").select(key, url, "text", "n_chars", "by_markup")
+    found = F.coalesce("_found", F.array().cast("array<bigint>"))
+    lines_left = F.filter("_kept", lambda x: ~x["doubt"] | ~F.array_contains(found, F.xxhash64(x["line"])))
+    text = F.array_join(F.transform(lines_left, lambda x: x["line"]), "\n")
+    late = settled.where("_kept is not null").join(recurring(parsed), "_host", "left").withColumn("text", text)
+    return clear.unionByName(late.select(key, url, "text", F.length("text").cast("long").alias("n_chars"), "by_markup"))

@@ -66,4 +66,4 @@ def in_order(df: DataFrame, key: Column, before: bool = False, wrap: bool = Fals
     # in order of place: the row in front, the range's own, the row behind, the first of all
     rank = F.when(side == 1, 0).when(side == 0, 1).otherwise(side)
     ranked = placed.withColumns({"_part": F.shiftright("_to", 2), "_halo": side != 0, "_rank": rank}).drop("_to")
-    return ranked.repartition(max(1, len(edges)), "_part").sortWithinPartitions("_part", "_rank", "_k")
+    return ranked.repartitionById(max(1, len(edges)), F.col("_part")).sortWithinPartitions("_part", "_rank", "_k")

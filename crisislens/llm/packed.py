@@ -12,6 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,17 +37,27 @@ def scatter(keys: np.ndarray, records: np.ndarray, bits: int) -> pa.RecordBatch:
 
 
 def gather(packed: DataFrame, dtype: np.dtype, bits: int, work: Callable[[int, np.ndarray], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``work(part, records)`` on all records of each part."""
+    """``work(part, records)`` on all records of each part.
+
+    The part number itself is the shuffle partition, so parts are spread evenly;
+    a task holds the records of one part at a time.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[bytes]] = {}
+        now, held = None, []
         for batch in batches:
-            for p, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(p, []).append(b)
-        for p in sorted(held):
-            yield from work(p, np.frombuffer(b"".join(held.pop(p)), dtype))
+            parts = batch.column(0).to_numpy()
+            heads = np.flatnonzero(np.concatenate(([True], parts[1:] != parts[:-1]))) if len(parts) else []
+            for a, b in zip(heads, np.append(heads[1:], len(parts)), strict=True):
+                if held and parts[a] != now:
+                    yield from work(now, np.frombuffer(b"".join(held), dtype))
+                    held = []
+                now = int(parts[a])
+                held += [x.as_buffer() for x in batch.column(1).slice(a, b - a)]
+        if held:
+            yield from work(now, np.frombuffer(b"".join(held), dtype))
 
-    return packed.repartition(1 << bits, "part").mapInArrow(run, schema)
+    return packed.repartitionById(1 << bits, F.col("part")).sortWithinPartitions("part").mapInArrow(run, schema)
 
 
 def slot_bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
@@ -67,3 +78,35 @@ def flagged(flags: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
     """Whether the slot of each 64-bit key is set."""
     slot = keys >> np.uint64(64 - bits)
     return (flags[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+
+
+def marker(spark: SparkSession, flags: np.ndarray, bits: int):
+    """A Column function that tells whether the slot of a long is set; the flags are broadcast."""
+    shared = spark.sparkContext.broadcast(flags)
+
+    @F.pandas_udf("boolean")
+    def marked(h: pd.Series) -> pd.Series:
+        return pd.Series(flagged(shared.value, h.to_numpy(np.int64).view(np.uint64), bits))
+
+    return marked
+
+
+def _meant(rows: DataFrame, listed: DataFrame, key: str, bits: int):
+    """Whether a row's string ``key`` may be in ``listed``, by a table of fixed size."""
+    marked = marker(rows.sparkSession, slot_bitmap(listed.select(F.xxhash64(key).alias("h")), "h", bits), bits)
+    return marked(F.xxhash64(key))
+
+
+def without(rows: DataFrame, gone: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """``rows`` without those whose string ``key`` is in ``gone``.
+
+    Only rows that may be meant, hardly more than those that go, are shuffled to
+    meet the exact list.
+    """
+    may = _meant(rows, gone, key, bits)
+    return rows.where(~may).unionByName(rows.where(may).join(gone.select(key), key, "left_anti"))
+
+
+def only(rows: DataFrame, wanted: DataFrame, key: str, bits: int = 26) -> DataFrame:
+    """``rows`` whose string ``key`` is in ``wanted``; only rows that may be meant are shuffled."""
+    return rows.where(_meant(rows, wanted, key, bits)).join(wanted.select(key), key, "left_semi")

@@ -17,6 +17,9 @@ count once; extra columns are left out.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -41,8 +44,14 @@ ORDER = (*KINDS, "live", "example")
 _ANY = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]|AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?:ghp_|gho_|ghs_|glpat-|xox[abprs]-|sk_live_|rk_live_|npm_|AIza)[A-Za-z0-9_-]{16}"""
 
 
+# What every candidate but a hex one holds, in lower case.
+_SIGNS = ("password", "passwd", "secret", "token", "api_key", "apikey", "akia", "ghp_", "gho_", "ghs_", "glpat-", "xox", "sk_live_", "rk_live_", "npm_", "aiza")
+
+
 def has_candidate(text: Column) -> Column:
-    return F.coalesce(text.rlike(_ANY), F.lit(False))
+    """Whether a text has a candidate; the pattern is tried only on texts with one of its signs."""
+    sign = F.exists(F.array(F.lower(text)), lambda low: reduce(or_, [low.contains(x) for x in _SIGNS]))
+    return F.coalesce((sign | text.rlike("[0-9a-f]{16}")) & text.rlike(_ANY), F.lit(False))
 
 
 def _found(text: Column, kind: str) -> Column:

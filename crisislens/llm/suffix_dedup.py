@@ -32,19 +32,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import WINDOW, anchors, rolling, span_key
 from .buffers import mix, slices
-from .packed import PACKED, flagged, gather, part_bits, scatter, slot_bitmap
+from .packed import PACKED, gather, marker, part_bits, scatter, slot_bitmap
 from .stored import stored
 from .suffix_array import suffix_array
 
 STEP = 17
 SORT_BYTES = 1 << 20
+SLICE_BYTES = 1 << 20            # text worked on at once when anchors are chosen
+RUN_BYTES = 2 << 20              # fetched bytes compared at once, whole anchors
 MARK_BITS = 26                   # slots of the table of rows with something to do (8 MB)
 
 _ANCHOR = np.dtype([("key", "<u8"), ("ctx", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("lo", "<u4"), ("n", "u1"), ("at", "u1")])
@@ -67,7 +69,7 @@ def meet_anchors(rows: DataFrame) -> DataFrame:
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, raw, offsets in slices(batch, "_text"):
+            for part, raw, offsets in slices(batch, "_text", SLICE_BYTES):
                 row, key, ctx, place, lo, hi = anchors(raw, offsets)
                 if not len(row):
                     continue
@@ -108,12 +110,7 @@ def meet_anchors(rows: DataFrame) -> DataFrame:
 def fetch(rows: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked`` with the bytes a..b of its rows in the column ``bytes``; a task delivers them once for repeated rows."""
     wanted = asked.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b", "place", "key")).alias("asked"))
-    marks = rows.sparkSession.sparkContext.broadcast(slot_bitmap(asked.select(F.xxhash64("doc", "th").alias("h")), "h", MARK_BITS))
-
-    @F.pandas_udf("boolean")
-    def marked(h: pd.Series) -> pd.Series:
-        return pd.Series(flagged(marks.value, h.to_numpy().view(np.uint64), MARK_BITS))
-
+    marked = marker(rows.sparkSession, slot_bitmap(asked.select(F.xxhash64("doc", "th").alias("h")), "h", MARK_BITS), MARK_BITS)
     texts = rows.where(F.length("_text") > 0).where(marked(F.xxhash64("doc", "th"))).select("doc", "th", "_text").join(wanted, ["doc", "th"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,12 +235,29 @@ def removed(rows: DataFrame) -> DataFrame:
     contexts = fetch(rows, met.where("key is not null"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held, size, now = [], 0, None
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key = batch.column("key").to_numpy()
+            ends = np.cumsum(pc.binary_length(batch.column("bytes")).to_numpy())
+            heads = np.flatnonzero(np.concatenate(([key[0] != now], key[1:] != key[:-1])))
+            a, done = 0, 0
+            for h in heads.tolist():
+                before = int(ends[h - 1]) if h else 0
+                if size + before - done >= RUN_BYTES:            # an anchor begins, and enough is held
+                    held.append(batch.slice(a, h - a))
+                    yield from compare(pa.Table.from_batches(held))
+                    held, size, a, done = [], 0, h, before
+            held.append(batch.slice(a))
+            size += int(ends[-1]) - done
+            now = key[-1]
         if held:
             yield from compare(pa.Table.from_batches(held))
 
     n = 1 << part_bits(rows.sparkSession)
-    late = contexts.repartition(n, "key").mapInArrow(work, _CUT)
+    late = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(work, _CUT)
     return met.where("key is null").select("doc", "th", "a", "b").unionAll(late)
 
 
@@ -252,12 +266,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     rows = _row_key(docs, key, text)
     gone = stored(removed(rows), "anchors-removed")
     merged = gone.groupBy("doc", "th").agg(F.collect_list(F.struct("a", "b")).alias("cuts"))
-    marks = rows.sparkSession.sparkContext.broadcast(slot_bitmap(gone.select(F.xxhash64("doc", "th").alias("h")), "h", MARK_BITS))
-
-    @F.pandas_udf("boolean")
-    def marked(h: pd.Series) -> pd.Series:
-        return pd.Series(flagged(marks.value, h.to_numpy().view(np.uint64), MARK_BITS))
-
+    marked = marker(rows.sparkSession, slot_bitmap(gone.select(F.xxhash64("doc", "th").alias("h")), "h", MARK_BITS), MARK_BITS)
     flagged_rows = rows.withColumn("_m", marked(F.xxhash64("doc", "th")))
     none = F.array().cast("array<struct<a:bigint,b:bigint>>")
     hit = flagged_rows.where("_m").join(merged, ["doc", "th"], "left").select("_key", "_text", F.coalesce("cuts", none).alias("cuts"))

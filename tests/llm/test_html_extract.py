@@ -1,5 +1,8 @@
 """Markup, page differencing and edge cases."""
 
+import random
+from html.parser import HTMLParser
+
 from crisislens.llm import html_extract
 
 from .conftest import words
@@ -99,3 +102,67 @@ def test_names_of_wrappers_hide_no_article():
     assert own("<article>a</article><div class=comments><article>c</article></div><aside><article>t</article></aside>") == ["a"]
     assert own("<div class=has-sidebar><div hidden><article>h</article></div><article>a</article></div><div hidden><article>h</article></div>") == ["a"]
     assert html_extract.lines("<div class=has-sidebar><main></main>x</div><p>y</p>") == ([], ["y"])
+
+
+def test_shared_lines_are_as_many_as_can_be():
+    rng = random.Random(6)
+    assert html_extract.shared_lines(list("Ax"), list("xAx")) == {0, 1}
+    for it in range(1500):
+        k = rng.choice([1, 2, 3, 8])
+        a, b = ([rng.randint(0, k) for _ in range(rng.randint(0, 14))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        got = [a[i] for i in sorted(html_extract.shared_lines(a, b))]
+        rest = iter(b)
+        assert len(got) == best[-1][-1] and all(x in rest for x in got), it
+
+
+class OwnText(HTMLParser):
+    """The text of a page's article elements, without white space."""
+
+    def __init__(self):
+        super().__init__()
+        self.depth, self.skipped, self.text = 0, 0, []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        self.skipped += tag in ("script", "style", "aside", "nav", "form")
+
+    def handle_endtag(self, tag):
+        self.depth -= tag == "article"
+        self.skipped -= tag in ("script", "style", "aside", "nav", "form")
+
+    def handle_data(self, data):
+        if self.depth > 0 and not self.skipped:
+            self.text.append(data)
+
+
+def test_no_article_line_is_lost(spark):
+    """Every given page keeps the whole text of its article element."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    html = {r["page_id"]: r["html"] for r in pages.collect()}
+    for r in html_extract.extract(pages).collect():
+        own = OwnText()
+        own.feed(html[r["page_id"]])
+        assert "".join(r["text"].split()) == "".join("".join(own.text).split()), r["page_id"]
+
+
+def test_lines_of_an_article_go_only_if_most_pages_of_the_host_have_them(spark):
+    body = lambda i, more: f"<article>{more}{paragraphs(i, 100 + i)}</article>"
+    rows = [(i, f"http://few.org/{i}", body(i, "<p>Rate</p>")) for i in range(5)]                                          # too few pages to tell
+    rows += [(20 + i, f"http://some.org/{i:02d}", body(20 + i, "<p>Licence</p>" if i in (3, 4) else "")) for i in range(12)]  # two pages share a line
+    rows += [(40 + i, f"http://most.org/{i:02d}", body(40 + i, "<p>Rate</p>" if i < 8 else "")) for i in range(12)]
+    got = texts(spark, rows)
+    assert all(got[i] == ["Rate", words(i, 30), words(100 + i, 30)] for i in range(5))
+    assert all(got[20 + i] == ["Licence"] * (i in (3, 4)) + [words(20 + i, 30), words(120 + i, 30)] for i in range(12))
+    assert all(got[40 + i] == [words(40 + i, 30), words(140 + i, 30)] for i in range(7))
+
+
+def test_a_very_long_page_and_clashing_columns(spark):
+    long = "".join(f"<p>{words(i, 20)}</p>" for i in range(3000))
+    df = spark.createDataFrame([(1, "http://l.org/1", f"<article>{long}</article>"), (2, "http://l.org/2", f"<article>{long}</article><nav>x</nav>")], "page_id long, url string, html string")
+    for c in ("_own", "_halo", "_kept", "_found", "n_chars", "by_markup", "h"):
+        df = df.selectExpr("*", f"'c' as {c}")
+    assert {r["n_chars"] for r in html_extract.extract(df).collect()} == {len("\n".join(words(i, 20) for i in range(3000)))}
