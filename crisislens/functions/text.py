@@ -210,7 +210,11 @@ def copy_fingerprint(text: Column, max_chars: int = 220) -> Column:
     return F.substring(F.trim(t), 1, max_chars)
 
 
-def shorten(text: Column, limit: int, suffix: str = "\n\n...[contenu tronqué pour rester compact]") -> Column:
+# FIXED VALUE — what stands behind a shortened text.
+SHORTENED = "\n\n...[contenu tronqué pour rester compact]"
+
+
+def shorten(text: Column, limit: int, suffix: str = SHORTENED) -> Column:
     """Trim, and cut to ``limit`` characters plus a marker when longer."""
     t = trim_ws(F.coalesce(text.cast("string"), F.lit("")))
     cut = F.concat(F.regexp_replace(F.substring(t, 1, limit), f"{SPACE}+$", ""), F.lit(suffix))

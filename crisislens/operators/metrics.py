@@ -27,6 +27,11 @@ def kpis(E: DataFrame, by: By = (), approx_distinct: bool = False) -> DataFrame:
         F.avg("risk_level").alias("risk_moyen"),
         F.max("risk_level").alias("risk_max"),
     ).where(F.col("messages") > 0)
+    return kpi_columns(agg, by)
+
+
+def kpi_columns(agg: DataFrame, by: By) -> DataFrame:
+    """The 19 measures from counts, sums, ``_neg`` and ``risk_moyen`` of each group."""
     return agg.select(
         *by, "messages", "auteurs_uniques", "debut", "fin",
         "retweets", pct(F.col("retweets"), F.col("messages")).alias("retweets_pct"),
@@ -49,9 +54,14 @@ def author_table(E: DataFrame, by: By = ()) -> DataFrame:
         F.max("followers").alias("followers"),
         F.avg("risk_level").alias("risk_mean"),
     )
+    return with_influence(t)
+
+
+def with_influence(authors: DataFrame) -> DataFrame:
+    """Author totals with the influence score."""
     score = (ln1p_pos(F.col("reach")) * 0.35 + ln1p_pos(F.col("shares")) * 0.25 + ln1p_pos(F.col("likes")) * 0.20
              + ln1p_pos(F.col("messages")) * 0.10 + ln1p_pos(F.col("followers")) * 0.10)
-    return t.withColumn("influence_score", score)
+    return authors.withColumn("influence_score", score)
 
 
 def top_authors(E: DataFrame, n: int | None = 10, by: By = ()) -> DataFrame:

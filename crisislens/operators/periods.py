@@ -105,8 +105,11 @@ def crisis_velocity(Ep: DataFrame, E: DataFrame, by: tuple[str, ...] = ("period_
     negative= min(15, 0.15 neg%) ; retweets = min(15, 0.15 rt%) ; risk = min(20, 4 mean risk)
     The sum is rounded to 0.1 (numpy rule when the reach term is the
     uncapped log ratio, Python's exact rule otherwise)."""
-    k = kpis(Ep, by=by)
-    ref = corpus_span(E)
+    return velocity(kpis(Ep, by=by), corpus_span(E), by)
+
+
+def velocity(k: DataFrame, ref: DataFrame, by: tuple[str, ...] = ("period_id",)) -> DataFrame:
+    """The velocity score from the KPIs of each period and the one row of :func:`corpus_span`."""
     x = k.crossJoin(F.broadcast(ref))
     vph = F.col("messages") / _hours(F.col("debut"), F.col("fin"))
     ref_vph = F.col("ref_messages") / _hours(F.col("ref_start"), F.col("ref_end"))

@@ -18,16 +18,25 @@ BY = ("period_id",)
 
 def dominant_narrative(Ep: DataFrame, by=BY) -> DataFrame:
     """Most frequent narrative of each group (ties: name ascending)."""
-    nt = narratives_table(Ep, by)
-    return top_k(nt, [F.desc("count"), F.asc("narrative")], 1, by).select(
+    return dominant_of(narratives_table(Ep, by), by)
+
+
+def dominant_of(narratives: DataFrame, by=BY) -> DataFrame:
+    """The first narrative of each group of a narratives table."""
+    return top_k(narratives, [F.desc("count"), F.asc("narrative")], 1, by).select(
         *by, F.col("narrative").alias("dominant_narrative"))
 
 
 def strategy_rows(Ep: DataFrame, E: DataFrame, posture: str | None = None) -> DataFrame:
     """One row per period: score, level, dominant narrative, priority,
     posture (derived unless given) and sensitive points."""
-    cv = crisis_velocity(Ep, E).select(*BY, F.col("crisis_velocity_score").alias("score"), "niveau")
-    x = cv.join(dominant_narrative(Ep), list(BY), "left")
+    return strategy_of(crisis_velocity(Ep, E), dominant_narrative(Ep), posture)
+
+
+def strategy_of(velocity: DataFrame, dominant: DataFrame, posture: str | None = None) -> DataFrame:
+    """The strategy rows from the velocity scores and the dominant narratives of the periods."""
+    cv = velocity.select(*BY, F.col("crisis_velocity_score").alias("score"), "niveau")
+    x = cv.join(dominant, list(BY), "left")
     dom = F.coalesce(F.col("dominant_narrative"), F.lit("non identifié"))
     chosen = F.lit(posture) if posture else RU.response_posture(dom, F.col("score"))
     return x.select(*BY, "score", "niveau", dom.alias("dominant_narrative"),

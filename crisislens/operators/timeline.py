@@ -14,7 +14,8 @@ from .. import config as C
 from .common import By, over_group, top_k
 
 
-def _bucket_agg(E: DataFrame, bucket: str, by: By) -> DataFrame:
+def bucket_table(E: DataFrame, bucket: str, by: By = ()) -> DataFrame:
+    """The measures of each hour or day, without trends."""
     authors = F.countDistinct("author")
     return E.groupBy(*by, bucket).agg(
         F.count(F.lit(1)).alias("messages"),
@@ -28,7 +29,11 @@ def _bucket_agg(E: DataFrame, bucket: str, by: By) -> DataFrame:
 
 
 def _timeline(E: DataFrame, bucket: str, rolling: int, roll_name: str, by: By) -> DataFrame:
-    tl = _bucket_agg(E, bucket, by)
+    return with_trend(bucket_table(E, bucket, by), bucket, rolling, roll_name, by)
+
+
+def with_trend(tl: DataFrame, bucket: str, rolling: int, roll_name: str, by: By = ()) -> DataFrame:
+    """The rolling mean and z-score over rows of :func:`bucket_table`."""
     ordered = (Window.partitionBy(*by) if by else Window.partitionBy()).orderBy(bucket)
     whole = over_group(by)
     m = F.col("messages")

@@ -7,22 +7,19 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import timeline as TL
-from ..operators.periods import assign_periods, crisis_velocity, peak_day_period
-from ..session import materialize
+from ..operators.periods import assign_periods, peak_day_period
 from .reports import brief_rows
+from .tables import PeriodTables, store
 
 BY = ("period_id",)
 
 
-def store(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written and reread; a folder of our own only in a single-process session that names none."""
-    master = df.sparkSession.sparkContext.master
-    return materialize(df, name, allow_local=master.startswith("local") and not master.startswith("local-cluster"))
-
-
 def period_posts(E: DataFrame, periods: DataFrame) -> DataFrame:
-    """The posts of every period, written once, so that many tables share one pass over the texts."""
-    return store(assign_periods(E, periods.select("period_id", "start", "end")), "period-posts")
+    """The posts of every period, written once, so that many tables share one pass over the texts (folded texts are left out).
+
+    A post is written once for each period that holds it; for many overlapping
+    periods see ``operators.segments``."""
+    return store(assign_periods(E.drop("text_norm"), periods.select("period_id", "start", "end")), "period-posts")
 
 
 def analyze_periods(E: DataFrame, periods: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:
@@ -35,19 +32,20 @@ def analyze_periods(E: DataFrame, periods: DataFrame, top_n: int = 10) -> dict[s
     empty = periods.select("period_id").distinct().join(seen, "period_id", "left_anti").orderBy("period_id").limit(5).collect()
     if empty:
         raise ValueError("no post in period " + ", ".join(r["period_id"] for r in empty))
+    t = PeriodTables(Ep, E)
     return {
         "periode": Ep.groupBy(*BY).agg(F.min("dt").alias("start"), F.max("dt").alias("end")),
-        "kpis": M.kpis(Ep, BY),
-        "crisis_velocity_score": crisis_velocity(Ep, E),
-        "top_authors": M.top_authors(Ep, top_n, BY),
+        "kpis": t.kpis,
+        "crisis_velocity_score": t.velocity,
+        "top_authors": t.authors(top_n),
         "top_hashtags": M.top_hashtags(Ep, top_n, BY),
-        "top_posts": M.top_posts(Ep, top_n, BY),
-        "narratives": M.narratives_table(Ep, BY),
-        "sentiments": M.sentiment_table(Ep, BY),
+        "top_posts": t.top_posts(top_n),
+        "narratives": t.narratives,
+        "sentiments": t.sentiments,
         "engagement_types": M.engagement_type_table(Ep, BY),
         "hourly_timeline": TL.hourly_timeline(Ep, BY),
         "period_data": Ep,
-        "brief_deterministe": brief_rows(Ep, E),
+        "brief_deterministe": brief_rows(t),
     }
 
 

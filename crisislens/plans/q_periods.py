@@ -30,7 +30,8 @@ def _periods(spark, sf_dir):
 
 def stored_periods(spark, sf_dir):
     """What reports read many times, stored: the corpus' times and reach, and the posts of its five busiest days."""
-    from .analysis import period_posts, store
+    from .analysis import period_posts
+    from .tables import store
     E = corpus(spark, sf_dir)
     return store(E.select("dt", "reach"), "corpus-span"), period_posts(E, P.peak_day_periods(E, top=5))
 
@@ -184,3 +185,10 @@ t AS (SELECT hour, count(*) AS messages, count(DISTINCT author) AS auteurs, coun
 def focus_peak_days(spark, sf_dir):
     E = corpus(spark, sf_dir)
     return present(TL.hourly_timeline(P.focus_days(E, 2)), TL_ROUND)
+
+
+def shared_tables(spark, sf_dir):
+    """The per-period tables of the five busiest days, each written once, for reports that read many of them."""
+    from .tables import PeriodTables
+    E, Ep = stored_periods(spark, sf_dir)
+    return PeriodTables(Ep, E, keep=True)

@@ -96,13 +96,18 @@ def strategy_rows(spark, sf_dir):
     return ST.strategy_rows(Ep, E).withColumn("sensitive_points", F.array_join("sensitive_points", "|"))
 
 
-def pack_ctes() -> str:
+def pack_ctes(channels=DEFAULT_CHANNELS) -> str:
     """CTEs up to ``pg``: every period's messages with guardrail columns."""
+    return STRATEGY_CTES + pack_parts(channels)
+
+
+def pack_parts(channels=DEFAULT_CHANNELS) -> str:
+    """CTEs behind those of the strategy."""
     values = ",\n ".join(f"({i}, {q(c)}, {q(t)})" for i, (c, t) in enumerate(CHANNEL_TEMPLATES)
-                         if c in DEFAULT_CHANNELS)
+                         if c in channels)
     text = ("replace(replace(replace(replace(template, '{spokesperson}', " + q(DEFAULT_SPOKESPERSON) + "), "
             "'{niveau}', niveau), '{score}', CAST(score AS VARCHAR)), '{dominant}', dominant_narrative)")
-    return STRATEGY_CTES + f""",
+    return f""",
 tp(channel_order, canal, template) AS (VALUES
  {values}),
 pk AS (SELECT period_id, channel_order, canal, {text} AS text FROM st CROSS JOIN tp),
@@ -118,3 +123,13 @@ def _pack_sql() -> str:
 def message_pack(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
     return ST.message_pack(ST.strategy_rows(Ep, E))
+
+
+ALL_CHANNELS = tuple(c for c, _ in CHANNEL_TEMPLATES)
+
+
+@register("message_pack_all_channels", with_e_ctes(pack_ctes(ALL_CHANNELS), "SELECT * FROM pg"),
+          "R7 message pack in all seven channels, each checked by C14")
+def message_pack_all_channels(spark, sf_dir):
+    E, Ep = _periods(spark, sf_dir)
+    return ST.message_pack(ST.strategy_rows(Ep, E), ALL_CHANNELS)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from ..config import NEGATIVE_SENTIMENTS
+from ..functions.text import SHORTENED, SPACE
 from ..operators import narratives as N
 from .oracle import q, with_e_ctes
 from .q_narratives import _angle_sql, _label_sql
@@ -29,8 +32,14 @@ def _ts(x: str) -> str:
 
 
 def narratives_report_sql() -> str:
+    ctes, select = narratives_report_parts()
+    return with_e_ctes(PERIOD_CTES + ctes, select)
+
+
+def narratives_report_parts() -> tuple[str, str]:
+    """(CTEs behind those of the periods, select)."""
     n = _NL
-    ctes = PERIOD_CTES + f""",
+    ctes = f""",
 yx AS (SELECT period_id, unnest(narratives) AS narrative, reach, shares, sentiment, is_retweet, risk_level FROM ep),
 yn AS (SELECT period_id, count(*) AS n_posts FROM ep GROUP BY period_id),
 yg AS (SELECT period_id, narrative, count(*) AS messages, sum(reach) AS r, sum(shares) AS s,
@@ -65,10 +74,21 @@ ych AS (SELECT *, row_number() OVER (PARTITION BY period_id ORDER BY hour) AS k
 ymu AS (SELECT period_id, string_agg('- ' || {_ts('hour')} || ' : passage de **' || prev || '** vers **' ||
    narrative || '**.', {n} ORDER BY hour) AS lines FROM ych WHERE k <= 5 GROUP BY period_id)"""
     no_change = q("- Pas de changement majeur du narratif dominant sur la période sélectionnée.")
-    return with_e_ctes(ctes, f"""SELECT ymat.period_id,
+    return ctes, (f"""SELECT ymat.period_id,
  '## Agent 2 — Cartographie des narratifs et acteurs' || {n} || {n} || head || {n} || {n} ||
  '### Matrice narratifs' || {n} || ymat.lines ||
  coalesce({n} || {n} || '### Acteurs par narratif' || {n} || yal.lines, '') ||
  {n} || {n} || '### Mutation narrative' || {n} || coalesce(ymu.lines, {no_change}) ||
  {n} || {n} || '### Recommandations Agent 2' || {n} || recs || {n} || {q('- ' + N.REC_LAST)} AS markdown
 FROM ymat LEFT JOIN yal USING (period_id) LEFT JOIN ymu USING (period_id)""")
+
+
+def fill_sql(template: str, **parts: str) -> str:
+    """A text with its {names} replaced by SQL expressions."""
+    return " || ".join(parts[x] if i % 2 else q(x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if i % 2 or x)
+
+
+def shorten_sql(x: str, limit: int) -> str:
+    t = f"regexp_replace({x}, '^{SPACE}+|{SPACE}+$', '', 'g')"
+    cut = f"regexp_replace(substr({t}, 1, {limit}), '{SPACE}+$', '')"
+    return f"(CASE WHEN length({t}) <= {limit} THEN {t} ELSE {cut} || {q(SHORTENED)} END)"

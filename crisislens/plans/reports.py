@@ -10,6 +10,7 @@ timestamps as ``YYYY-MM-DD HH:MM:SS[.ffffff]``.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -20,13 +21,10 @@ from ..config import NEGATIVE_SENTIMENTS
 from ..functions import rules as RU
 from ..functions.numbers import fmt_py, format_int
 from ..functions.text import shorten
-from ..operators import metrics as M
 from ..operators import narratives as N
-from ..operators import propagation as PR
 from ..operators import strategy as ST
-from ..operators import timeline as TL
 from ..operators.common import top_k
-from ..operators.periods import crisis_velocity
+from .tables import PeriodTables, tables
 
 BY = ("period_id",)
 NL = "\n"
@@ -43,6 +41,11 @@ def s(c: Column | str) -> Column:
     return c.cast("string")
 
 
+def fill(template: str, **parts: Column) -> Column:
+    """A text with its {names} replaced by columns."""
+    return F.concat(*[parts[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(\w+)\}", template)) if i % 2 or x])
+
+
 def lines_per_group(df: DataFrame, line: Column, k: int | None, order: list[Column], by=BY,
                     name: str = "lines") -> DataFrame:
     """(by, array of ``line``) for the first ``k`` rows of each group."""
@@ -64,18 +67,19 @@ def _arr(name: str) -> Column:
 
 # ---------------------------------------------------------------- R2 brief
 
-def brief_rows(Ep: DataFrame, E: DataFrame, top_n: int = 5) -> DataFrame:
-    k = M.kpis(Ep, BY)
-    cv = crisis_velocity(Ep, E).select(*BY, "crisis_velocity_score", "niveau")
-    narr = M.narratives_table(Ep, BY)
+def brief_rows(Ep: DataFrame | PeriodTables, E: DataFrame | None = None, top_n: int = 5) -> DataFrame:
+    t = tables(Ep, E)
+    k = t.kpis
+    cv = t.velocity.select(*BY, "crisis_velocity_score", "niveau")
+    narr = t.narratives
     order_n = [F.desc("count"), F.asc("narrative")]
     narr_lines = lines_per_group(narr, F.concat(
         F.lit("- "), F.col("narrative"), F.lit(" : "), format_int(F.col("count")), F.lit(" occurrences ("),
         fmt_py(F.col("pct_messages"), 1), F.lit("% des messages).")), top_n, order_n, name="narr_lines")
     dom = top_k(narr, order_n, 1, BY).select(*BY, F.col("narrative").alias("dominant"))
-    sent = top_k(M.sentiment_table(Ep, BY), [F.desc("count"), F.asc("sentiment")], 1, BY) \
+    sent = top_k(t.sentiments, [F.desc("count"), F.asc("sentiment")], 1, BY) \
         .select(*BY, F.col("sentiment").alias("dominant_sentiment"))
-    ta = M.top_authors(Ep, top_n, BY)
+    ta = t.authors(top_n)
     author_lines = lines_per_group(ta, F.concat(
         F.lit("- @"), F.col("author"), F.lit(" : "), format_int(F.col("messages")), F.lit(" messages, reach "),
         format_int(F.col("reach")), F.lit(", shares "), format_int(F.col("shares")), F.lit(".")),
@@ -118,8 +122,9 @@ def brief_rows(Ep: DataFrame, E: DataFrame, top_n: int = 5) -> DataFrame:
 
 # ------------------------------------------------- R3 narratives / actors
 
-def narratives_report(Ep: DataFrame, bucket: str = "hour", top_n: int = 10) -> DataFrame:
-    rm = N.risk_matrix(N.narrative_matrix(Ep, BY))
+def narratives_report(Ep: DataFrame | PeriodTables, bucket: str = "hour", top_n: int = 10) -> DataFrame:
+    t = tables(Ep)
+    rm = t.risks
     mat_lines = lines_per_group(rm, F.concat(
         F.lit("- **"), F.col("narrative"), F.lit("** : "), format_int(F.col("messages")), F.lit(" occurrences, "),
         s("pct_messages"), F.lit("% des messages, risque "), F.col("risk_label"), F.lit(" — "),
@@ -127,12 +132,12 @@ def narratives_report(Ep: DataFrame, bucket: str = "hour", top_n: int = 10) -> D
     head = rm.where(F.col("rank") == 1).select(*BY, F.concat(
         F.lit("**Narratif prioritaire :** "), F.col("narrative"), F.lit(" — risque "), F.col("risk_label"),
         F.lit(" ("), s("strategic_risk_score"), F.lit("/100).")).alias("head"))
-    actors = N.actor_narratives(Ep, top_n, BY)
+    actors = t.actors(top_n)
     act_lines = lines_per_group(actors, F.concat(
         F.lit("- @"), F.col("author"), F.lit(" porte surtout **"), F.col("narrative"), F.lit("** : "),
         format_int(F.col("messages")), F.lit(" messages, reach "), format_int(F.col("reach")), F.lit(".")),
         6, [F.asc("rank")], name="act_lines")
-    mut = N.detect_mutation(N.narrative_timeline(Ep, bucket, BY), bucket, BY)
+    mut = t.mutations(bucket)
     changes = lines_per_group(mut.where(F.col("mutation") != N.MUTATION_STABLE), F.concat(
         F.lit("- "), ts_str(F.col("period")), F.lit(" : passage de **"), F.col("previous"), F.lit("** vers **"),
         F.col("dominant_narrative"), F.lit("**.")), 5, [F.asc("period")], name="mut_lines")
@@ -155,12 +160,9 @@ def narratives_report(Ep: DataFrame, bucket: str = "hour", top_n: int = 10) -> D
 
 # ------------------------------------------------------ R4 propagation
 
-def propagation_report(Ep: DataFrame, top_n: int = 10) -> DataFrame:
-    prop = PR.propagation_metrics(Ep, BY)
-    conc = PR.concentration_metrics(Ep, top_n, BY)
-    copies = PR.copy_patterns(Ep, by=BY)
-    bursts = TL.bursts(Ep, by=BY)
-    coord = PR.coordination(prop, conc, copies, bursts, BY)
+def propagation_report(Ep: DataFrame | PeriodTables, top_n: int = 10) -> DataFrame:
+    t = tables(Ep)
+    prop, conc, copies, bursts, coord = t.propagation, t.concentration(top_n), t.copies, t.bursts, t.coordination(top_n)
     copy_lines = lines_per_group(copies, F.concat(
         F.lit("- Gabarit repris "), format_int(F.col("count")), F.lit(" fois par "), format_int(F.col("authors")),
         F.lit(" auteurs ; exemple : "), F.substring("example", 1, 140), F.lit("...")), 5, [F.asc("rank")],
@@ -201,11 +203,12 @@ def propagation_report(Ep: DataFrame, top_n: int = 10) -> DataFrame:
 
 # ------------------------------------------------------- R6 strategy
 
-def strategy_report(Ep: DataFrame, E: DataFrame, posture: str | None = None, objective: str = TX.DEFAULT_OBJECTIVE,
+def strategy_report(Ep: DataFrame | PeriodTables, E: DataFrame | None = None, posture: str | None = None, objective: str = TX.DEFAULT_OBJECTIVE,
                     targets: Sequence[str] = TX.DEFAULT_TARGETS) -> DataFrame:
     """One row per period: the strategy's fields, its lists as columns, and the text."""
-    st = ST.strategy_rows(Ep, E, posture)
-    k = M.kpis(Ep, BY).select(*BY, "debut", "fin", "messages", "retweets_pct")
+    t = tables(Ep, E)
+    st = t.strategy(posture)
+    k = t.kpis.select(*BY, "debut", "fin", "messages", "retweets_pct")
     x = st.join(k, list(BY), "left")
     axes = [F.lit(f"- **{a}** — {b} {c}") for a, b, c in TX.MESSAGE_AXES]
     plan = [F.lit(f"- **{t} — {a} :** {d}") for t, a, d in TX.ACTION_PLAN]
@@ -249,10 +252,10 @@ def _plan() -> Column:
 
 # ------------------------------------------------------ R7 message pack
 
-def pack_report(Ep: DataFrame, E: DataFrame, tone: str = TX.DEFAULT_TONE,
+def pack_report(Ep: DataFrame | PeriodTables, E: DataFrame | None = None, tone: str = TX.DEFAULT_TONE,
                 spokesperson: str = TX.DEFAULT_SPOKESPERSON,
                 channels: Sequence[str] = ST.DEFAULT_CHANNELS) -> DataFrame:
-    pack = ST.message_pack(ST.strategy_rows(Ep, E), channels, spokesperson=spokesperson)
+    pack = ST.message_pack(tables(Ep, E).strategy(), channels, spokesperson=spokesperson)
     msgs = lines_per_group(pack, F.concat_ws(NL, F.concat(F.lit("### "), F.col("canal")), F.col("text"), F.lit("")),
                            None, [F.asc("channel_order")], name="msg_blocks")
     checks = lines_per_group(pack, F.concat(F.lit("- **"), F.col("canal"), F.lit("** : "), F.col("statut"),
@@ -269,17 +272,18 @@ def pack_report(Ep: DataFrame, E: DataFrame, tone: str = TX.DEFAULT_TONE,
 
 # ------------------------------------------- R5 / R8 / K7 JSON contexts
 
-def crisis_context(Ep: DataFrame, E: DataFrame, max_posts: int = 5, max_rows: int = 8) -> DataFrame:
+def crisis_context(Ep: DataFrame | PeriodTables, E: DataFrame | None = None, max_posts: int = 5, max_rows: int = 8) -> DataFrame:
     """(period_id, context): one typed struct per period with the period's
     bounds, KPIs, score, level, dominant narrative, top author, top-8
     narratives, top-8 authors, top-5 posts (each cut before it is collected)
     and the brief."""
-    k = M.kpis(Ep, BY)
-    brief = brief_rows(Ep, E).select(*BY, "crisis_velocity_score", "niveau", "dominant_narrative", "top_author", "brief")
-    narr = _records(M.narratives_table(Ep, BY), max_rows, [F.desc("count"), F.asc("narrative")],
+    t = tables(Ep, E)
+    k = t.kpis
+    brief = brief_rows(t).select(*BY, "crisis_velocity_score", "niveau", "dominant_narrative", "top_author", "brief")
+    narr = _records(t.narratives, max_rows, [F.desc("count"), F.asc("narrative")],
                     ["narrative", "count", "pct_messages"], "narratives")
-    authors = M.top_authors(Ep, max_rows, BY)
-    posts = M.top_posts(Ep, max_posts, BY).withColumn("dt", ts_str(F.col("dt")))
+    authors = t.authors(max_rows)
+    posts = t.top_posts(max_posts).withColumn("dt", ts_str(F.col("dt")))
 
     def listed(df: DataFrame, name: str) -> DataFrame:
         cols = [c for c in df.columns if c not in (*BY, "rank")]
@@ -294,33 +298,32 @@ def crisis_context(Ep: DataFrame, E: DataFrame, max_posts: int = 5, max_rows: in
         "top_author", "narratives", "top_authors", "top_posts", F.col("brief").alias("brief_agent1")).alias("context"))
 
 
-def context_json(Ep: DataFrame, E: DataFrame, max_posts: int = 5, max_rows: int = 8) -> DataFrame:
+def context_json(Ep: DataFrame | PeriodTables, E: DataFrame | None = None, max_posts: int = 5, max_rows: int = 8) -> DataFrame:
     """The crisis context of each period as JSON text."""
     return crisis_context(Ep, E, max_posts, max_rows).select(*BY, F.to_json("context").alias("context_json"))
 
 
 # ----------------------------------------------------------- R9 answers
 
-def answers(questions: DataFrame, Ep: DataFrame, E: DataFrame, text_col: str = "question",
+def answers(questions: DataFrame, Ep: DataFrame | PeriodTables, E: DataFrame | None = None, text_col: str = "question",
             keys: tuple[str, ...] = ("question_id",)) -> DataFrame:
     """Deterministic answers: every question routed (C15), then the sections
     of the matching reports of its period filled in.  ``questions`` carries
     ``period_id``; the per-period report rows it joins are bounded."""
-    brief = brief_rows(Ep, E).select(*BY, "debut", "fin", "crisis_velocity_score", "niveau", "dominant_narrative")
-    kp = M.kpis(Ep, BY).select(*BY, "messages", "auteurs_uniques", "retweets_pct", "sentiment_negatif_pct")
-    rm = N.risk_matrix(N.narrative_matrix(Ep, BY))
-    a2 = lines_per_group(rm, F.concat(
-        F.lit("- **"), F.col("narrative"), F.lit("** : "), s("messages"), F.lit(" messages, score stratégique "),
-        s("strategic_risk_score"), F.lit("/100, angle : "), F.col("angle_de_reponse")), 5, [F.asc("rank")],
-        name="a2_lines")
-    a3 = propagation_report(Ep).select(*BY, F.col("score").alias("coord_score"), F.col("label").alias("coord_label"),
+    t = tables(Ep, E)
+    brief = brief_rows(t).select(*BY, "debut", "fin", "crisis_velocity_score", "niveau", "dominant_narrative")
+    kp = t.kpis.select(*BY, "messages", "auteurs_uniques", "retweets_pct", "sentiment_negatif_pct")
+    rm = t.risks
+    a2 = lines_per_group(rm, fill(TX.ANSWER_NARRATIVE_LINE, narratif=F.col("narrative"), messages=s("messages"), score=s("strategic_risk_score"),
+                                  angle=F.col("angle_de_reponse")), 5, [F.asc("rank")], name="a2_lines")
+    a3 = propagation_report(t).select(*BY, F.col("score").alias("coord_score"), F.col("label").alias("coord_label"),
                                        F.col("markdown").alias("a3_md"))
-    prop = PR.propagation_metrics(Ep, BY)
+    prop = t.propagation
     prop_json = prop.select(*BY, F.to_json(F.struct(*[
         (ts_str(F.col(c)) if c in ("start", "end") else F.col(c)).alias(c) for c in prop.columns if c not in BY]))
         .alias("prop_json"))
-    a4 = strategy_report(Ep, E).select(*BY, "priority", "posture", F.col("markdown").alias("a4_md"))
-    a5 = pack_report(Ep, E).select(*BY, F.col("markdown").alias("a5_md"))
+    a4 = strategy_report(t).select(*BY, "priority", "posture", F.col("markdown").alias("a4_md"))
+    a5 = pack_report(t).select(*BY, F.col("markdown").alias("a5_md"))
     ctx = _join_all(brief, kp, a2, a3, prop_json, a4, a5)
     # one context row per period; a hot period is a skewed key, which AQE splits
     x = questions.join(ctx, list(BY), "left")
@@ -329,36 +332,16 @@ def answers(questions: DataFrame, Ep: DataFrame, E: DataFrame, text_col: str = "
     route = RU.route_question(F.col(text_col))
     has = lambda src: F.array_contains(route, src)
     srcs = [r[0] for r in RU.ROUTES]
-    sec1 = F.concat(
-        F.lit("### Réponse basée sur l'Agent 1 — Diagnostic\n- Période analysée : **"), ts_str(F.col("debut")),
-        F.lit(" → "), ts_str(F.col("fin")), F.lit("**.\n- Niveau : **"), F.col("niveau"),
-        F.lit("** ; Crisis Velocity Score : **"), s("crisis_velocity_score"), F.lit("/100**.\n- Messages : **"),
-        format_int(F.col("messages")), F.lit("** ; auteurs uniques : **"), format_int(F.col("auteurs_uniques")),
-        F.lit("**.\n- Retweets/reposts : **"), fmt_py(F.col("retweets_pct"), 1),
-        F.lit("%** ; sentiment négatif : **"), fmt_py(F.col("sentiment_negatif_pct"), 1),
-        F.lit("%**.\n- Narratif dominant détecté : **"), F.col("dominant_narrative"), F.lit("**.\n"))
-    sec2 = F.concat_ws(NL, F.concat(F.array(F.lit("### Réponse basée sur l'Agent 2 — Narratifs"),
-                                            F.lit("Narratifs prioritaires détectés :")), _arr("a2_lines")))
-    sec3 = F.concat(
-        F.lit("### Réponse basée sur l'Agent 3 — Propagation\n- Score de coordination prudente : **"),
-        F.when(F.col("coord_score") >= 100, F.lit("100")).otherwise(s("coord_score")), F.lit("/100** ("),
-        F.col("coord_label"), F.lit(").\n- Lecture : il s'agit de **signaux de propagation**, pas d'une preuve de "
-                                    "bots ou de manipulation.\n- Métriques disponibles : "),
-        F.substring("prop_json", 1, 900), F.lit(".\n\n"), shorten(F.col("a3_md"), 1600))
-    sec4 = F.concat(F.lit("### Réponse basée sur l'Agent 4 — Stratégie de riposte\n- Priorité : **"),
-                    F.col("priority"), F.lit("**.\n- Posture recommandée : **"), F.col("posture"), F.lit("**.\n\n"),
-                    shorten(F.col("a4_md"), 2200))
-    sec5 = F.concat(F.lit("### Réponse basée sur l'Agent 5 — Messages et garde-fous\n"), shorten(F.col("a5_md"), 2600))
-    synth = F.concat(
-        F.lit("### Synthèse basée sur les Agents 1 à 5\nLe diagnostic Agent 1 indique un niveau **"), F.col("niveau"),
-        F.lit("** avec un score de **"), s("crisis_velocity_score"), F.lit("/100**. Le narratif dominant est **"),
-        F.col("dominant_narrative"), F.lit("**. Pour une question précise, demande par exemple : `Pourquoi le pic "
-                                           "est important ?`, `Quels narratifs dominent ?`, `Y a-t-il des signaux "
-                                           "de coordination ?`, `Quelle stratégie recommandes-tu ?` ou `Rédige un "
-                                           "post X`."))
+    sections_by_source = [fill(
+        text, debut=ts_str(F.col("debut")), fin=ts_str(F.col("fin")), niveau=F.col("niveau"), score=s("crisis_velocity_score"),
+        messages=format_int(F.col("messages")), auteurs=format_int(F.col("auteurs_uniques")), retweets=fmt_py(F.col("retweets_pct"), 1),
+        negatif=fmt_py(F.col("sentiment_negatif_pct"), 1), dominant=F.col("dominant_narrative"), narratifs=F.array_join(_arr("a2_lines"), ""),
+        coordination=F.when(F.col("coord_score") >= 100, F.lit("100")).otherwise(s("coord_score")), label=F.col("coord_label"),
+        metriques=F.substring("prop_json", 1, 900), rapport3=shorten(F.col("a3_md"), 1600), priorite=F.col("priority"), posture=F.col("posture"),
+        rapport4=shorten(F.col("a4_md"), 2200), rapport5=shorten(F.col("a5_md"), 2600)) for text in TX.ANSWER_SECTIONS]
     sections = F.array_compact(F.array(
         *[F.when(has(src), F.when(known, sec).otherwise(na))
-          for src, sec in zip((*srcs, RU.ROUTE_FALLBACK), (sec1, sec2, sec3, sec4, sec5, synth), strict=True)]))
+          for src, sec in zip((*srcs, RU.ROUTE_FALLBACK), sections_by_source, strict=True)]))
     answer = F.when(F.size(route) == 0, F.lit(TX.ANSWER_EMPTY)).otherwise(F.concat(
         F.concat_ws("\n\n", sections), F.lit(TX.ANSWER_SOURCES_PREFIX), F.concat_ws(", ", route), F.lit(".")))
     return x.select(*keys, *BY, F.array_join(route, "|").alias("sources"), answer.alias("answer"),
@@ -374,30 +357,27 @@ def _records(df: DataFrame, k: int, order: list[Column], cols: list[str], name:
     return g.select(*BY, F.transform("_r", lambda r: r.dropFields("rank")).alias(name))
 
 
-def agent_context(Ep: DataFrame, E: DataFrame) -> DataFrame:
+def agent_context(Ep: DataFrame | PeriodTables, E: DataFrame | None = None) -> DataFrame:
     """Per period, the context every answer draws on, as one JSON document:
     diagnosis, narratives, propagation, strategy, messages, source priority.
     Every list is cut before it is collected.  The strategy keys read by the
     answering step (priority messages, action plan, risks) are filled from
     the response axes, the action plan and the two risk lists."""
-    base = crisis_context(Ep, E).select(*BY, F.col("context").alias("agent1"))
-    rm = N.risk_matrix(N.narrative_matrix(Ep, BY))
+    t = tables(Ep, E)
+    base = crisis_context(t).select(*BY, F.col("context").alias("agent1"))
     a2 = _join_all(
-        narratives_report(Ep).select(*BY, shorten(F.col("markdown"), 3600).alias("markdown")),
-        _records(rm, 8, [F.asc("rank")], ["narrative", "messages", "pct_messages", "strategic_risk_score",
-                                          "risk_label", "angle_de_reponse"], "risk_matrix"),
-        _records(N.actor_narratives(Ep, 10, BY), 8, [F.asc("rank")],
+        narratives_report(t).select(*BY, shorten(F.col("markdown"), 3600).alias("markdown")),
+        _records(t.risks, 8, [F.asc("rank")], ["narrative", "messages", "pct_messages", "strategic_risk_score",
+                                               "risk_label", "angle_de_reponse"], "risk_matrix"),
+        _records(t.actors(10), 8, [F.asc("rank")],
                  ["author", "narrative", "messages", "reach", "actor_narrative_score"], "actor_narratives"),
-        _records(N.detect_mutation(N.narrative_timeline(Ep, "hour", BY), "hour", BY).withColumn(
-            "period", ts_str(F.col("period"))), 8, [F.asc("period")],
-            ["period", "dominant_narrative", "messages", "previous", "mutation"], "mutation_signals"),
-        N.recommendations(rm, BY))
-    prop = PR.propagation_metrics(Ep, BY)
-    bursts = TL.bursts(Ep, by=BY).withColumn("hour", ts_str(F.col("hour")))
-    copies = PR.copy_patterns(Ep, by=BY)
-    coord = PR.coordination(prop, PR.concentration_metrics(Ep, 10, BY), copies, TL.bursts(Ep, by=BY), BY)
+        _records(t.mutations().withColumn("period", ts_str(F.col("period"))), 8, [F.asc("period")],
+                 ["period", "dominant_narrative", "messages", "previous", "mutation"], "mutation_signals"),
+        N.recommendations(t.risks, BY))
+    prop, copies, coord = t.propagation, t.copies, t.coordination()
+    bursts = t.bursts.withColumn("hour", ts_str(F.col("hour")))
     a3 = _join_all(
-        propagation_report(Ep).select(*BY, shorten(F.col("markdown"), 3600).alias("markdown")),
+        propagation_report(t).select(*BY, shorten(F.col("markdown"), 3600).alias("markdown")),
         coord.select(*BY, F.struct(*[c for c in coord.columns if c not in BY]).alias("coordination_score")),
         prop.select(*BY, F.struct(*[F.col(c) for c in prop.columns if c not in BY]).alias("propagation_metrics")),
         _records(bursts, 8, [F.asc("rank")], ["hour", "messages", "zscore", "retweet_pct", "burst_level"],
@@ -405,16 +385,16 @@ def agent_context(Ep: DataFrame, E: DataFrame) -> DataFrame:
         _records(copies, 8, [F.asc("rank")], ["fingerprint", "count", "authors", "example"], "copy_patterns"))
     risks = F.struct(F.array(*[F.lit(x) for x in TX.RISKS_IF_SILENT]).alias("silence"),
                      F.array(*[F.lit(x) for x in TX.RISKS_IF_OVERREACTING]).alias("sur_reaction"))
-    a4 = strategy_report(Ep, E).select(
+    a4 = strategy_report(t).select(
         *BY, shorten(F.col("markdown"), 4200).alias("markdown"), "priority", "posture",
         _axes().alias("messages_prioritaires"), _plan().alias("plan_action"), risks.alias("risques"),
         F.array(*[F.lit(x) for x in TX.AVOID]).alias("avoid"))
-    pack = ST.message_pack(ST.strategy_rows(Ep, E))
+    pack = ST.message_pack(t.strategy())
     msgs = pack.groupBy(*BY).agg(
         F.map_from_entries(F.collect_list(F.struct("canal", "text"))).alias("messages"),
         F.sort_array(F.collect_list(F.struct("channel_order", "canal", "statut", "risques_detectés",
                                              "points_à_renforcer", "longueur_caractères"))).alias("_g"))
-    a5 = pack_report(Ep, E).select(*BY, shorten(F.col("markdown"), 5200).alias("markdown")).join(
+    a5 = pack_report(t).select(*BY, shorten(F.col("markdown"), 5200).alias("markdown")).join(
         msgs.select(*BY, "messages", F.slice(F.transform("_g", lambda r: r.dropFields("channel_order")), 1, 12)
                     .alias("guardrail")), list(BY), "left")
     ctx = _join_all(base, _nest(a2, "agent2_narratifs"), _nest(a3, "agent3_propagation"),

@@ -140,6 +140,22 @@ PACK_FINAL_RULE = ("**Règle finale :** aucun message n'est publié automatiquem
 # FIXED VALUES — answer sections of the question router.
 ANSWER_EMPTY = "Pose une question sur le diagnostic, les narratifs, la propagation, la stratégie ou les messages."
 ANSWER_SOURCES_PREFIX = "\n\n---\n**Sources utilisées en priorité :** "
+# Answer sections by source, then the synthesis; {names} are filled in.
+ANSWER_SECTIONS = (
+    "### Réponse basée sur l'Agent 1 — Diagnostic\n- Période analysée : **{debut} → {fin}**.\n- Niveau : **{niveau}** ; "
+    "Crisis Velocity Score : **{score}/100**.\n- Messages : **{messages}** ; auteurs uniques : **{auteurs}**.\n"
+    "- Retweets/reposts : **{retweets}%** ; sentiment négatif : **{negatif}%**.\n- Narratif dominant détecté : **{dominant}**.\n",
+    "### Réponse basée sur l'Agent 2 — Narratifs\nNarratifs prioritaires détectés :{narratifs}",
+    "### Réponse basée sur l'Agent 3 — Propagation\n- Score de coordination prudente : **{coordination}/100** ({label}).\n"
+    "- Lecture : il s'agit de **signaux de propagation**, pas d'une preuve de bots ou de manipulation.\n"
+    "- Métriques disponibles : {metriques}.\n\n{rapport3}",
+    "### Réponse basée sur l'Agent 4 — Stratégie de riposte\n- Priorité : **{priorite}**.\n- Posture recommandée : **{posture}**.\n\n{rapport4}",
+    "### Réponse basée sur l'Agent 5 — Messages et garde-fous\n{rapport5}",
+    "### Synthèse basée sur les Agents 1 à 5\nLe diagnostic Agent 1 indique un niveau **{niveau}** avec un score de **{score}/100**. "
+    "Le narratif dominant est **{dominant}**. Pour une question précise, demande par exemple : `Pourquoi le pic est important ?`, "
+    "`Quels narratifs dominent ?`, `Y a-t-il des signaux de coordination ?`, `Quelle stratégie recommandes-tu ?` ou `Rédige un post X`.",
+)
+ANSWER_NARRATIVE_LINE = "\n- **{narratif}** : {messages} messages, score stratégique {score}/100, angle : {angle}"
 SOURCE_PRIORITY = (
     "Agent 1 — diagnostic chiffré",
     "Agent 2 — narratifs / acteurs",
