@@ -10,12 +10,12 @@ and in RE2 (the DuckDB oracle).
 from __future__ import annotations
 
 import functools
+import json
 import re
 import unicodedata
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # Python's ``\w`` for str patterns: letters, all numerics and underscore.
 WORD = r"[\p{L}\p{N}_]"
@@ -146,31 +146,63 @@ def accent_table() -> tuple[str, str]:
     return "".join(src) + "".join(drop), "".join(dst)
 
 
-def _nfkd_strip_series(s):
-    import pandas as pd  # noqa: F401  (runs inside the Arrow worker)
-    def fold(x):
-        if x is None:
-            return None
-        return "".join(c for c in unicodedata.normalize("NFKD", x) if not unicodedata.combining(c))
-    return s.map(fold)
+def _folded(ch: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", ch) if not unicodedata.combining(c))
 
 
-_nfkd_udf = None
+HANGUL = (0xAC00, 0xD7A3)                # syllables: their letters follow by rule
+
+
+@functools.lru_cache(maxsize=1)
+def expansions() -> dict[str, str]:
+    """What ``translate`` leaves: characters that fold to several, and those beyond the Basic Multilingual Plane.
+
+    Built by rule from ``unicodedata``; Hangul syllables are left out, see :func:`_jamo`.
+    """
+    plain = set(accent_table()[0])
+    points = (cp for cp in range(0x80, 0x110000) if not 0xD800 <= cp <= 0xDFFF and not HANGUL[0] <= cp <= HANGUL[1])
+    return {chr(cp): _folded(chr(cp)) for cp in points if chr(cp) not in plain and _folded(chr(cp)) != chr(cp)}
+
+
+@functools.lru_cache(maxsize=1)
+def _expansion_class() -> str:
+    """A character class of everything that :func:`expansions` and :func:`_jamo` change."""
+    points = sorted([*map(ord, expansions()), *range(HANGUL[0], HANGUL[1] + 1)])
+    parts, lo = [], None
+    for i, cp in enumerate(points):
+        lo = cp if lo is None else lo
+        if i + 1 == len(points) or points[i + 1] != cp + 1:
+            parts.append(f"\\x{{{lo:X}}}-\\x{{{cp:X}}}")
+            lo = None
+    return "[" + "".join(parts) + "]"
+
+
+def _jamo(ch: Column) -> Column:
+    """The two or three letters of a Hangul syllable (19 leading, 21 vowels, 27 trailing)."""
+    at = F.ascii(ch) - HANGUL[0]
+    letter = lambda first, n, i: F.substr(F.lit("".join(chr(first + k) for k in range(n))), (i + 1).cast("int"), F.lit(1))
+    tail = at % 28
+    return F.concat(letter(0x1100, 19, F.floor(at / 588)), letter(0x1161, 21, F.floor(at % 588 / 28)),
+                    F.when(tail > 0, letter(0x11A8, 27, tail - 1)).otherwise(F.lit("")))
+
+
+def expand(c: Column) -> Column:
+    """Replace what folds to several characters; texts without any such character pass by."""
+    table = F.from_json(F.lit(json.dumps(expansions())), "map<string,string>")
+    found = F.array_distinct(F.regexp_extract_all(c, F.lit(_expansion_class()), F.lit(0)))
+    # what comes in holds no character of the class, so the order of replacements does not matter
+    whole = F.aggregate(found, c, lambda text, ch: F.replace(text, ch, F.coalesce(F.element_at(table, ch), _jamo(ch))))
+    return F.when(F.octet_length(c) == F.length(c), c).when(c.rlike(_expansion_class()), whole).otherwise(c)
 
 
 def strip_accents(c: Column, exact: bool = False) -> Column:
-    """Accent-fold a string Column.
+    """Accent-fold a string Column: NFKD without combining characters.
 
-    Default: one ``translate`` (JVM, codegen).  ``exact=True`` runs the full
-    NFKD through an Arrow-batched pandas UDF, which also expands ligatures.
+    Default: one ``translate``.  ``exact=True`` first expands what folds to several
+    characters (ligatures, fractions, Hangul) and folds all planes; native as well.
     """
-    global _nfkd_udf
-    if exact:
-        if _nfkd_udf is None:
-            _nfkd_udf = F.pandas_udf(_nfkd_strip_series, T.StringType())
-        return _nfkd_udf(c)
     src, dst = accent_table()
-    return F.translate(c, src, dst)
+    return F.translate(expand(c) if exact else c, src, dst)
 
 
 def fold_lower(c: Column, exact: bool = False) -> Column:

@@ -8,6 +8,7 @@ one-row aggregate broadcast back onto the rows.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from pyspark.sql import types as T
 from .. import config as C
 from ..functions.numbers import round_even, safe_double
 from ..functions.text import copy_fingerprint, extract_tokens, fold_lower, matches_any, trim_ws
+from .sketches import merge_reach, quantile_of, reach_sketches
 from ..sources.mapping import Mapping, norm_name, resolve_mapping, select_mapped
 
 # Formats tried in order for string dates (None = ISO-8601 cast rules).
@@ -51,14 +53,28 @@ def _parse(s: Column, fmt: str | None) -> Column:
     return F.try_to_timestamp(s, F.lit(fmt))
 
 
-def choose_date_format(df: DataFrame, col: str, formats: Sequence[str | None]) -> str | None:
+def choose_date_format(df: DataFrame, col: str, formats: Sequence[str | None], day_first: bool | None = None) -> str | None:
     """The format that parses most values of a text column, the first of equals.
 
     One choice for the whole column: ``03/04`` and ``26/03`` in one column are
-    read alike.  A single aggregate over that column."""
+    read alike.  A single aggregate over that column.  When day and month can be
+    told apart nowhere in it, ``day_first`` decides; without it the order of
+    ``formats`` does, with a warning."""
+    if day_first is not None:
+        first = "dd" if day_first else "MM"
+        formats = sorted(formats, key=lambda f: not (f or "").startswith(first))
     s = trim_ws(F.col(col).cast("string"))
     hits = df.agg(*[F.count(_parse(s, f)).alias(str(i)) for i, f in enumerate(formats)]).first()
-    return formats[max(range(len(formats)), key=lambda i: (hits[i], -i))]
+    best = max(range(len(formats)), key=lambda i: (hits[i], -i))
+    swapped = [f for i, f in enumerate(formats) if hits[i] == hits[best] > 0 and i != best and _swapped(f) == formats[best]]
+    if swapped and day_first is None:
+        warnings.warn(f"dates fit {formats[best]!r} and {swapped[0]!r} alike; pass day_first to name the order", stacklevel=2)
+    return formats[best]
+
+
+def _swapped(fmt: str | None) -> str | None:
+    """A format with day and month in the other order."""
+    return fmt and fmt.replace("MM", "\0").replace("dd", "MM").replace("\0", "dd")
 
 
 def parse_datetime(c: Column, dtype: T.DataType, formats: Sequence[str | None]) -> Column:
@@ -105,15 +121,16 @@ def narratives_array(lexicon: Sequence[C.Narrative], default: str = C.DEFAULT_NA
 def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.Narrative] = C.DEFAULT_LEXICON,
            date_formats: Sequence[str | None] = DEFAULT_DATE_FORMATS, exact_accents: bool = False,
            approx_p95: bool = False, streaming: bool = False, reach_p95: float | None = None,
-           with_risk: bool = True, with_fingerprint: bool = True, require_rows: bool = True) -> DataFrame:
+           with_risk: bool = True, with_fingerprint: bool = True, require_rows: bool = True, day_first: bool | None = None) -> DataFrame:
     """Raw posts -> enriched corpus (schema in FIXTURES.md §2).
 
     Rows whose date does not parse are dropped; a text column is read by the
     one of ``date_formats`` that parses most of it (name a single format to
-    skip that pass).  Post ids keep their type: integers stay integers, any
+    skip that pass, or ``day_first`` for dates that could be read either way).
+    Post ids keep their type: integers stay integers, any
     other id is text, and without an id column a hash of the mapped columns
     stands in.  ``approx_p95`` switches the
-    corpus-wide reach quantile to ``percentile_approx`` for very large data.
+    corpus-wide reach quantile to mergeable sketches for very large data.
     On a stream (``streaming=True``) the corpus quantile cannot be computed
     per row; ``reach_p95`` (e.g. from the batch corpus) is used instead, and
     without it the reach term of the risk level is left out.
@@ -129,7 +146,7 @@ def enrich(raw: DataFrame, mapping: Mapping | None = None, lexicon: Sequence[C.N
     col = lambda logical: F.col(f"src_{logical}")
 
     if isinstance(types["src_date"], T.StringType) and len(date_formats) > 1 and not streaming:
-        date_formats = [choose_date_format(src, "src_date", date_formats)]
+        date_formats = [choose_date_format(src, "src_date", date_formats, day_first)]
     src = src.withColumn("dt", parse_datetime(col("date"), types["src_date"], date_formats)).where(F.col("dt").isNotNull())
     # nothing left after dropping bad dates is an error (a limit-1 probe:
     # stops at the first valid row)
@@ -218,9 +235,9 @@ def reach_quantile(df: DataFrame, q: float = C.REACH_QUANTILE, approx: bool = Fa
 
     Exact by default, without funnelling every distinct value through one
     task (what Spark's ``percentile`` does in its final merge): see
-    :func:`exact_quantile`.  ``approx`` uses ``percentile_approx``."""
+    :func:`exact_quantile`.  ``approx`` merges one KLL sketch a date."""
     if approx:
-        return df.agg(F.percentile_approx("reach", q, 100000).cast("double").alias("reach_p95"))
+        return merge_reach(reach_sketches(df)).select(quantile_of(F.col("sketch"), F.lit(q)).alias("reach_p95"))
     value = exact_quantile(df, "reach", q)
     return df.sparkSession.createDataFrame([(value,)], "reach_p95 double")
 

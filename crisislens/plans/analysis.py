@@ -32,9 +32,14 @@ def analyze_periods(E: DataFrame, periods: DataFrame, top_n: int = 10) -> dict[s
     empty = periods.select("period_id").distinct().join(seen, "period_id", "left_anti").orderBy("period_id").limit(5).collect()
     if empty:
         raise ValueError("no post in period " + ", ".join(r["period_id"] for r in empty))
-    t = PeriodTables(Ep, E)
+    return analysis_of(PeriodTables(Ep, E), top_n)
+
+
+def analysis_of(t: PeriodTables, top_n: int = 10) -> dict[str, DataFrame]:
+    """The analysis from per-period tables."""
+    Ep = t.posts
     return {
-        "periode": Ep.groupBy(*BY).agg(F.min("dt").alias("start"), F.max("dt").alias("end")),
+        "periode": t.kpis.select(*BY, F.col("debut").alias("start"), F.col("fin").alias("end")),
         "kpis": t.kpis,
         "crisis_velocity_score": t.velocity,
         "top_authors": t.authors(top_n),

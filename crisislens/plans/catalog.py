@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import q_corpus, q_metrics, q_narratives, q_periods, q_propagation, q_reports, q_rules, q_segments  # noqa: F401  (registration side effects)
+from . import q_corpus, q_ingest, q_metrics, q_narratives, q_periods, q_propagation, q_reports, q_rules, q_segments  # noqa: F401  (registration side effects)
 from .registry import REGISTRY, Query  # noqa: F401
 
 

@@ -133,3 +133,38 @@ ALL_CHANNELS = tuple(c for c, _ in CHANNEL_TEMPLATES)
 def message_pack_all_channels(spark, sf_dir):
     E, Ep = _periods(spark, sf_dir)
     return ST.message_pack(ST.strategy_rows(Ep, E), ALL_CHANNELS)
+
+
+_SCORES = """SELECT p.period_id, p.score AS crisis_score, crisis_level(p.score) AS niveau, crisis_priority(p.score) AS priority, n.narrative, n.messages,
+  n.strategic_risk_score, narrative_risk_label(n.strategic_risk_score) AS risk_label, response_angle(n.narrative) AS angle_de_reponse,
+  response_posture(n.narrative, p.score) AS posture
+FROM (SELECT period_id, crisis_velocity_score(count(*), span_hours(min(dt), max(dt)), max(r.ref_messages), max(span_hours(r.ref_start, r.ref_end)), sum(reach),
+        max(r.ref_reach), 100D * count_if(sentiment IN {negative}) / count(*), 100D * count_if(is_retweet) / count(*), avg(risk_level)) AS score
+      FROM {posts} CROSS JOIN {span} r GROUP BY period_id) p
+JOIN (SELECT x.period_id, narrative, count(*) AS messages, strategic_risk_score(100D * count(*) / max(n_posts), sum(reach), sum(shares),
+        100D * count_if(sentiment IN {negative}) / count(*), avg(risk_level)) AS strategic_risk_score
+      FROM (SELECT period_id, explode_outer(narratives) AS narrative, reach, shares, sentiment, risk_level FROM {posts}) x
+      JOIN (SELECT period_id, count(*) AS n_posts FROM {posts} GROUP BY period_id) t ON t.period_id = x.period_id
+      GROUP BY x.period_id, narrative) n ON n.period_id = p.period_id"""
+
+
+def _scores_sql() -> str:
+    from .q_narratives import _angle_sql, _label_sql
+    from .report_sql import narratives_report_parts
+    posture = _rules_sql("lower(narrative)", RU.POSTURE_RULES, f"CASE WHEN f.score >= 60 THEN {q(RU.POSTURE_HIGH)} ELSE {q(RU.POSTURE_DEFAULT)} END")
+    return with_e_ctes(_CV_CTES + narratives_report_parts()[0], f"""SELECT f.period_id, f.score AS crisis_score,
+ CASE WHEN f.score >= 80 THEN 'CRISE FORTE' WHEN f.score >= 60 THEN 'CRISE ÉLEVÉE' WHEN f.score >= 40 THEN 'CRISE MODÉRÉE' ELSE 'SIGNAL FAIBLE / BRUIT' END AS niveau,
+ {_PRIORITY.replace('score', 'f.score')} AS priority, narrative, ys.messages, ys.score AS strategic_risk_score, {_label_sql('ys.score')} AS risk_label,
+ {_angle_sql('narrative')} AS angle_de_reponse, {posture} AS posture FROM f JOIN ys USING (period_id)""")
+
+
+@register("scores_sql", _scores_sql(), "X1, X2, C3, C4, C6, C7, C8 as SQL functions in a query written in SQL")
+def scores_sql(spark, sf_dir):
+    from ..config import NEGATIVE_SENTIMENTS
+    from ..functions.sql_functions import register_sql_functions
+    from ..operators.periods import corpus_span
+    from .q_periods import stored_periods
+    register_sql_functions(spark)
+    E, Ep = stored_periods(spark, sf_dir)
+    negative = "(" + ", ".join(q(x) for x in NEGATIVE_SENTIMENTS) + ")"
+    return spark.sql(_SCORES.replace("{negative}", negative), posts=Ep, span=corpus_span(E))

@@ -28,11 +28,10 @@ def file_facts(spark: SparkSession, path: str, recursive: bool = False, glob: st
         "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("at"))
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    first = lines.where("block = 0").groupBy("path").agg(F.min("at").alias("at"))
-    header = lines.join(F.broadcast(first), ["path", "at"]).select("path", F.hex(F.col("value").cast("binary")).alias("header"))
-    facts = lines.groupBy("path").agg(F.min(F.expr("is_valid_utf8(value)")).alias("utf8"), F.max(quotes % 2).alias("odd"))
+    header = F.hex(F.min_by(F.col("value").cast("binary"), F.when(F.col("block") == 0, F.col("at"))))
+    facts = lines.groupBy("path").agg(F.min(F.expr("is_valid_utf8(value)")).alias("utf8"), F.max(quotes % 2).alias("odd"), header.alias("header"))
     out = []
-    for r in facts.join(header, "path").collect():
+    for r in facts.where("header IS NOT NULL").collect():
         encoding = "UTF-8" if r["utf8"] else "ISO-8859-1"
         line = bytes.fromhex(r["header"]).decode(encoding).lstrip("\ufeff").rstrip("\r")
         counts = {d: line.count(d) for d in SNIFF_DELIMITERS}
@@ -46,15 +45,14 @@ def file_facts(spark: SparkSession, path: str, recursive: bool = False, glob: st
 def read_csv_files(spark: SparkSession, facts: list[dict], multiline: bool | None = None) -> DataFrame:
     """Files of one header, encoding and separator are read together; the groups are united by column name.
 
-    ``multiline`` makes a file one task, so by default only groups with a value
-    of several lines are read that way.
+    ``multiline`` makes a file one task, so by default only files with a value of
+    several lines are read that way, apart from the rest of their group.
     """
     groups: dict[tuple, list[dict]] = {}
     for f in facts:
-        groups.setdefault((f["header"], f["encoding"], f["sep"]), []).append(f)
+        groups.setdefault((f["header"], f["encoding"], f["sep"], f["multiline"] if multiline is None else multiline), []).append(f)
     parts = []
-    for (_, encoding, sep), files in groups.items():
-        whole = any(f["multiline"] for f in files) if multiline is None else multiline
+    for (_, encoding, sep, whole), files in groups.items():
         parts.append(spark.read.option("header", "true").option("multiLine", str(whole).lower()).option("escape", '"')
                      .option("encoding", encoding).option("sep", sep).option("inferSchema", "false").csv([f["path"] for f in files]))
     if not parts:
@@ -79,9 +77,11 @@ def read_dataset(spark: SparkSession, path: str, fmt: str | None = None, recursi
     return read_csv_files(spark, file_facts(spark, path, recursive, glob), multiline)
 
 
-def read_data_directory(spark: SparkSession, root: str, glob: str = "*.csv") -> DataFrame:
+def read_data_directory(spark: SparkSession, root: str, glob: str = "*.csv", exclude: tuple[str, ...] = ()) -> DataFrame:
     """Read every data file under ``root`` (recursively), leaving out data
-    dictionaries (file names containing one of ``DATA_EXCLUDE_WORDS``)."""
+    dictionaries (file names containing one of ``DATA_EXCLUDE_WORDS``) and files
+    with one of ``exclude`` in their path below ``root``."""
     facts = file_facts(spark, root, True, glob)
-    name = lambda f: f["path"].rsplit("/", 1)[-1].lower()
-    return read_csv_files(spark, [f for f in facts if not any(w in name(f) for w in DATA_EXCLUDE_WORDS)])
+    below = lambda f: f["path"].rsplit(root.rstrip("/").rsplit("/", 1)[-1] + "/", 1)[-1].lower()
+    left_out = lambda f: any(w in below(f).rsplit("/", 1)[-1] for w in DATA_EXCLUDE_WORDS) or any(w in below(f) for w in exclude)
+    return read_csv_files(spark, [f for f in facts if not left_out(f)])

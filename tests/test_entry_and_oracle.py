@@ -29,7 +29,10 @@ def test_oracle_parity_small(spark, name):
 
 def test_agent_context_fills_strategy_keys(spark):
     import json
-    row = entry.queries()["agent_context"](spark, SF_SMALL).orderBy("period_id").first()
+
+    from crisislens.plans import reports as RP
+    from crisislens.plans.q_periods import shared_tables
+    row = RP.agent_context(shared_tables(spark, SF_SMALL)).orderBy("period_id").first()
     doc = json.loads(row["agent_context"])
     a4 = doc["agent4_strategie"]
     assert len(a4["messages_prioritaires"]) == 4 and len(a4["plan_action"]) == 4
