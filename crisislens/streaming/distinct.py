@@ -37,7 +37,7 @@ def late_writer(spark: SparkSession, folder: str, watermark: str):
     def write(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
         # one row a batch; those of this batch and later ones are left of an attempt that failed
-        seen = (session.read.schema("batch bigint, latest timestamp_ntz").parquet(f"{folder}/latest").where(F.col("batch") < number)
+        seen = (session.read.schema("batch bigint, latest timestamp_ntz").option("recursiveFileLookup", "true").parquet(f"{folder}/latest").where(F.col("batch") < number)
                 if number else session.createDataFrame([], "batch bigint, latest timestamp_ntz"))
         bound = seen.agg((F.max("latest") - F.expr(f"INTERVAL {watermark}")).alias("bound"))
         late = batch.crossJoin(F.broadcast(bound)).where(F.col("dt") <= F.date_trunc("millisecond", F.col("bound"))).drop("bound")
