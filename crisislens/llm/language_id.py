@@ -4,10 +4,10 @@ A raw-content dictionary of each language is a bounded sample of its training
 texts, with pieces from all over each of them.  A text is compressed with every
 dictionary, piece by piece, over its whole length; the language whose dictionary
 gives the fewest bytes wins.  A larger dictionary saves more bytes in any
-language, so dictionaries are compared at equal size: those of DICTIONARY_CHARS
-first, then, step by step, the smaller ones against the winner so far with its
-dictionary cut to their size.  A small dictionary is weak evidence and has to win
-by the more, the smaller it is (BAR).  So a rare language takes nothing from the
+language, so dictionaries are compared at equal size: the largest first, then each
+smaller one, whole, against the winner so far with its dictionary cut to the same
+size.  A small dictionary is weak evidence and has to win by the more, the smaller
+it is (BAR, nothing at DICTIONARY_CHARS).  So a rare language takes nothing from the
 dictionaries of others.  A
 narrow margin is a rejection: the column ``accepted`` is false, while the
 nearest language stays named.  Letters alone are compressed, in lower case:
@@ -32,7 +32,6 @@ SAMPLE_TEXTS = 192               # texts of a language's sample at most: the dic
 SAMPLE_CHARS = 1_000             # characters taken of each of them
 SAMPLE_PIECES = 5                # in so many pieces spread over the text
 DICTIONARY_CHARS = 160_000       # a dictionary has this size at most
-STEP = 1.5                       # smaller ones are cut to the next of the sizes DICTIONARY_CHARS / STEP ** k
 BAR = 0.01                       # relative bytes by which a dictionary of a quarter of DICTIONARY_CHARS has to win
 PIECE_BYTES = 2_048              # a text is compressed in pieces of this size
 LEVEL = 3
@@ -77,10 +76,7 @@ def rounds(dictionaries: tuple[tuple[str, bytes], ...]) -> list[tuple[int, list[
     """(size, languages by place) from the largest size down; a size is in characters."""
     found: dict[int, list[int]] = {}
     for i, (_, blob) in enumerate(dictionaries):
-        n, size = len(blob.decode("utf-8", "ignore")), float(DICTIONARY_CHARS)
-        while size > max(n, 1):
-            size /= STEP
-        found.setdefault(int(size), []).append(i)
+        found.setdefault(max(1, len(blob.decode("utf-8", "ignore"))), []).append(i)
     return sorted(found.items(), reverse=True)
 
 

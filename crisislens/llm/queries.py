@@ -16,8 +16,7 @@ TOKENIZER = "byte_bpe_50k.json"
 
 # The rules of the URL query, (verdict, host, path).
 URL_RULES = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
-# Host words whose pages make up the blocklist of the URL query.
-LISTED_WORDS = ("spam", "pills", "casino", "malware", "phish")
+MIRROR_HOSTS = 2                 # the URL query lists paths that so many hosts or more serve
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,17 +50,16 @@ def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    """The blocklist: URLs whose host holds one of LISTED_WORDS."""
-    host = url_filter.url_host(F.col("url"))
-    word = F.lit(False)
-    for w in LISTED_WORDS:
-        word = word | host.contains(w)
-    return pages.where(word).select("url")
+    """The blocklist: URLs of mirrored paths, which MIRROR_HOSTS or more hosts serve; home pages are none."""
+    u = F.col("url")
+    placed = pages.select("url", F.regexp_replace(url_filter.url_host(u), r"^www\.", "").alias("_h"), F.regexp_replace(url_filter.url_path(u), "/+$", "").alias("_p")).where("_p <> ''")
+    mirrored = placed.select("_p", "_h").distinct().groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= MIRROR_HOSTS).select("_p")
+    return placed.join(mirrored, "_p", "left_semi").select("url")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return url_filter.filter_urls(pages, listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+    return url_filter.filter_urls(pages, listed_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "listed")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -152,7 +150,6 @@ met AS (SELECT d.k AS doc_id, b.k AS item_id, count(*) AS c FROM d_sh d JOIN b_s
 SELECT x.doc_id, x.item_id, n.n AS n_item, x.c AS n_shared, x.c / n.n AS containment
 FROM met x JOIN b_n n ON n.k = x.item_id WHERE 100 * x.c >= 75 * n.n"""
 
-_LISTED = " OR ".join(f"contains(host, '{w}')" for w in LISTED_WORDS)
 _FITS = {h + p: f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for _, h, p in URL_RULES}
 _LONGEST = sorted(URL_RULES, key=lambda r: -len(r[1] + r[2]))
 OP5_SQL = f"""WITH parts AS (
@@ -163,11 +160,13 @@ OP5_SQL = f"""WITH parts AS (
   FROM pages),
 canon AS (SELECT *, CASE WHEN contains(url, '://') THEN regexp_replace(host, '^www\\.', '') || regexp_replace(path, '/+$', '')
     || CASE WHEN query <> '' THEN '?' || query ELSE '' END END AS c FROM parts),
-listed AS (SELECT DISTINCT c FROM canon WHERE ({_LISTED}) AND c IS NOT NULL)
+placed AS (SELECT c, regexp_replace(host, '^www\\.', '') AS h, regexp_replace(path, '/+$', '') AS p FROM canon WHERE regexp_replace(path, '/+$', '') <> ''),
+listed AS (SELECT DISTINCT c FROM placed WHERE c IS NOT NULL AND p IN (SELECT p FROM placed GROUP BY p HAVING count(DISTINCT h) >= {MIRROR_HOSTS}))
 SELECT page_id, host, path,
   CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{h + p}'" for _, h, p in _LONGEST)} END AS rule,
   CASE {" ".join(f"WHEN {_FITS[h + p]} THEN '{v}'" for v, h, p in _LONGEST)}
-    WHEN EXISTS (SELECT 1 FROM listed l WHERE l.c = canon.c) THEN 'block' ELSE 'allow' END AS verdict
+    WHEN EXISTS (SELECT 1 FROM listed l WHERE l.c = canon.c) THEN 'block' ELSE 'allow' END AS verdict,
+  EXISTS (SELECT 1 FROM listed l WHERE l.c = canon.c) AS listed
 FROM canon"""
 
 OP11_SQL = r"""WITH w AS (

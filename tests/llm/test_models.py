@@ -28,6 +28,33 @@ def test_language_edges(spark, edge, nothing):
     assert set(language_id.fit(edge)) == {"en", "de", "es"} and language_id.classify(nothing, model).collect() == []
 
 
+def test_sizes_by_plain_compression(spark):
+    """Predictions from compressing every text anew, dictionary by dictionary, at the smaller of two sizes."""
+    import re
+    import zstandard
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") % 4 == 2).limit(60)
+    model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet").where(F.col("doc_id") % 4 != 2))
+    assert len({len(x) for x in model.values()}) > 1 and max(map(len, model.values())) > 1.2 * min(map(len, model.values()))
+    whole = {k: v.decode() for k, v in model.items()}
+
+    def size(raw, sample):
+        c = zstandard.ZstdCompressor(level=language_id.LEVEL, dict_data=zstandard.ZstdCompressionDict(sample.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT),
+                                     write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(c.compress(raw[i:i + language_id.PIECE_BYTES])) for i in range(0, len(raw), language_id.PIECE_BYTES))
+
+    names = sorted(whole, key=lambda k: -len(whole[k]))                          # no two of one size here
+    assert len({len(x) for x in whole.values()}) == len(whole)
+    for r in language_id.classify(docs, model).join(docs, "doc_id").collect():
+        raw = re.sub(r"[\W\d_]+", " ", r["text"]).lower().encode()
+        best = names[0]
+        for k in names[1:]:
+            n = len(whole[k])
+            bar = np.exp(language_id.BAR * (np.sqrt(language_id.DICTIONARY_CHARS / n) - 1))
+            best = k if size(raw, whole[k]) * bar < size(raw, whole[best][:n]) else best
+        assert r["lang_pred"] == best, r["doc_id"]
+
+
 def test_a_rare_language_changes_no_other(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     train = docs.where(F.col("doc_id") % 4 != 2)

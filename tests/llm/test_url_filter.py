@@ -39,6 +39,7 @@ def test_pages_against_an_exact_list(spark):
     listed = queries.listed_urls(pages)
     exact = {r[0] for r in listed.select(url_filter.canonical_url(F.col("url"))).collect()}
     assert exact
+    assert spark.read.parquet("/root/testdata/sf0.1/pages.parquet").transform(lambda p: url_filter.filter_urls(p, queries.listed_urls(p), queries.URL_RULES)).where("rule is null and listed").count() > 50
     got = url_filter.filter_urls(pages, listed, queries.URL_RULES).join(pages.select("page_id", "url", url_filter.canonical_url(F.col("url")).alias("c")), "page_id").collect()
     assert len(got) == pages.count()
     for r in got:
@@ -64,5 +65,5 @@ def test_filter_has_no_false_negatives(spark):
 
 
 def test_empty(spark):
-    none = spark.createDataFrame([], "page_id long, url string")
+    none = spark.createDataFrame([], "page_id long, url string, host string, _c string, _p string, _h string")
     assert url_filter.filter_urls(none, none.select("url"), queries.URL_RULES).collect() == []
