@@ -19,10 +19,13 @@ from crisislens.operators import metrics as M
 from crisislens.operators import narratives as N
 from crisislens.operators import periods as P
 from crisislens.operators import propagation as PR
+from crisislens.operators import segments as SG
 from crisislens.operators import strategy as ST
 from crisislens.operators import timeline as TL
 from crisislens.operators.enrich import enrich, with_risk_level
 from crisislens.plans import reports as RP
+from crisislens.plans.q_segments import windows
+from crisislens.plans.tables import PeriodTables
 from crisislens.session import get_spark, materialize
 from crisislens.sources.fixtures import POSTS_MAPPING, raw_posts
 
@@ -79,11 +82,20 @@ def main() -> None:
                                                   copies, TL.bursts(E)).collect())
     timed("message_pack", lambda: ST.message_pack(ST.strategy_rows(Ep, E)).collect())
     stored = timed("period_posts", lambda: materialize(Ep, "bench-period-posts"))
-    for name, build in (("brief_rows", RP.brief_rows), ("strategy_report", RP.strategy_report), ("crisis_context", RP.crisis_context),
-                        ("agent_context", RP.agent_context)):
+    for name, build in (("brief_rows", RP.brief_rows), ("strategy_report", RP.strategy_report), ("crisis_context", RP.crisis_context)):
         timed(name, lambda: build(stored, E).collect())            # five rows each
     timed("narratives_report", lambda: RP.narratives_report(stored).collect())
     timed("propagation_report", lambda: RP.propagation_report(stored).collect())
+    # reports that share tables: the tables are written by the first of them
+    t = PeriodTables(stored, E, keep=True)
+    timed("agent_context", lambda: RP.agent_context(t).collect())
+    timed("context_json", lambda: RP.context_json(t).collect())
+    questions = conv.where(F.col("role") == "user").select(
+        "conv_id", "turn", F.col("text").alias("question"), F.concat(F.lit("peak_day_"), (F.col("conv_id") % 5 + 1).cast("string")).alias("period_id"))
+    timed("answers", lambda: RP.answers(questions, t, keys=("conv_id", "turn")).agg(F.count("answer"), F.sum(F.length("answer"))).collect())
+    cuts = SG.Cuts(materialize(windows(E), "bench-windows"))
+    segments = timed("period_segments", lambda: materialize(SG.segment_table(E, cuts), "bench-segments"))
+    timed("period_segments_kpis", lambda: SG.segment_kpis(segments, cuts.covered()).collect())           # 300 rows
     timed("guardrail", lambda: conv.select(*[c.alias(k) for k, c in RU.guardrail(F.col("text")).items()])
           .groupBy("statut").count().collect())
 

@@ -325,13 +325,11 @@ def answers(questions: DataFrame, Ep: DataFrame | PeriodTables, E: DataFrame | N
     a4 = strategy_report(t).select(*BY, "priority", "posture", F.col("markdown").alias("a4_md"))
     a5 = pack_report(t).select(*BY, F.col("markdown").alias("a5_md"))
     ctx = _join_all(brief, kp, a2, a3, prop_json, a4, a5)
-    # one context row per period; a hot period is a skewed key, which AQE splits
-    x = questions.join(ctx, list(BY), "left")
     known = F.col("niveau").isNotNull()
     na = F.lit(TX.NOT_AVAILABLE)
-    route = RU.route_question(F.col(text_col))
-    has = lambda src: F.array_contains(route, src)
-    srcs = [r[0] for r in RU.ROUTES]
+    route = F.col("_route")
+    srcs = [*(r[0] for r in RU.ROUTES), RU.ROUTE_FALLBACK]
+    # sections are made once a period and routes once a question, in front of the join
     sections_by_source = [fill(
         text, debut=ts_str(F.col("debut")), fin=ts_str(F.col("fin")), niveau=F.col("niveau"), score=s("crisis_velocity_score"),
         messages=format_int(F.col("messages")), auteurs=format_int(F.col("auteurs_uniques")), retweets=fmt_py(F.col("retweets_pct"), 1),
@@ -339,9 +337,10 @@ def answers(questions: DataFrame, Ep: DataFrame | PeriodTables, E: DataFrame | N
         coordination=F.when(F.col("coord_score") >= 100, F.lit("100")).otherwise(s("coord_score")), label=F.col("coord_label"),
         metriques=F.substring("prop_json", 1, 900), rapport3=shorten(F.col("a3_md"), 1600), priorite=F.col("priority"), posture=F.col("posture"),
         rapport4=shorten(F.col("a4_md"), 2200), rapport5=shorten(F.col("a5_md"), 2600)) for text in TX.ANSWER_SECTIONS]
-    sections = F.array_compact(F.array(
-        *[F.when(has(src), F.when(known, sec).otherwise(na))
-          for src, sec in zip((*srcs, RU.ROUTE_FALLBACK), sections_by_source, strict=True)]))
+    per_period = ctx.select(*BY, *[F.when(known, sec).otherwise(na).alias(f"_section{i}") for i, sec in enumerate(sections_by_source)])
+    # one row per period on this side; a hot period is a skewed key, which AQE splits
+    x = questions.withColumn("_route", RU.route_question(F.col(text_col))).join(per_period, list(BY), "left")
+    sections = F.array_compact(F.array(*[F.when(F.array_contains(route, src), F.coalesce(F.col(f"_section{i}"), na)) for i, src in enumerate(srcs)]))
     answer = F.when(F.size(route) == 0, F.lit(TX.ANSWER_EMPTY)).otherwise(F.concat(
         F.concat_ws("\n\n", sections), F.lit(TX.ANSWER_SOURCES_PREFIX), F.concat_ws(", ", route), F.lit(".")))
     return x.select(*keys, *BY, F.array_join(route, "|").alias("sources"), answer.alias("answer"),
