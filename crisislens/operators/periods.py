@@ -9,6 +9,8 @@ Periods may overlap: a post then belongs to each of them.
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,23 @@ def corpus_span(E: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("ref_messages"), F.sum("reach").alias("ref_reach"))
 
 
+KNOWN_PERIODS = 1000             # rows of a period table that the driver holds at most
+KNOWN_DAYS = 1000                # days in a filter at most
+
+
+def _days_of(known: list) -> list | None:
+    """The days that closed periods touch; None if they are too many for a filter."""
+    days: set = set()
+    for r in known:
+        n = (r["end"].date() - r["start"].date()).days + 1
+        if n > KNOWN_DAYS:
+            return None
+        days |= {r["start"].date() + timedelta(days=i) for i in range(n)}
+        if len(days) > KNOWN_DAYS:
+            return None
+    return sorted(days)
+
+
 def assign_periods(E: DataFrame, periods: DataFrame) -> DataFrame:
     """E rows tagged with every period that contains them (inclusive bounds).
 
@@ -39,8 +58,23 @@ def assign_periods(E: DataFrame, periods: DataFrame) -> DataFrame:
     probe per post-day instead of a nested loop.  The planner broadcasts the
     expanded side if its measured size allows and else shuffles both sides
     (AQE splits a hot day).
+
+    The days that the periods touch are also a plain filter on ``date``: it goes
+    below the text work of a corpus that is still being enriched, so the texts of
+    other days are not read.  Period tables of more than ``KNOWN_PERIODS`` rows, or
+    that touch more than ``KNOWN_DAYS`` days, are only joined.
     """
-    has_open = not periods.where(F.col("start").isNull() | F.col("end").isNull()).isEmpty()
+    known = periods.select("period_id", "start", "end").limit(KNOWN_PERIODS + 1).collect()
+    few = len(known) <= KNOWN_PERIODS and all(t == "timestamp_ntz" for c, t in periods.dtypes if c in ("start", "end"))
+    if few:                                  # the periods' own plan (peaks, say) is not run again
+        periods = E.sparkSession.createDataFrame([tuple(r) for r in known], periods.select("period_id", "start", "end").schema)
+        has_open = any(r["start"] is None or r["end"] is None for r in known)
+    else:
+        has_open = not periods.where(F.col("start").isNull() | F.col("end").isNull()).isEmpty()
+    if few and not has_open:
+        touched = _days_of(known)
+        if touched is not None:
+            E = E.where(E["date"].isin(touched))
     if has_open:
         span = corpus_span(E).select("ref_start", "ref_end")
         periods = periods.crossJoin(F.broadcast(span)).withColumns({

@@ -27,6 +27,7 @@ def analyze_periods(E: DataFrame, periods: DataFrame, top_n: int = 10) -> dict[s
 
     A period without any post is an error.
     """
+    periods = store(periods.select("period_id", "start", "end"), "periods")
     Ep = period_posts(E, periods)
     seen = Ep.select("period_id").distinct()
     empty = periods.select("period_id").distinct().join(seen, "period_id", "left_anti").orderBy("period_id").limit(5).collect()
