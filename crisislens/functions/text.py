@@ -222,12 +222,29 @@ def extract_tokens(c: Column, sigil: str) -> Column:
     return F.when(c.isNull(), F.lit(None)).when(F.contains(c, F.lit(sigil)), found).otherwise(F.array().cast("array<string>"))
 
 
+FINGERPRINT_LOOK = 2             # times the length of a fingerprint that is tried before the whole text
+
+
 def copy_fingerprint(text: Column, max_chars: int = 220) -> Column:
     """Template fingerprint of a post for copy-paste detection.
 
     lower -> links become `` URL `` -> mentions `` @user `` -> hashtags
     `` #tag `` -> whitespace runs collapse -> trim -> first ``max_chars``.
+
+    No mask and no run spans a plain space that stands before it, so the template of
+    the words up to a space begins the template of the whole text.  When it holds
+    ``max_chars`` already it is the answer; else the whole text is worked through.
     """
+    at = FINGERPRINT_LOOK * max_chars
+    head = F.substring(text, 1, at)
+    words = F.left(head, F.length(head) - F.length(F.substring_index(head, " ", -1)))
+    # the guard of short texts leaves them one way through
+    return F.transform(F.array(F.when(F.length(text) > at, _template(words, max_chars))),
+                       lambda x: F.when(F.length(x) >= max_chars, x).otherwise(_template(text, max_chars)))[0]
+
+
+def _template(text: Column, max_chars: int) -> Column:
+    """The first ``max_chars`` of the masked text; see :func:`copy_fingerprint`."""
     def where_found(t: Column, needle: str, pattern: str, mask: str) -> Column:
         # bound to a lambda variable, so the text in front is computed once
         return F.transform(F.array(t), lambda x: F.when(F.contains(x, F.lit(needle)), F.regexp_replace(x, pattern, mask)).otherwise(x))[0]

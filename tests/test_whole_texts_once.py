@@ -35,3 +35,13 @@ def test_periods_beyond_the_filter_are_joined(spark, monkeypatch, known, days):
     monkeypatch.setattr(P, "KNOWN_DAYS", days)
     got = {(r.period_id, r.post_id) for r in P.assign_periods(E, periods).collect()}
     assert got == {("a", 0), ("a", 1), ("b", 1), ("b", 2), ("b", 3), ("b", 4), ("d", 4), ("d", 5), ("d", 6)}
+
+
+def test_fingerprint_from_the_first_words_is_that_of_the_whole(spark):
+    words = "Ministère ΟΔΟΣ #Fonds @user_1 https://t.co/ab  d aide\t\n"
+    texts = [None, "", "court", words * 40, " " * 3000 + words * 9, "a" * 3000, "https://t.co/" + "x" * 3000 + " fin",
+             "@" + "u" * 430 + " " + words * 20, "  " * 500 + "fin " * 300, "x" * 219 + " " * 500 + "y z", "x" * 439 + "ΟΣ" * 40,
+             *[words * 30 + "z" * k for k in range(9)], *["é" * k + words * 12 for k in range(200, 240)], "#tag @u " * 300, "http:// " * 200]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert df.where(~copy_fingerprint(F.col("t")).eqNullSafe(_template(F.col("t"), 220))).count() == 0
+    assert df.where(F.length(copy_fingerprint(F.col("t"))) == 220).count() > 20
