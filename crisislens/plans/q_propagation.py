@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import config as C
 from ..operators import propagation as PR
 from ..operators import timeline as TL
 from .oracle import FINGERPRINT_SQL, q, with_e_ctes
 from .registry import corpus, register, spct, sround_py
+from .tables import store
 
 PROP_CTES = f"""ph AS (SELECT hour, count(*) AS c FROM e GROUP BY hour),
 pb AS (SELECT min(dt) AS "start", max(dt) AS "end", count(*) AS messages, count_if(is_retweet) AS rt,
@@ -88,6 +90,8 @@ cs AS (SELECT *, {sround_py('rt_c + conc_c + copy_c + burst_c', 1)} AS raw FROM
    lambda x: x IS NOT NULL), '|') AS operational_reading FROM cs"""),
           "X3 coordination score, C9 label, C11 operational reading (from A13, A14, A15, A16)")
 def coordination(spark, sf_dir):
-    E = corpus(spark, sf_dir)
+    # the columns of its four tables, written once: of a text, the fingerprint and the example are all they read
+    E = store(corpus(spark, sf_dir).select("post_id", "dt", "hour", "author", "is_retweet", "reach", "impressions", "shares", "likes", "fingerprint",
+                                           F.substring("text_raw", 1, C.COPY_EXAMPLE_CHARS).alias("text_raw")), "coordination")
     out = PR.coordination(PR.propagation_metrics(E), PR.concentration_metrics(E), PR.copy_patterns(E), TL.bursts(E))
     return out.withColumn("operational_reading", F.array_join("operational_reading", "|"))
