@@ -45,3 +45,8 @@ def test_fingerprint_from_the_first_words_is_that_of_the_whole(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     assert df.where(~copy_fingerprint(F.col("t")).eqNullSafe(_template(F.col("t"), 220))).count() == 0
     assert df.where(F.length(copy_fingerprint(F.col("t"))) == 220).count() > 20
+
+
+def test_coordination_and_messages_read_stored_posts(spark):
+    for name in ("coordination", "message_pack", "message_pack_all_channels"):
+        assert "events.parquet" not in _plan(REGISTRY[name].build(spark, SF_SMALL)), name
