@@ -7,12 +7,13 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import periods as P
 from ..operators.enrich import enrich
 from ..session import checkpoint_root
 from ..sources.fixtures import POSTS_MAPPING, raw_posts
 from ..sources.readers import read_data_directory
 from .oracle import with_e_ctes
-from .q_periods import PERIOD_CTES, stored_periods
+from .q_periods import PERIOD_CTES
 from .registry import corpus, register
 from .tables import PeriodTables
 
@@ -98,18 +99,18 @@ def _bundle_sql() -> str:
 @register("export_bundles", _bundle_sql(), "K1-K6 the export bundles: written, published by a manifest, read back and counted")
 def export_bundles(spark, sf_dir):
     from . import sinks as SK
-    from .analysis import analysis_of
-    from .tables import store
+    from .analysis import analysis_of, period_posts
     root = _folder(spark, "bundles")
-    E = store(corpus(spark, sf_dir), "corpus")
-    _, Ep = stored_periods(spark, sf_dir)
+    # the published corpus, by date, is what the other bundles read: one enrichment, written once
+    SK.export_corpus_bundle(corpus(spark, sf_dir), f"{root}/corpus")
+    _, E = SK.read_bundle(spark, f"{root}/corpus")["corpus_enrichi"]
+    Ep = period_posts(E, P.peak_day_periods(E, top=5))
     t = PeriodTables(Ep, E, keep=True)
     SK.export_analysis(analysis_of(t), f"{root}/analysis")
     SK.export_global_tables(E, f"{root}/global")
     SK.export_narratives(t, f"{root}/narratives")
     SK.export_propagation(t, f"{root}/propagation")
     SK.export_strategy(t, None, f"{root}/strategy")
-    SK.export_corpus_bundle(E, f"{root}/corpus")
     out = None
     for bundle in SK.published(spark, root):
         for name, (n, df) in SK.read_bundle(spark, f"{root}/{bundle}").items():

@@ -50,3 +50,19 @@ def test_fingerprint_from_the_first_words_is_that_of_the_whole(spark):
 def test_coordination_and_messages_read_stored_posts(spark):
     for name in ("coordination", "message_pack", "message_pack_all_channels"):
         assert "events.parquet" not in _plan(REGISTRY[name].build(spark, SF_SMALL)), name
+
+
+def test_bundles_enrich_the_corpus_once(spark, monkeypatch, tmpdir_path):
+    made = []
+
+    def counted(*a, **k):
+        made.append(a)
+        return corpus(spark)
+
+    monkeypatch.setattr(q_ingest, "corpus", counted)
+    monkeypatch.setattr(q_periods, "corpus", counted)
+    monkeypatch.setattr(q_ingest, "_folder", lambda spark, name: tmpdir_path)
+    for name in ("export_analysis", "export_global_tables", "export_narratives", "export_propagation", "export_strategy"):
+        monkeypatch.setattr(sinks, name, lambda *a: None)
+    rows = [tuple(r) for r in REGISTRY["export_bundles"].build(spark, SF_SMALL).collect()]
+    assert len(made) == 1 and rows == [("corpus", "corpus_enrichi", 7, True)]
