@@ -93,9 +93,11 @@ def matches_any(text: Column, patterns: list[str] | tuple[str, ...], text_is_low
     """Case-insensitive search for any of ``patterns`` in ``text``.
 
     Same truth value as ``text.rlike(alternation(patterns))`` but faster:
-    on lower-cased text, plain-literal patterns become byte-level
-    ``contains`` scans (Java's case-insensitive alternation crawls on long
-    texts) and only real regexes go to one ``rlike``."""
+    on lower-cased text, plain-literal patterns become ``contains`` scans
+    (Java's case-insensitive alternation crawls on long texts) and only real
+    regexes go to one ``rlike``.  The scans run on the text's bytes: UTF-8 holds
+    a text where its bytes hold the other's, and ``contains`` is faster on
+    binary values than on strings."""
     lowered = text if text_is_lower else F.lower(text)
     literals = list(dict.fromkeys(p.lower() for p in patterns if is_literal(p) and p.isascii()))
     regexes = [p for p in patterns if not (is_literal(p) and p.isascii())]
@@ -106,9 +108,14 @@ def matches_any(text: Column, patterns: list[str] | tuple[str, ...], text_is_low
         core = p.removeprefix(r"\b").removesuffix(r"\b").lower()
         return core if core and core != p.lower() and is_literal(core) and core.isascii() else None
 
-    terms = [F.contains(lowered, F.lit(lit)) for lit in literals]
+    raw = lowered.cast("binary")
+
+    def holds(literal: str) -> Column:
+        return F.contains(raw, F.lit(literal.encode()))
+
+    terms = [holds(lit) for lit in literals]
     # a literal between word bounds: the regex runs only where the literal occurs
-    terms += [F.contains(lowered, F.lit(bounded_literal(p))) & lowered.rlike(alternation([p])) for p in regexes if bounded_literal(p)]
+    terms += [holds(bounded_literal(p)) & lowered.rlike(alternation([p])) for p in regexes if bounded_literal(p)]
     rest = [p for p in regexes if not bounded_literal(p)]
     if rest:
         terms.append(lowered.rlike(alternation(rest)))

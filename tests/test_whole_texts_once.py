@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL, posts_df
 from test_periods import T, corpus
-from crisislens.functions.text import _template, copy_fingerprint
+from crisislens.functions.text import _template, alternation, copy_fingerprint, matches_any
 from crisislens.operators import metrics as M
 from crisislens.operators import periods as P
 from crisislens.operators.enrich import enrich
@@ -66,3 +66,13 @@ def test_bundles_enrich_the_corpus_once(spark, monkeypatch, tmpdir_path):
         monkeypatch.setattr(sinks, name, lambda *a: None)
     rows = [tuple(r) for r in REGISTRY["export_bundles"].build(spark, SF_SMALL).collect()]
     assert len(made) == 1 and rows == [("corpus", "corpus_enrichi", 7, True)]
+
+
+def test_literals_are_searched_in_the_bytes_of_the_text(spark):
+    pats = ("fonds", "fonds d aide", r"\bcnc\b", "3 m", "extreme-droite", "médias", r"taxes?")
+    texts = [None, "", "les fonds", "le cnc", "écnc", "cnc", "3 millions", "Extreme-Droite", "des médias", "medias", "😀fonds😀", "f́onds", "taxe", "fond"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(2)
+    found = matches_any(F.lower(F.col("t")), pats, text_is_lower=True)
+    assert df.where(~found.eqNullSafe(F.col("t").rlike(alternation(pats)))).count() == 0
+    assert df.where(found).count() == 8
+    assert "Contains(lower" not in _plan(df.select(found)) and "as binary)" in _plan(df.select(found))
