@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .buffers import CHUNK_BYTES, slices, word_hashes
+from .buffers import PIECE_BYTES, slices, word_hashes
 
 WORD_SLOTS = 2048
 RANK = 6
@@ -45,8 +45,8 @@ def byte_counts(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Occurrences of each byte value by row, counted in slices so that one very long row needs little memory."""
     rows = len(offsets) - 1
     hist = np.zeros(rows << 8, np.int64)
-    for a in range(0, len(raw), CHUNK_BYTES):
-        b = min(len(raw), a + CHUNK_BYTES)
+    for a in range(0, len(raw), PIECE_BYTES):
+        b = min(len(raw), a + PIECE_BYTES)
         of = np.searchsorted(offsets, np.arange(a, b), "right") - 1 if rows > 1 else 0
         hist += np.bincount((of << 8) + raw[a:b].astype(np.int64), minlength=rows << 8)
     return hist.reshape(rows, 256)
