@@ -34,19 +34,22 @@ def corpus_span(E: DataFrame) -> DataFrame:
 
 KNOWN_PERIODS = 1000             # rows of a period table that the driver holds at most
 KNOWN_DAYS = 1000                # days in a filter at most
+BROADCAST_DAYS = 100_000         # (period, day) rows sent to every executor at most
 
 
-def _days_of(known: list) -> list | None:
-    """The days that closed periods touch; None if they are too many for a filter."""
+def _days_of(known: list) -> tuple[list, int] | None:
+    """The days that closed periods touch, and the days of all periods together; None if the former are too many for a filter."""
     days: set = set()
+    pairs = 0
     for r in known:
         n = (r["end"].date() - r["start"].date()).days + 1
         if n > KNOWN_DAYS:
             return None
         days |= {r["start"].date() + timedelta(days=i) for i in range(n)}
+        pairs += max(n, 0)
         if len(days) > KNOWN_DAYS:
             return None
-    return sorted(days)
+    return sorted(days), pairs
 
 
 def assign_periods(E: DataFrame, periods: DataFrame) -> DataFrame:
@@ -55,9 +58,11 @@ def assign_periods(E: DataFrame, periods: DataFrame) -> DataFrame:
     Each period is expanded to the days it touches (open bounds clamp to the
     corpus span), then joined to posts on ``date`` with the exact bounds as a
     residual condition: an equi-join, so thousands of periods cost one hash
-    probe per post-day instead of a nested loop.  The planner broadcasts the
-    expanded side if its measured size allows and else shuffles both sides
-    (AQE splits a hot day).
+    probe per post-day instead of a nested loop.  Up to ``BROADCAST_DAYS``
+    expanded rows of known periods are broadcast, so posts stay where they are: a
+    shuffle by ``date`` would send whole texts to as many tasks as there are
+    days.  Else the planner broadcasts the expanded side if its measured size
+    allows, or shuffles both sides (AQE splits a hot day).
 
     The days that the periods touch are also a plain filter on ``date``: it goes
     below the text work of a corpus that is still being enriched, so the texts of
@@ -71,10 +76,9 @@ def assign_periods(E: DataFrame, periods: DataFrame) -> DataFrame:
         has_open = any(r["start"] is None or r["end"] is None for r in known)
     else:
         has_open = not periods.where(F.col("start").isNull() | F.col("end").isNull()).isEmpty()
-    if few and not has_open:
-        touched = _days_of(known)
-        if touched is not None:
-            E = E.where(E["date"].isin(touched))
+    touched = _days_of(known) if few and not has_open else None
+    if touched is not None:
+        E = E.where(E["date"].isin(touched[0]))
     if has_open:
         span = corpus_span(E).select("ref_start", "ref_end")
         periods = periods.crossJoin(F.broadcast(span)).withColumns({
@@ -86,6 +90,8 @@ def assign_periods(E: DataFrame, periods: DataFrame) -> DataFrame:
         "period_id", "p_start", "p_end",
         F.explode(F.sequence(F.to_date("p_start"), F.to_date("p_end"), F.expr("INTERVAL 1 DAY"))).alias("p_date"),
     )
+    if touched is not None and touched[1] <= BROADCAST_DAYS:
+        days = F.broadcast(days)
     # Keyed on ``date``, the partition column of a materialized corpus, so a
     # small side also prunes the corpus files (dynamic partition pruning).
     joined = E.join(days, (E["date"] == days["p_date"]) & (E["dt"] >= days["p_start"]) & (E["dt"] <= days["p_end"]))

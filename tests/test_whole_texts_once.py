@@ -76,3 +76,13 @@ def test_literals_are_searched_in_the_bytes_of_the_text(spark):
     assert df.where(~found.eqNullSafe(F.col("t").rlike(alternation(pats)))).count() == 0
     assert df.where(found).count() == 8
     assert "Contains(lower" not in _plan(df.select(found)) and "as binary)" in _plan(df.select(found))
+
+
+@pytest.mark.parametrize("most, shuffled", [(100_000, False), (0, True)])
+def test_posts_are_not_shuffled_by_date(spark, monkeypatch, most, shuffled):
+    E = corpus(spark)
+    monkeypatch.setattr(P, "BROADCAST_DAYS", most)
+    periods = P.periods_frame(spark, [("a", T(1, 0), T(2, 12)), ("b", T(2, 0), T(3, 23))])
+    Ep = P.assign_periods(E, periods)
+    assert ("hashpartitioning(date" in _plan(Ep)) == shuffled
+    assert sorted((r.period_id, r.post_id) for r in Ep.collect()) == [("a", i) for i in range(5)] + [("b", i) for i in range(3, 7)]
