@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,12 +16,13 @@ from .tables import PeriodTables, store
 BY = ("period_id",)
 
 
-def period_posts(E: DataFrame, periods: DataFrame) -> DataFrame:
+def period_posts(E: DataFrame, periods: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """The posts of every period, written once, so that many tables share one pass over the texts (folded texts are left out).
 
-    A post is written once for each period that holds it; for many overlapping
+    With ``columns`` only these are worked out and written; see ``tables.read_by``.  A post is written once for each period that holds it; for many overlapping
     periods see ``operators.segments``."""
-    return store(assign_periods(E.drop("text_norm"), periods.select("period_id", "start", "end")), "period-posts")
+    Ep = assign_periods(E.drop("text_norm"), periods.select("period_id", "start", "end"))
+    return store(Ep if columns is None else Ep.select(*BY, *columns), "period-posts")
 
 
 def analyze_periods(E: DataFrame, periods: DataFrame, top_n: int = 10) -> dict[str, DataFrame]:

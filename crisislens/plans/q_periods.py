@@ -28,12 +28,13 @@ def _periods(spark, sf_dir):
     return E, P.assign_periods(E, periods.select("period_id", "start", "end"))
 
 
-def stored_periods(spark, sf_dir):
-    """What reports read many times, stored: the corpus' times and reach, and the posts of its five busiest days."""
+def stored_periods(spark, sf_dir, *names):
+    """What reports read many times, stored: the corpus' times and reach, and the posts of its five busiest days
+    (with the columns that the named tables read, or all)."""
     from .analysis import period_posts
-    from .tables import store
+    from .tables import read_by, store
     E = corpus(spark, sf_dir)
-    return store(E.select("dt", "reach"), "corpus-span"), period_posts(E, P.peak_day_periods(E, top=5))
+    return store(E.select("dt", "reach"), "corpus-span"), period_posts(E, P.peak_day_periods(E, top=5), read_by(*names) if names else None)
 
 
 @register("period_engagement_types", with_e_ctes(PERIOD_CTES, f"""SELECT period_id, engagement_type, count(*) AS count,
@@ -187,8 +188,8 @@ def focus_peak_days(spark, sf_dir):
     return present(TL.hourly_timeline(P.focus_days(E, 2)), TL_ROUND)
 
 
-def shared_tables(spark, sf_dir):
-    """The per-period tables of the five busiest days, each written once, for reports that read many of them."""
+def shared_tables(spark, sf_dir, *names):
+    """The per-period tables of the five busiest days (the named ones, or all), each written once, for reports that read many of them."""
     from .tables import PeriodTables
-    E, Ep = stored_periods(spark, sf_dir)
+    E, Ep = stored_periods(spark, sf_dir, *names)
     return PeriodTables(Ep, E, keep=True)

@@ -13,6 +13,7 @@ from .report_sql import _fint, _ts, fill_sql, narratives_report_parts, narrative
 from .oracle import q, with_e_ctes
 from .q_periods import _CV_CTES, PERIOD_CTES, shared_tables, stored_periods as _periods
 from .registry import r6, register, sln1p, sr6
+from .tables import BRIEF, COORDINATION, STRATEGY
 
 
 _NEG = "(" + ", ".join(q(x) for x in NEGATIVE_SENTIMENTS) + ")"
@@ -73,13 +74,13 @@ FROM kp JOIN f USING (period_id) LEFT JOIN nl USING (period_id) LEFT JOIN sd USI
 
 @register("brief_rows", BRIEF_SQL, "R1 period analysis, R2 deterministic brief (text per period)")
 def brief_rows(spark, sf_dir):
-    E, Ep = _periods(spark, sf_dir)
+    E, Ep = _periods(spark, sf_dir, *BRIEF)
     return RP.brief_rows(Ep, E)
 
 
 @register("narratives_report", narratives_report_sql(), "R3 narratives/actors report (markdown per period)")
 def narratives_report(spark, sf_dir):
-    _, Ep = _periods(spark, sf_dir)
+    _, Ep = _periods(spark, sf_dir, "risks", "actors", "mutations")
     return RP.narratives_report(Ep)
 
 
@@ -165,7 +166,7 @@ FROM xcs LEFT JOIN xcl USING (period_id) LEFT JOIN xbb USING (period_id)""")
 
 @register("propagation_report", _propagation_report_sql(), "R4 propagation report (markdown per period)")
 def propagation_report(spark, sf_dir):
-    _, Ep = _periods(spark, sf_dir)
+    _, Ep = _periods(spark, sf_dir, *COORDINATION)
     return RP.propagation_report(Ep)
 
 
@@ -203,7 +204,7 @@ sr AS (SELECT st.*, sk.debut, sk.fin, sk.messages, sk.rt_pct, {_PRIORITY} AS pri
 
 @register("strategy_report", _strategy_sql(), "R6 strategy (priority, posture, axes, plan, avoid, triggers) per period")
 def strategy_report(spark, sf_dir):
-    E, Ep = _periods(spark, sf_dir)
+    E, Ep = _periods(spark, sf_dir, *STRATEGY)
     return RP.strategy_report(Ep, E).select("period_id", "score", "niveau", "dominant_narrative", "priority", "posture",
                                             F.array_join("sensitive_points", "|").alias("sensitive_points"), "markdown")
 
@@ -225,7 +226,7 @@ def _pack_select() -> str:
 
 @register("pack_report", _pack_report_sql(), "R7 message pack markdown with guardrail lines per period")
 def pack_report(spark, sf_dir):
-    E, Ep = _periods(spark, sf_dir)
+    E, Ep = _periods(spark, sf_dir, *STRATEGY)
     return RP.pack_report(Ep, E)
 
 
@@ -247,7 +248,7 @@ FROM kp JOIN f USING (period_id) LEFT JOIN nl USING (period_id) LEFT JOIN al USI
 
 @register("crisis_context", with_e_ctes(_CONTEXT_CTES, _CONTEXT_FIELDS + _CONTEXT_FROM), "R5 typed crisis context of each period")
 def crisis_context(spark, sf_dir):
-    E, Ep = _periods(spark, sf_dir)
+    E, Ep = _periods(spark, sf_dir, *BRIEF, "posts")
     c = lambda name: F.col(f"context.{name}")
     pairs = lambda rows, a, b: F.array_join(F.transform(c(rows), lambda r: F.concat_ws(":", r[a], r[b].cast("string"))), "|")
     return RP.crisis_context(Ep, E).select(
@@ -272,7 +273,7 @@ def _rows(rows, *names: str):
  kp.auteurs AS auteurs_uniques, CAST(trunc(kp.reach) AS BIGINT) AS reach, {_BRIEF_TEXT} AS brief""" + _CONTEXT_FROM + " LEFT JOIN sd USING (period_id)"),
           "K7, R5 the JSON context of each period, its fields read back as typed values")
 def context_json(spark, sf_dir):
-    df, get = _typed(RP.context_json(shared_tables(spark, sf_dir)), "context_json")
+    df, get = _typed(RP.context_json(shared_tables(spark, sf_dir, *BRIEF, "posts")), "context_json")
     return df.select(
         "period_id", get("$.periode.start", "string").alias("debut"), get("$.periode.end", "string").alias("fin"), get("$.kpis.messages", "bigint").alias("messages"),
         get("$.score", "double").alias("score"), get("$.niveau", "string").alias("niveau"), get("$.dominant_narrative", "string").alias("dominant_narrative"),
@@ -331,7 +332,7 @@ FROM wq LEFT JOIN ws ON ws.period_id = wq.period_id""")
 def answers(spark, sf_dir):
     qs = (spark.read.parquet(f"{sf_dir}/conversations.parquet").where(F.col("role") == "user")
           .select("conv_id", "turn", F.col("text").alias("question"), F.concat(F.lit("peak_day_"), (F.col("conv_id") % 5 + 1).cast("string")).alias("period_id")))
-    return RP.answers(qs, shared_tables(spark, sf_dir), keys=("conv_id", "turn"))
+    return RP.answers(qs, shared_tables(spark, sf_dir, *BRIEF, "risks", *COORDINATION), keys=("conv_id", "turn"))
 
 
 def _agent_context_sql() -> str:

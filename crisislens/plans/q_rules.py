@@ -11,6 +11,7 @@ from ..texts import CHANNEL_TEMPLATES, DEFAULT_CHANNELS, DEFAULT_SPOKESPERSON
 from .oracle import q, with_e_ctes
 from .q_periods import _CV_CTES, _periods, stored_periods
 from .registry import register
+from .tables import STRATEGY
 
 _TRIM = f"'^{SPACE}+|{SPACE}+$'"
 
@@ -121,7 +122,7 @@ def _pack_sql() -> str:
 @register("message_pack", _pack_sql(),
           "R7 message pack: periods x channel templates (J4), substitution, then C14 guardrail")
 def message_pack(spark, sf_dir):
-    E, Ep = stored_periods(spark, sf_dir)
+    E, Ep = stored_periods(spark, sf_dir, *STRATEGY)
     return ST.message_pack(ST.strategy_rows(Ep, E))
 
 
@@ -131,7 +132,7 @@ ALL_CHANNELS = tuple(c for c, _ in CHANNEL_TEMPLATES)
 @register("message_pack_all_channels", with_e_ctes(pack_ctes(ALL_CHANNELS), "SELECT * FROM pg"),
           "R7 message pack in all seven channels, each checked by C14")
 def message_pack_all_channels(spark, sf_dir):
-    E, Ep = stored_periods(spark, sf_dir)
+    E, Ep = stored_periods(spark, sf_dir, *STRATEGY)
     return ST.message_pack(ST.strategy_rows(Ep, E), ALL_CHANNELS)
 
 
@@ -164,6 +165,6 @@ def scores_sql(spark, sf_dir):
     from ..functions.sql_functions import register_sql_functions
     from ..operators.periods import corpus_span
     register_sql_functions(spark)
-    E, Ep = stored_periods(spark, sf_dir)
+    E, Ep = stored_periods(spark, sf_dir, *STRATEGY, "risks")
     negative = "(" + ", ".join(q(x) for x in NEGATIVE_SENTIMENTS) + ")"
     return spark.sql(_SCORES.replace("{negative}", negative), posts=Ep, span=corpus_span(E))

@@ -18,6 +18,31 @@ from ..session import materialize
 BY = ("period_id",)
 TOP = 10
 
+# the columns of posts that the tables of a name read (see the operators)
+READS: dict[str, tuple[str, ...]] = {
+    "kpis": ("author", "dt", "is_retweet", "is_original", "is_reply", "is_quote", "likes", "comments", "shares", "impressions",
+             "reach", "engagement_total", "sentiment", "risk_level"),
+    "narratives": ("narratives",),
+    "sentiments": ("sentiment",),
+    "authors": ("author", "is_retweet", "likes", "shares", "reach", "impressions", "followers", "risk_level"),
+    "posts": (*M.TOP_POST_COLUMNS, "engagement_total"),
+    "risks": ("narratives", "reach", "shares", "sentiment", "is_retweet", "risk_level"),
+    "actors": ("author", "narratives", "reach", "shares", "likes", "risk_level"),
+    "mutations": ("hour", "narratives", "reach", "is_retweet", "risk_level"),
+    "propagation": ("hour", "dt", "is_retweet", "author", "reach", "impressions"),
+    "concentration": ("author", "reach", "shares", "likes", "is_retweet"),
+    "copies": ("fingerprint", "author", "dt", "reach", "post_id", "text_raw"),
+    "bursts": ("hour", "author", "is_retweet", "reach"),
+}
+STRATEGY = ("kpis", "narratives")
+BRIEF = (*STRATEGY, "sentiments", "authors")
+COORDINATION = ("propagation", "concentration", "copies", "bursts")
+
+
+def read_by(*names: str) -> list[str]:
+    """The columns of posts that the named tables read, each once."""
+    return list(dict.fromkeys(c for name in names for c in READS[name]))
+
 
 def store(df: DataFrame, name: str) -> DataFrame:
     """``df`` written and reread; a folder of our own only in a single-process session that names none."""

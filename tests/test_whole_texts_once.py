@@ -11,6 +11,7 @@ from crisislens.operators import periods as P
 from crisislens.operators.enrich import enrich
 from crisislens.plans import q_ingest, q_periods, sinks
 from crisislens.plans.catalog import REGISTRY
+from crisislens.plans.tables import READS, STRATEGY, PeriodTables, read_by
 from crisislens.sources.fixtures import POSTS_MAPPING
 
 
@@ -86,3 +87,18 @@ def test_posts_are_not_shuffled_by_date(spark, monkeypatch, most, shuffled):
     Ep = P.assign_periods(E, periods)
     assert ("hashpartitioning(date" in _plan(Ep)) == shuffled
     assert sorted((r.period_id, r.post_id) for r in Ep.collect()) == [("a", i) for i in range(5)] + [("b", i) for i in range(3, 7)]
+
+
+def test_stored_posts_hold_the_columns_that_their_tables_read(spark, monkeypatch):
+    E = corpus(spark)
+    monkeypatch.setattr(q_periods, "corpus", lambda *a: E)
+    _, posts = q_periods.stored_periods(spark, SF_SMALL)
+    made = {name: lambda t, name=name: getattr(t, name) for name in ("kpis", "narratives", "sentiments", "risks", "propagation", "copies", "bursts")}
+    made |= {"authors": lambda t: t.authors(5), "posts": lambda t: t.top_posts(5), "actors": lambda t: t.actors(5),
+             "mutations": lambda t: t.mutations(), "concentration": lambda t: t.concentration()}
+    assert set(made) == set(READS)
+    for name, table in made.items():
+        whole, slim = table(PeriodTables(posts)), table(PeriodTables(posts.select("period_id", *read_by(name))))
+        assert slim.schema == whole.schema and sorted(map(str, slim.collect())) == sorted(map(str, whole.collect())), name
+    _, slim = q_periods.stored_periods(spark, SF_SMALL, *STRATEGY)
+    assert set(slim.columns) == {"period_id", *READS["kpis"], *READS["narratives"]}
