@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numbers import ln1p_pos, pct
-from .common import By, attach, explode_list, group_totals, neg_flag, over_group, top_k
+from .common import By, explode_list, neg_flag, over_group, top_k
 
 
 def kpis(E: DataFrame, by: By = (), approx_distinct: bool = False) -> DataFrame:
@@ -88,11 +88,17 @@ def top_posts(E: DataFrame, n: int | None = 10, by: By = ()) -> DataFrame:
 
 
 def narratives_table(E: DataFrame, by: By = ()) -> DataFrame:
-    """Narrative -> posts tagged with it, % of *posts* (sums above 100)."""
-    counts = (explode_list(E, "narratives", "narrative", by)
-              .groupBy(*by, "narrative").agg(F.count(F.lit(1)).alias("count")))
-    tot = group_totals(E, by)
-    out = attach(counts, tot, by)
+    """Narrative -> posts tagged with it, % of *posts* (sums above 100).
+
+    Posts are counted by their whole list first, so the texts behind the lists are
+    passed once: a group's posts are the sum over its lists, a narrative's over those
+    that hold it.  Rows of a null group are left out."""
+    lists = E.groupBy(*by, "narratives").agg(F.count(F.lit(1)).alias("posts"))
+    for key in by:
+        lists = lists.where(F.col(key).isNotNull())
+    lists = lists.withColumn("n_posts", F.sum("posts").over(over_group(by)))
+    out = (explode_list(lists, "narratives", "narrative", (*by, "posts", "n_posts"))
+           .groupBy(*by, "narrative").agg(F.sum("posts").alias("count"), F.max("n_posts").alias("n_posts")))
     return out.select(*by, "narrative", "count",
                       (F.col("count") / F.greatest(F.lit(1), F.col("n_posts")) * 100.0).alias("pct_messages"))
 

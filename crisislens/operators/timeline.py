@@ -15,7 +15,7 @@ from .common import By, over_group, top_k
 
 
 def bucket_table(E: DataFrame, bucket: str, by: By = ()) -> DataFrame:
-    """The measures of each hour or day, without trends."""
+    """The measures of each hour or day, without trends; no ``risk_mean`` for posts that have no risk level yet."""
     authors = F.countDistinct("author")
     return E.groupBy(*by, bucket).agg(
         F.count(F.lit(1)).alias("messages"),
@@ -24,7 +24,7 @@ def bucket_table(E: DataFrame, bucket: str, by: By = ()) -> DataFrame:
         F.sum("reach").alias("reach"),
         F.sum("impressions").alias("impressions"),
         F.sum("engagement_total").alias("engagement"),
-        F.avg("risk_level").alias("risk_mean"),
+        *([F.avg("risk_level").alias("risk_mean")] if "risk_level" in E.columns else []),
     )
 
 
@@ -38,7 +38,8 @@ def with_trend(tl: DataFrame, bucket: str, rolling: int, roll_name: str, by: By
     whole = over_group(by)
     m = F.col("messages")
     return tl.select(
-        *by, bucket, "messages", "auteurs", "retweets", "reach", "impressions", "engagement", "risk_mean",
+        *by, bucket, "messages", "auteurs", "retweets", "reach", "impressions", "engagement",
+        *[c for c in ("risk_mean",) if c in tl.columns],
         F.when(m > 0, F.col("retweets") / m * 100.0).otherwise(0.0).alias("retweets_pct"),
         F.avg(m).over(ordered.rowsBetween(-(rolling - 1), 0)).alias(roll_name),
         ((m - F.avg(m).over(whole)) / (F.stddev_pop(m).over(whole) + C.ZSCORE_EPS)).alias("zscore"),

@@ -22,8 +22,10 @@ pr AS (SELECT 'peak_day_' || CAST(rank AS VARCHAR) AS period_id, day AS "start",
 ep AS (SELECT pr.period_id, e.* FROM e JOIN pr ON e.dt >= pr."start" AND e.dt <= pr."end")"""
 
 
-def _periods(spark, sf_dir):
-    E = corpus(spark, sf_dir)
+def _periods(spark, sf_dir, with_risk: bool = True):
+    """The corpus and the posts of its five busiest days.  Without the risk level, for tables that do not read it, the
+    corpus' reach quantile is not worked out."""
+    E = corpus(spark, sf_dir, with_risk=with_risk)
     periods = P.peak_day_periods(E, top=5)
     return E, P.assign_periods(E, periods.select("period_id", "start", "end"))
 
@@ -136,7 +138,7 @@ h AS (SELECT period_id, hashtag, count(*) AS count FROM (SELECT period_id, unnes
  row_number() OVER (PARTITION BY period_id ORDER BY count DESC, hashtag) AS rank, hashtag, count FROM h)
  WHERE rank <= 10"""), "R1 top hashtags per period")
 def period_top_hashtags(spark, sf_dir):
-    _, Ep = _periods(spark, sf_dir)
+    _, Ep = _periods(spark, sf_dir, with_risk=False)
     return present(M.top_hashtags(Ep, n=10, by=BY))
 
 
@@ -147,7 +149,7 @@ c AS (SELECT period_id, narrative, count(*) AS count FROM (SELECT period_id, unn
  {sr6('CAST(count AS DOUBLE) / greatest(1, n_posts) * 100')} AS pct_messages FROM c JOIN n USING (period_id)"""),
           "R1 narrative table per period")
 def period_narratives(spark, sf_dir):
-    _, Ep = _periods(spark, sf_dir)
+    _, Ep = _periods(spark, sf_dir, with_risk=False)
     return present(M.narratives_table(Ep, by=BY), ("pct_messages",))
 
 
@@ -155,7 +157,7 @@ def period_narratives(spark, sf_dir):
  {sr6('CAST(count(*) AS DOUBLE) / sum(count(*)) OVER (PARTITION BY period_id) * 100')} AS pct
  FROM ep GROUP BY period_id, sentiment"""), "R1 sentiment table per period")
 def period_sentiments(spark, sf_dir):
-    _, Ep = _periods(spark, sf_dir)
+    _, Ep = _periods(spark, sf_dir, with_risk=False)
     return present(M.sentiment_table(Ep, by=BY), ("pct",))
 
 

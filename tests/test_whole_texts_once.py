@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from conftest import SF_SMALL, posts_df
 from test_periods import T, corpus
 from crisislens.functions.text import _template, alternation, copy_fingerprint, matches_any
+from crisislens.operators import enrich as EN
 from crisislens.operators import metrics as M
 from crisislens.operators import periods as P
 from crisislens.operators.enrich import enrich
@@ -102,3 +103,22 @@ def test_stored_posts_hold_the_columns_that_their_tables_read(spark, monkeypatch
         assert slim.schema == whole.schema and sorted(map(str, slim.collect())) == sorted(map(str, whole.collect())), name
     _, slim = q_periods.stored_periods(spark, SF_SMALL, *STRATEGY)
     assert set(slim.columns) == {"period_id", *READS["kpis"], *READS["narratives"]}
+
+
+def test_period_narratives_pass_the_posts_once(spark, monkeypatch):
+    def unread(*a, **k):
+        raise AssertionError("the table does not read the risk level")
+
+    monkeypatch.setattr(EN, "exact_quantile", unread)
+    for name in ("period_narratives", "period_top_hashtags", "period_sentiments"):
+        assert _plan(REGISTRY[name].build(spark, SF_SMALL)).count("FileScan parquet [event_id") == 1, name
+
+
+def test_narratives_table_keeps_empty_lists_and_drops_null_groups(spark):
+    rows = [("a", ["x", "y"]), ("a", ["x"]), ("a", []), ("a", None), ("b", ["y", "y"]), (None, ["x"])]
+    E = spark.createDataFrame(rows, "period_id string, narratives array<string>").repartition(3)
+    got = {(r.period_id, r.narrative, r["count"], r.pct_messages) for r in M.narratives_table(E, ["period_id"]).collect()}
+    assert got == {("a", "x", 2, 50.0), ("a", "y", 1, 25.0), ("a", None, 2, 50.0), ("b", "y", 2, 200.0)}
+    whole = {(r.narrative, r["count"], r.pct_messages) for r in M.narratives_table(E).collect()}
+    assert whole == {("x", 3, 50.0), ("y", 3, 50.0), (None, 2, 2 / 6 * 100.0)}
+    assert M.narratives_table(E.limit(0)).count() == M.narratives_table(E.limit(0), ["period_id"]).count() == 0
