@@ -63,3 +63,17 @@ def test_edges(spark, edge, nothing, monkeypatch):
     assert corpus_pipeline.tokens(spark, edge, SF).count() == edge.count()
     monkeypatch.setattr(quality_fm, "fit", lambda *_: quality_fm.train([], __import__("numpy").zeros(0)))
     assert corpus_pipeline.quality(spark, edge, SF).count() == edge.where(F.lit(True)).count()
+
+
+def test_a_stage_goes_when_the_next_one_is_written(spark, monkeypatch):
+    import glob
+
+    from crisislens.llm.stored import shared_folder
+
+    passed = lambda spark, docs, sf_dir: docs.withColumn("n_chars", F.col("n_chars") + 1)
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(f"goes{i}", passed) for i in range(4)])
+    out = corpus_pipeline.run(spark, SF)
+    left = [p.split("/pipeline-")[1][:5] for p in glob.glob(f"{shared_folder(spark).removeprefix('file:')}/pipeline-goes*")]
+    assert left == ["goes2"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert out.agg(F.sum("n_chars"), F.count("*")).first() == docs.agg(F.sum(F.col("n_chars") + 4), F.count("*")).first()
