@@ -20,7 +20,7 @@ from ..operators import narratives as N
 from ..operators import propagation as PR
 from ..operators import strategy as ST
 from ..operators import timeline as TL
-from ..session import cluster_for_write
+from ..session import cluster_for_write, shuffles_released
 from . import reports as RP
 from .tables import PeriodTables, store
 
@@ -53,22 +53,38 @@ def write_table(df: DataFrame, path: str, fmt: str = "csv", bounded: bool = Fals
     w = out.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    if fmt == "csv":
-        w.option("header", "true").option("escape", '"').csv(path)
-    elif fmt == "json":
-        w.json(path)
-    elif fmt == "parquet":
-        w.parquet(path)
-    else:
-        raise ValueError(f"unknown format {fmt}")
+    with shuffles_released(df.sparkSession):
+        if fmt == "csv":
+            w.option("header", "true").option("escape", '"').csv(path)
+        elif fmt == "json":
+            w.json(path)
+        elif fmt == "parquet":
+            w.option("compression", "zstd").parquet(path)
+        else:
+            raise ValueError(f"unknown format {fmt}")
     return path
 
 
+MAX_FILES = 20_000               # files of a corpus by date, before its rows are clustered by a shuffle
+
+
+def by_date(E: DataFrame) -> DataFrame:
+    """``E`` as it is written by ``date``.
+
+    Each task writes a file for every date it meets, so whole texts stay where they
+    are: a shuffle would put all of them on disk once more.  Only if that made more
+    than MAX_FILES files are rows clustered by date ranges first.
+    """
+    tasks = int(E.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dates = E.select("date").distinct().count()
+    return E if dates * tasks <= MAX_FILES else cluster_for_write(E, "date", "post_id")
+
+
 def export_corpus(E: DataFrame, out_dir: str, fmt: str = "parquet") -> str:
     """Enriched corpus: Parquet partitioned by ``date`` (period filters then
     prune files), or the 18-column CSV export."""
     if fmt == "parquet":
-        return write_table(cluster_for_write(E, "date", "post_id"), os.path.join(out_dir, "corpus_enrichi"), "parquet", partition_by=["date"])
+        return write_table(by_date(E), os.path.join(out_dir, "corpus_enrichi"), "parquet", partition_by=["date"])
     cols = [c for c in CORPUS_EXPORT_COLUMNS if c in E.columns]
     return write_table(E.select(*cols), os.path.join(out_dir, "corpus_enrichi_csv"), "csv")
 
@@ -80,7 +96,8 @@ def export_tables(tables: dict[str, DataFrame], out_dir: str, fmt: str = "csv")
 
 def write_text(df: DataFrame, column: str, path: str) -> str:
     """One text file of a one-column report (a row per period)."""
-    df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+    with shuffles_released(df.sparkSession):
+        df.select(F.col(column).alias("value")).coalesce(1).write.mode("overwrite").text(path)
     return path
 
 
@@ -158,7 +175,7 @@ def export_corpus_bundle(E: DataFrame, out_dir: str) -> dict[str, str]:
     """The enriched corpus as a bundle of one Parquet table."""
     spark = E.sparkSession
     _publish(spark, out_dir, {"": -1})
-    counted, seen = _counted(cluster_for_write(E, "date", "post_id"), "corpus")
+    counted, seen = _counted(by_date(E), "corpus")
     path = write_table(counted, os.path.join(out_dir, "corpus_enrichi"), "parquet", partition_by=["date"])
     _publish(spark, out_dir, {"corpus_enrichi": seen.get["rows"]})
     return {"corpus_enrichi": path}
