@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import periods as P
 from ..operators.enrich import enrich
-from ..session import checkpoint_root
+from ..session import checkpoint_root, delete, shuffles_released
 from ..sources.fixtures import POSTS_MAPPING, raw_posts
 from ..sources.readers import read_data_directory
 from .oracle import with_e_ctes
@@ -28,20 +28,43 @@ def _csv(df: DataFrame, path: str, sep: str, encoding: str) -> None:
     df.write.options(header=True, sep=sep, encoding=encoding, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
 
 
+SHARE_BYTES = 8 << 30            # text in the CSV files of one share
+
+
+def _shares(spark, sf_dir: str) -> int:
+    """How many shares the posts are written and read in, so that the files of one have about SHARE_BYTES, whatever the corpus."""
+    posts = spark.read.parquet(f"{sf_dir}/events.parquet").count()
+    mean = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.avg(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-int(posts * mean) // SHARE_BYTES))
+
+
+def _write_mixed(posts: DataFrame, path: str) -> None:
+    """A folder with comma files in UTF-8, semicolon files in Latin-1 with other column orders, and a dictionary."""
+    spark = posts.sparkSession
+    posts = posts.select("post_id", F.date_format("dt", "yyyy-MM-dd HH:mm:ss").alias("Date"), F.col("author_src").alias("Author"), F.col("full_text").alias("Full Text"))
+    latin = posts["Full Text"].rlike(r"^[\x00-\xFF]*$") & (F.col("post_id") % 2 == 0)
+    with shuffles_released(spark):
+        _csv(posts.where(~latin), f"{path}/utf8", ",", "UTF-8")
+        _csv(posts.where(latin).select("Author", "Full Text", "Date", "post_id"), f"{path}/latin", ";", "ISO-8859-1")
+        _csv(spark.createDataFrame([("Author", "who wrote")], "field string, meaning string").coalesce(1), f"{path}/dictionary", ",", "UTF-8")
+
+
 @register("ingest_csv_mixed", """SELECT post_id, strftime(dt, '%Y-%m-%d %H:%M:%S') AS dt, author, n_chars, text_md5 FROM (
  SELECT post_id, date_trunc('second', dt) AS dt, author_src AS author, length(full_text) AS n_chars, md5(full_text) AS text_md5 FROM (""" + __import__(
     "crisislens.sources.fixtures", fromlist=["raw_posts_sql"]).raw_posts_sql() + "))",
           "S1, S2 a folder of CSV files with two encodings, separators and column orders, and a dictionary that is no data")
 def ingest_csv_mixed(spark, sf_dir):
-    posts = raw_posts(spark, sf_dir).select("post_id", F.date_format("dt", "yyyy-MM-dd HH:mm:ss").alias("Date"), F.col("author_src").alias("Author"), F.col("full_text").alias("Full Text"))
-    latin = posts["Full Text"].rlike(r"^[\x00-\xFF]*$") & (F.col("post_id") % 2 == 0)
-    path = _folder(spark, "mixed-csv")
-    _csv(posts.where(~latin), f"{path}/utf8", ",", "UTF-8")
-    _csv(posts.where(latin).select("Author", "Full Text", "Date", "post_id"), f"{path}/latin", ";", "ISO-8859-1")
-    _csv(spark.createDataFrame([("Author", "who wrote")], "field string, meaning string").coalesce(1), f"{path}/dictionary", ",", "UTF-8")
-    got = read_data_directory(spark, path, exclude=("dictionary",))
-    return got.select(F.col("post_id").cast("bigint").alias("post_id"), F.col("Date").alias("dt"), F.coalesce("Author", F.lit("")).alias("author"),
-                      F.length("Full Text").cast("bigint").alias("n_chars"), F.md5("Full Text").alias("text_md5"))
+    path, n = _folder(spark, "mixed-csv"), _shares(spark, sf_dir)
+    for i in range(n):
+        _write_mixed(raw_posts(spark, sf_dir, (i, n)), f"{path}/{i}")
+        got = read_data_directory(spark, f"{path}/{i}", exclude=("dictionary",))
+        got = got.select(F.col("post_id").cast("bigint").alias("post_id"), F.col("Date").alias("dt"), F.coalesce("Author", F.lit("")).alias("author"),
+                         F.length("Full Text").cast("bigint").alias("n_chars"), F.md5("Full Text").alias("text_md5"))
+        if n == 1:
+            return got
+        got.write.mode("append").parquet(f"{path}/read")
+        delete(spark, f"{path}/{i}")
+    return spark.read.parquet(f"{path}/read")
 
 
 # What an export tool makes of numbers: by post id, blanks, separators, words, missing values.

@@ -46,16 +46,22 @@ MESSY_HEADERS: dict[str, str] = {
 }
 
 
-def raw_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def raw_posts(spark: SparkSession, sf_dir: str, share: tuple[int, int] = (0, 1)) -> DataFrame:
+    """The posts, or share (i, n) of them: those of every n-th document.  The n shares together are all posts."""
     ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     n_docs = docs.agg(F.count(F.lit(1)).alias("n_docs"))           # one row
     templates = spark.createDataFrame(list(enumerate(POST_TEMPLATES)), "tpl int, body string")  # 10 rows
+    i, n_shares = share
+    if n_shares > 1:                                                # both sides of the join, so nothing else is shuffled
+        docs, labels = (t.where(F.pmod(F.col("doc_id"), F.lit(n_shares)) == i) for t in (docs, labels))
     labelled = docs.join(labels, "doc_id", "left")                  # co-partitioned on doc_id
     e = (ev.crossJoin(F.broadcast(n_docs))
          .withColumn("doc_key", F.col("event_id") % F.col("n_docs"))
          .withColumn("tpl", ((F.col("event_id") + F.col("user_id")) % 10).cast("int")))
+    if n_shares > 1:
+        e = e.where(F.pmod(F.col("doc_key"), F.lit(n_shares)) == i)
     # Hash-partition the (narrow) event rows on the join key with an explicit
     # count: a shuffled join reuses this partitioning as is, and when the
     # documents side is small enough to broadcast, the text-heavy work after
